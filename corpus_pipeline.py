@@ -1,8 +1,57 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last
+return the columns of documents. run() writes what a stage returns to the shared folder and reads it
+back, so a lost executor costs the running stage at most.
+"""
+
+from __future__ import annotations
+
+from marginalia.llm import near_dup, op3_shard, op7_mix, op8_toxicity, op10_decontaminate
+from marginalia.llm.common import stash
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that the nearest labelled examples call toxic go; the others stay as they are."""
+    return op8_toxicity.without_toxic(docs, op8_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    return near_dup.deduplicate(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents with a benchmark passage, exact or within its edit budget, go."""
+    return op10_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark, docs, sf_dir):
+    """Every document as often as its source's rate and its hash say."""
+    return op7_mix.mix(docs)
+
+
+def sharding(spark, docs, sf_dir):
+    """Every document with its slot and shard."""
+    return op3_shard.place(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixing),
+    ("sharding", sharding),
+]
+
+#: The neighbour votes of the first stage have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = stash(docs, "stage")
+    return docs
