@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import near_dup, op2_quality, op3_shard, op4_language, op6_warc, op7_mix, op8_toxicity, op9_rules, op10_decontaminate
+from marginalia.llm import near_dup, op1_pii, op2_quality, op3_shard, op4_language, op6_warc, op7_mix, op8_toxicity, op9_rules, op10_decontaminate
 
 
 def op5_near_duplicates(spark, sf_dir: str):
@@ -10,6 +10,7 @@ def op5_near_duplicates(spark, sf_dir: str):
 
 
 QUERIES = {
+    "op1_pii": op1_pii.op1_pii,
     "op2_quality": op2_quality.op2_quality,
     "op3_shard": op3_shard.op3_shard,
     "op4_language": op4_language.op4_language,
