@@ -1,10 +1,619 @@
-"""Registry of the queries and of their SQL twins."""
+"""Registry of the queries and of their SQL twins.
+
+Corpora: `notes` are documents as they are, `synth` are Markdown notes composed from the tables' columns.
+The SQL derives its truth from the columns, never by parsing the composed Markdown.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import chunker, markdown, paths, periodic
+from marginalia.operators import access, graph, incremental, lexical, notes, search, vectors
+from marginalia.session import table
+from marginalia.sources import adapters, folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return adapters.documents_as_notes(table(spark, sf_dir, "documents"))
+
+
+def synth(spark, sf_dir) -> DataFrame:
+    return adapters.composed_notes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def parsed(spark, sf_dir) -> DataFrame:
+    return notes.indexed(notes.parse(synth(spark, sf_dir)))
+
+
+def rounded(name: str = "score"):
+    return F.round(F.col(name).cast("double"), 6).alias(name)
+
+
+DOCS = "notes AS (SELECT doc_id, lang, source, source || '/doc-' || doc_id || '.md' AS path, coalesce(text, '') AS content FROM documents)"
+SYNTH = """
+base AS (
+  SELECT d.doc_id AS id, lang, source, quality, text, doc_id % 10 = 9 AS shared, doc_id % 5 <> 3 AS linked,
+    CASE WHEN d.doc_id % 10 = 9 THEN 'shared-' || ((d.doc_id // 10) % 20) ELSE 'doc-' || d.doc_id END AS stem
+  FROM documents d LEFT JOIN (SELECT doc_id AS lid, quality FROM labels) l ON l.lid = d.doc_id),
+synth AS (SELECT *, source || '/' || CASE WHEN shared THEN id || '/' ELSE '' END || stem || '.md' AS path FROM base),
+links AS (
+  SELECT path AS source_path, id, 'doc-' || ((id * 7 + 1) % 997) AS target, 'doc-' || ((id * 7 + 1) % 997) AS raw, NULL AS alias, NULL AS heading FROM synth WHERE linked
+  UNION ALL SELECT path, id, 'missing-' || id, 'missing-' || id || '|lost', 'lost', NULL FROM synth WHERE linked AND id % 4 = 0
+  UNION ALL SELECT path, id, 'shared-' || (id % 20), 'shared-' || (id % 20) || '#Doc', NULL, 'Doc' FROM synth WHERE linked AND id % 6 = 0),
+stems AS (SELECT stem, min(path) AS path FROM synth GROUP BY stem HAVING count(*) = 1),
+resolved AS (SELECT l.*, s.path AS resolved FROM links l LEFT JOIN stems s ON s.stem = l.target)"""
+TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _bm25_sql(fields: dict[str, tuple[str, float]], terms: list[str], corpus: str = "notes") -> str:
+    """CTEs that end in scores(path, score): fields are (expression, boost)."""
+    rows = " UNION ALL ".join(f"SELECT path, '{f}' AS field, {boost}::DOUBLE AS boost, {TOKENS.format(e)} AS ts FROM {corpus}" for f, (e, boost) in fields.items())
+    words = ", ".join(f"('{t}')" for t in terms)
+    return f"""
+tok AS ({rows}),
+dl AS (SELECT path, field, boost, len(ts) AS dl, ts FROM tok),
+av AS (SELECT field, avg(dl) AS av, count(*) AS n FROM dl GROUP BY field),
+terms(term) AS (VALUES {words}),
+tf AS (SELECT path, field, boost, dl, term, len(list_filter(ts, lambda x: x = term)) AS tf FROM dl, terms),
+df AS (SELECT field, term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY field, term),
+scores AS (
+  SELECT path, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score
+  FROM tf JOIN df USING (field, term) JOIN av USING (field) WHERE tf > 0 GROUP BY path)"""
+
+
+_BODY = {"body": ("content", 1.0)}
+_SYNTH_TEXT = r"""regexp_replace(substr(text, 1, 200), '[^\p{L} ]', ' ', 'g')"""
+_SYNTH_BODY = f"""'Doc ' || id || ' ' || {_SYNTH_TEXT} || ' ' || CASE id % 3 WHEN 1 THEN 'Notes noted' WHEN 2 THEN 'Notes noted Detail detailed' ELSE '' END || ' Filed batch b' || (id % 5)
+ || CASE WHEN linked THEN ' See doc ' || ((id * 7 + 1) % 997) ELSE '' END || CASE WHEN linked AND id % 4 = 0 THEN ' And missing ' || id || ' lost' ELSE '' END || CASE WHEN linked AND id % 6 = 0 THEN ' Or shared ' || (id % 20) || ' Doc' ELSE '' END"""
+_SYNTH_FIELDS = {
+    "title": ("stem", 5.0),
+    "headings": ("'Doc ' || id || CASE id % 3 WHEN 1 THEN ' Notes' WHEN 2 THEN ' Notes Detail' ELSE '' END", 3.0),
+    "frontmatter": ("'tags ' || lang || ' corpus ' || source || ' doc ' || id || coalesce(' quality ' || quality, '')", 2.0),
+    "body": (_SYNTH_BODY, 1.0),
+}
+
+
+# the corpus: statistics, revisions, parsing
+
+
+@query(f"""WITH {SYNTH},
+sized AS (SELECT strlen('---' || chr(10) || 'tags: [' || lang || ', corpus/' || source || ']' || chr(10) || 'doc: ' || id || coalesce(chr(10) || 'quality: ' || quality, '') || chr(10) || '---' || chr(10) || '# Doc ' || id || repeat(chr(10), 2)
+  || {_SYNTH_TEXT} || repeat(chr(10), 2)
+  || CASE id % 3 WHEN 1 THEN '## Notes' || repeat(chr(10), 2) || 'noted' || repeat(chr(10), 2) WHEN 2 THEN '## Notes' || repeat(chr(10), 2) || 'noted' || repeat(chr(10), 2) || '### Detail' || repeat(chr(10), 2) || 'detailed' || repeat(chr(10), 2) ELSE '' END
+  || 'Filed #batch/b' || (id % 5) || chr(10)) AS n FROM synth),
+lines AS (SELECT sum(CASE WHEN alias IS NOT NULL THEN 4 WHEN heading IS NOT NULL THEN 3 ELSE 4 END + strlen(raw) + 5) AS n FROM links)
+SELECT (SELECT count(*) FROM synth) AS notes, (SELECT count(*) FROM synth) AS files,
+  (SELECT count(DISTINCT t) FROM (SELECT lower(lang) AS t FROM synth UNION ALL SELECT 'corpus/' || lower(source) FROM synth UNION ALL SELECT 'batch/b' || (id % 5) FROM synth)) AS tags,
+  (SELECT count(*) FROM links) AS links, CAST((SELECT sum(n) FROM sized) + (SELECT n FROM lines) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS excluded""")
+def vault_stats(spark, sf_dir):
+    return notes.stats(parsed(spark, sf_dir))
+
+
+@query(f"WITH {DOCS} SELECT path, sha256(content) AS revision FROM notes")
+def source_revision(spark, sf_dir):
+    return docs(spark, sf_dir).select("path", notes.source_revision(F.col("content")).alias("revision"))
+
+
+@query(f"""WITH {SYNTH} SELECT path, list_aggregate(list_sort([lang, 'corpus/' || source]), 'string_agg', ',') AS tags FROM synth""")
+def fm_tags(spark, sf_dir):
+    own = F.filter("tags", lambda t: ~F.array_contains("inline_tags", t))
+    return parsed(spark, sf_dir).select("path", F.array_join(own, ",").alias("tags"))
+
+
+@query(f"""WITH {SYNTH} SELECT path FROM synth WHERE lower(lang) = 'en'""")
+def tag_exact(spark, sf_dir):
+    return parsed(spark, sf_dir).where(notes.has_tag("#EN")).select("path")
+
+
+@query(f"""WITH {SYNTH} SELECT path FROM synth WHERE 'corpus/' || source LIKE 'corpus/%'""")
+def tag_prefix(spark, sf_dir):
+    return parsed(spark, sf_dir).where(notes.under_tag("corpus")).select("path")
+
+
+@query(f"""WITH {SYNTH} SELECT path FROM synth WHERE quality = 1""")
+def fm_eq(spark, sf_dir):
+    return parsed(spark, sf_dir).where(notes.property_equals("quality", 1)).select("path")
+
+
+@query(f"""WITH {SYNTH} SELECT path FROM synth WHERE source = 'src1'""")
+def fm_contains(spark, sf_dir):
+    return parsed(spark, sf_dir).where(notes.property_contains("tags", "corpus/src1")).select("path")
+
+
+@query(f"""WITH {SYNTH} SELECT path FROM synth WHERE quality IS NOT NULL""")
+def fm_exists(spark, sf_dir):
+    return parsed(spark, sf_dir).where(notes.property_exists("quality")).select("path")
+
+
+@query(r"""WITH notes AS (SELECT source || '/doc-' || doc_id || '.md' AS path, coalesce(text, '') AS content FROM documents)
+SELECT path, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?m)(?:^|[ \t])#([a-zA-Z][\w/-]*)', 1))), ',') AS tags FROM notes""")
+def inline_tags(spark, sf_dir):
+    found = notes.parse(docs(spark, sf_dir).where(F.contains("content", F.lit("#")))).select("path", "inline_tags")
+    return docs(spark, sf_dir).select("path").join(found, "path", "left").select("path", F.coalesce(F.array_join("inline_tags", ","), F.lit("")).alias("tags"))
+
+
+@query(f"""WITH {SYNTH} SELECT source_path AS path, raw, target, heading, alias FROM links""")
+def wikilink_parse(spark, sf_dir):
+    return parsed(spark, sf_dir).select("path", F.explode("links").alias("l")).select("path", "l.raw", "l.target", "l.heading", "l.alias")
+
+
+@query(f"""WITH {SYNTH} SELECT path, 0 AS ordinal, 1 AS level, 'Doc ' || id AS text, NULL::INTEGER AS parent FROM synth
+UNION ALL SELECT path, 1, 2, 'Notes', 0 FROM synth WHERE id % 3 <> 0 UNION ALL SELECT path, 2, 3, 'Detail', 1 FROM synth WHERE id % 3 = 2""")
+def heading_tree(spark, sf_dir):
+    return notes.heading_tree(parsed(spark, sf_dir)).select("path", "ordinal", "level", "text", "parent")
+
+
+# links
+
+
+@query(f"""WITH {SYNTH} SELECT DISTINCT target, resolved FROM resolved""")
+def link_resolve(spark, sf_dir):
+    return graph.resolved(parsed(spark, sf_dir)).select("target", "resolved").distinct()
+
+
+@query(f"""WITH {SYNTH} SELECT stem AS stem_key, path FROM synth WHERE stem IN (SELECT stem FROM synth GROUP BY stem HAVING count(*) > 1)""")
+def link_candidates(spark, sf_dir):
+    return graph.candidates(parsed(spark, sf_dir))
+
+
+@query(f"""WITH {SYNTH} SELECT DISTINCT resolved AS target, source_path AS source FROM resolved WHERE resolved IS NOT NULL""")
+def backlink_edges(spark, sf_dir):
+    return graph.edges(graph.resolved(parsed(spark, sf_dir)))
+
+
+@query(f"""WITH {SYNTH}, hub AS (SELECT resolved AS p FROM resolved WHERE resolved IS NOT NULL GROUP BY resolved ORDER BY count(DISTINCT source_path) DESC, resolved LIMIT 1)
+SELECT source_path AS source, count(*) AS refs FROM resolved, hub WHERE resolved = p GROUP BY source_path""")
+def backlinks(spark, sf_dir):
+    found = graph.resolved(parsed(spark, sf_dir))
+    hub = graph.edges(found).groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").first()
+    return graph.backlinks(found, hub["target"] if hub else "").select("source", F.size("refs").cast("long").alias("refs"))
+
+
+@query(f"""WITH {SYNTH} SELECT source_path AS source, target, resolved FROM resolved""")
+def outgoing(spark, sf_dir):
+    return graph.resolved(parsed(spark, sf_dir)).select("source", "target", "resolved")
+
+
+@query(f"""WITH {SYNTH} SELECT source_path AS source, raw, target FROM resolved WHERE resolved IS NULL""")
+def broken_links(spark, sf_dir):
+    return graph.broken(graph.resolved(parsed(spark, sf_dir))).select("source", "raw", "target")
+
+
+_ORPHANS = """alone AS (SELECT path FROM {synth} WHERE path NOT IN (SELECT resolved FROM {resolved} WHERE resolved IS NOT NULL)),
+outs AS (SELECT source_path, bool_or(resolved IS NOT NULL) AS reaches, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM {resolved} GROUP BY source_path)
+SELECT path, CASE WHEN targets IS NULL THEN 'no_links' ELSE 'broken_outgoing_only' END AS kind, coalesce(targets, '') AS targets
+FROM alone LEFT JOIN outs ON source_path = path WHERE targets IS NULL OR NOT reaches"""
+
+
+@query(f"WITH {SYNTH}, " + _ORPHANS.format(synth="synth", resolved="resolved"))
+def orphans(spark, sf_dir):
+    own = parsed(spark, sf_dir)
+    return graph.orphans(own, graph.resolved(own)).select("path", "kind", F.array_join("targets", ",").alias("targets"))
+
+
+@query(f"""WITH {SYNTH}, back AS (SELECT resolved, count(DISTINCT source_path) AS n FROM resolved WHERE resolved IS NOT NULL GROUP BY resolved)
+SELECT path, stem AS title, coalesce(n, 0) AS backlinks FROM synth LEFT JOIN back ON resolved = path""")
+def note_inspect(spark, sf_dir):
+    own = parsed(spark, sf_dir)
+    return graph.backlink_counts(own, graph.resolved(own)).select("path", "title", "backlinks")
+
+
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT h.page_id, h.href, p.page_id AS target FROM h LEFT JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p ON p.url = h.href""")
+def page_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    known = pages.groupBy("url").agg(F.min("page_id").alias("target"))
+    return hrefs.join(known, F.col("href") == F.col("url"), "left").select("page_id", "href", "target")
+
+
+# lexical search
+
+
+@query(f"WITH {SYNTH}," + _bm25_sql(_SYNTH_FIELDS, ["doc", "the", "detail", "src1"], "synth") + "SELECT path, round(score, 6) AS score FROM scores ORDER BY score DESC, path LIMIT 20")
+def bm25_default(spark, sf_dir):
+    corpus = lexical.fields(parsed(spark, sf_dir))
+    return lexical.top(lexical.scores(corpus, lexical.query_terms("doc the detail src1")), 20).select("path", rounded())
+
+
+@query(f"WITH {SYNTH}," + _bm25_sql({k: _SYNTH_FIELDS[k] for k in ("title", "headings")}, ["doc", "notes"], "synth") + """,
+facets AS (SELECT path, CASE WHEN source = 'src2' THEN 4.0 ELSE 0 END AS f FROM synth)
+SELECT path, round(coalesce(score, 0) + f, 6) AS score FROM facets LEFT JOIN scores USING (path) WHERE coalesce(score, 0) + f > 0 ORDER BY coalesce(score, 0) + f DESC, path LIMIT 20""")
+def bm25_fields(spark, sf_dir):
+    corpus = lexical.fields(parsed(spark, sf_dir))
+    text = lexical.scores(corpus, ["doc", "notes"], {k: lexical.BOOSTS[k] for k in ("title", "headings")})
+    both = text.unionByName(lexical.facet_scores(corpus, ["corpus/src2"])).groupBy("path").agg(F.sum("score").alias("score"))
+    return lexical.top(both, 20).select("path", rounded())
+
+
+@query(rf"""WITH {DOCS}, words(w) AS (VALUES ('thing'), ('ferom')),
+hits AS (SELECT path, CAST(sum(CASE WHEN len(list_filter(ts, lambda x: damerau_levenshtein(x, w) <= 1)) > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS score
+  FROM (SELECT path, list_distinct({TOKENS.format("content")}) AS ts FROM notes), words GROUP BY path)
+SELECT path, round(score, 6) AS score FROM hits WHERE score > 0 ORDER BY score DESC, path LIMIT 20""")
+def bm25_fuzzy(spark, sf_dir):
+    corpus = docs(spark, sf_dir).select("path", F.array_distinct(lexical.tokens(F.col("content"))).alias("body"))
+    return lexical.top(lexical.fuzzy_scores(corpus, ["thing", "ferom"], {"body": 1.0}), 20).select("path", rounded())
+
+
+def _body_scores(spark, sf_dir, terms):
+    corpus = docs(spark, sf_dir).select("path", lexical.tokens(F.col("content")).alias("body"))
+    return lexical.scores(corpus, terms, {"body": 1.0})
+
+
+@query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "from"]) + "SELECT path, round(score, 6) AS score FROM scores WHERE path LIKE 'src1/%' ORDER BY score DESC, path LIMIT 20")
+def bm25_allowed(spark, sf_dir):
+    allowed = docs(spark, sf_dir).where(F.startswith("path", F.lit("src1/"))).select("path")
+    return lexical.top(_body_scores(spark, sf_dir, ["the", "from"]), 20, allowed).select("path", rounded())
+
+
+@query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "from"]) + """, hits AS (SELECT path, score FROM scores ORDER BY score DESC, path LIMIT 50), ends AS (SELECT min(score) AS lo, max(score) AS hi FROM hits)
+SELECT path, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM hits, ends""")
+def bm25_minmax(spark, sf_dir):
+    return lexical.normalized(lexical.top(_body_scores(spark, sf_dir, ["the", "from"]), 50)).select("path", rounded())
+
+
+@query(f"""WITH {DOCS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format("content")})) AS term FROM notes) GROUP BY term""")
+def term_df(spark, sf_dir):
+    return lexical.term_statistics(docs(spark, sf_dir).select("path", lexical.tokens(F.col("content")).alias("body")))
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    corpus = lexical.fields(parsed(spark, sf_dir), stems=True)
+    return lexical.top(lexical.scores(corpus, lexical.query_terms("detailed noting files", stems=True)), 20).select("path", rounded())
+
+
+# regular expressions, listings, budgets
+
+
+@query(rf"""WITH {DOCS} SELECT path, CAST(len(regexp_extract_all(content, '[a-z]+@[a-z0-9]+|[0-9]+[.][0-9]+')) AS BIGINT) AS matches FROM notes WHERE regexp_matches(content, '[a-z]+@[a-z0-9]+|[0-9]+[.][0-9]+') ORDER BY path LIMIT 20""")
+def regex_search(spark, sf_dir):
+    found = search.search_regex(docs(spark, sf_dir), "[a-z]+@[a-z0-9]+|[0-9]+[.][0-9]+", 20, 40)
+    return found.select("path", F.size("matches").cast("long").alias("matches"))
+
+
+@query(rf"""WITH {DOCS} SELECT path, CAST(len(regexp_extract_all(content, '(?i)licensed under')) AS BIGINT) AS matches FROM notes WHERE contains(lower(content), 'licensed under') ORDER BY path LIMIT 20""")
+def literal_search(spark, sf_dir):
+    found = search.search_literal(docs(spark, sf_dir), "LICENSED under", 20)
+    return found.select("path", F.size("matches").cast("long").alias("matches"))
+
+
+@query(f"""WITH {DOCS} SELECT path, path LIKE 'src1/%' OR path LIKE '%/doc-1_.md' OR path LIKE '%7.md' AS excluded FROM notes""")
+def exclude_globs(spark, sf_dir):
+    rules = paths.exclusion_rules(["src1/", "**/doc-1?.md"], ["*7.md", "src1/"])
+    return docs(spark, sf_dir).select("path", folder.excluded(F.col("path"), rules).alias("excluded"))
+
+
+@query(f"""WITH {DOCS} SELECT DISTINCT source AS path, 'directory' AS kind FROM notes""")
+def list_depth(spark, sf_dir):
+    return search.listing(docs(spark, sf_dir), recursive=True, max_depth=1).select("path", "kind")
+
+
+@query(f"""WITH {SYNTH} SELECT path, stem AS title, CAST(CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INTEGER) AS headings FROM synth WHERE source = 'src1'
+UNION ALL SELECT DISTINCT source || '/' || id, NULL, NULL FROM synth WHERE shared AND source = 'src1'""")
+def list_metadata(spark, sf_dir):
+    files = search.listing(synth(spark, sf_dir).select("path"), "src1", recursive=True)
+    own = parsed(spark, sf_dir).select("path", "title", F.size("headings").alias("headings"))
+    return files.join(own, "path", "left").select("path", "title", "headings")
+
+
+@query(f"""WITH {DOCS}, entries AS (SELECT path, string_split(path, '/') AS parts FROM notes UNION ALL SELECT DISTINCT source, [source] FROM notes)
+SELECT path, row_number() OVER (ORDER BY parts) AS place FROM entries ORDER BY parts LIMIT 100""")
+def tree_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    first = search.listing(docs(spark, sf_dir), recursive=True).select("path").limit(100)
+    return first.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("place"))
+
+
+@query(f"""WITH RECURSIVE {DOCS}, firsts AS (SELECT path, CAST(strlen(content) AS BIGINT) AS size, row_number() OVER (ORDER BY path) AS n FROM notes ORDER BY path LIMIT 20),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, '' AS path, CAST(0 AS BIGINT) AS size, false AS taken, CAST(20000 AS BIGINT) AS left_over
+  UNION ALL SELECT f.n, f.path, f.size, f.size <= left_over, left_over - CASE WHEN f.size <= left_over THEN f.size ELSE 0 END FROM fold JOIN firsts f ON f.n = fold.n + 1)
+SELECT path, size, taken FROM fold WHERE n > 0""")
+def read_many_budget(spark, sf_dir):
+    return search.read_many(docs(spark, sf_dir), 20, 20_000)
+
+
+@query("""SELECT * FROM (VALUES ('a//b/./c.md', 'a/b/c.md'), ('a/../b.md', 'b.md'), ('a\\b\\c.md', 'a/b/c.md'), ('x', 'x')) t(raw, path)""")
+def path_normalize(spark, sf_dir):
+    raw = ["a//b/./c.md", "a/../b.md", "a\\b\\c.md", "x"]
+    return spark.createDataFrame([(r, paths.normalize(r)) for r in raw], "raw string, path string")
+
+
+@query("""SELECT * FROM (VALUES ('a b/c.md', 'a%20b/c.md'), ('é~_-.', '%C3%A9~_-.'), ('50%+', '50%25%2B')) t(raw, encoded)""")
+def percent_encode(spark, sf_dir):
+    return spark.createDataFrame([(r, paths.percent_encode(r)) for r in ("a b/c.md", "é~_-.", "50%+")], "raw string, encoded string")
+
+
+# vectors
+
+
+def _chunks(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("note-"), F.col("vec_id") % 100, F.lit(".md")).alias("path"), F.col("vec_id").alias("start"), F.col("embedding").alias("vector"))
+
+
+def _query_vector(spark, sf_dir):
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+_COSINE = "cos AS (SELECT vec_id, 'note-' || (vec_id % 100) || '.md' AS path, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)"
+_BEST = _COSINE + ", best AS (SELECT path, score, vec_id AS start FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, vec_id) AS rn FROM cos) WHERE rn = 1)"
+
+
+@query(f"WITH {_COSINE} SELECT vec_id, round(score, 6) AS score FROM cos ORDER BY score DESC, vec_id LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    scored = e.select("vec_id", vectors.cosine(F.col("embedding"), _query_vector(spark, sf_dir)).alias("score"))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id", rounded())
+
+
+@query(f"WITH {_BEST} SELECT path, round(score, 6) AS score, start FROM best")
+def best_chunk(spark, sf_dir):
+    return vectors.best_chunks(_chunks(spark, sf_dir), _query_vector(spark, sf_dir)).select("path", rounded(), "start")
+
+
+@query(f"WITH {_BEST} SELECT path, round(score, 6) AS score FROM best WHERE CAST(regexp_extract(path, '[0-9]+') AS INTEGER) < 50 ORDER BY best.score DESC, path LIMIT 10")
+def semantic_live_only(spark, sf_dir):
+    live = _chunks(spark, sf_dir).select("path").distinct().where(F.regexp_extract("path", "[0-9]+", 0).cast("int") < 50)
+    return vectors.semantic(_chunks(spark, sf_dir), _query_vector(spark, sf_dir), 10, live).select("path", rounded())
+
+
+@query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "from"]) + f""", {_COSINE},
+own AS (SELECT n.path, c.score AS cosine FROM notes n JOIN cos c ON c.vec_id = n.doc_id),
+hits AS (SELECT path, score FROM scores WHERE path IN (SELECT path FROM own) ORDER BY score DESC, path LIMIT 50), ends AS (SELECT min(score) AS lo, max(score) AS hi FROM hits),
+norm AS (SELECT path, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS lexical FROM hits, ends)
+SELECT path, round(lexical, 6) AS lexical, round(cosine, 6) AS cosine, round(0.25 * lexical + 0.75 * cosine, 6) AS score FROM norm JOIN own USING (path) ORDER BY 0.25 * lexical + 0.75 * cosine DESC, path LIMIT 10""")
+def hybrid_rank(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("start"), F.col("embedding").alias("vector"))
+    chunks = docs(spark, sf_dir).select("path", "doc_id").join(e, F.col("doc_id") == F.col("start"))
+    hits = lexical.normalized(lexical.top(_body_scores(spark, sf_dir, ["the", "from"]), 50, chunks.select("path")))
+    found = vectors.hybrid(hits, vectors.best_chunks(chunks, _query_vector(spark, sf_dir)), 10, 0.25)
+    return found.select("path", rounded("lexical"), rounded("cosine"), rounded())
+
+
+def _edited(spark, sf_dir):
+    return docs(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+
+
+_EDITED = "edited AS (SELECT doc_id, path, CASE WHEN doc_id % 10 = 0 THEN content || ' edited' ELSE content END AS content FROM notes)"
+
+
+@query(f"WITH {DOCS}, {_EDITED} SELECT path, sha256(content) IN (SELECT sha256(content) FROM notes) AS reused FROM edited")
+def chunk_reuse(spark, sf_dir):
+    hashed = lambda df: df.select("path", notes.source_revision(F.col("content")).alias("input_hash"))
+    cached = hashed(docs(spark, sf_dir)).withColumn("vector", F.array(F.lit(1.0)))
+    return vectors.reuse(hashed(_edited(spark, sf_dir)), cached).select("path", F.col("vector").isNotNull().alias("reused"))
+
+
+@query(f"WITH {DOCS}, {_EDITED} SELECT n.path, CASE WHEN n.doc_id % 25 = 0 THEN 'unavailable' WHEN n.content = e.content THEN 'current' ELSE 'changed' END AS status FROM notes n JOIN edited e USING (path)")
+def evidence_status(spark, sf_dir):
+    hits = docs(spark, sf_dir).select("path", notes.source_revision(F.col("content")).alias("revision"))
+    now = _edited(spark, sf_dir).where(F.col("doc_id") % 25 != 0).select("path", notes.source_revision(F.col("content")).alias("revision"))
+    return vectors.evidence_status(hits, now)
+
+
+# chunks
+
+
+def chunked(df: DataFrame, max_tokens: int = 200) -> DataFrame:
+    """One row per chunk of (path, content)."""
+    import pyarrow as pa
+
+    row = pa.schema([("path", pa.string()), ("scope", pa.string()), ("text", pa.string()), ("input_hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("overlap_start", pa.int64()), ("heading_path", pa.list_(pa.string())), ("block_kind", pa.string())])
+
+    def of(batches):
+        for b in batches:
+            for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                rows = [{"path": p} | x for x in chunker.chunks(paths.stem(p), c or "", max_tokens)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=row)
+
+    return df.select("path", "content").mapInArrow(of, "path string, scope string, text string, input_hash string, start bigint, end bigint, overlap_start bigint, heading_path array<string>, block_kind string")
+
+
+def coverage(chunks: DataFrame) -> DataFrame:
+    """Gaps between the chunks of each note, and the bytes that they cover."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("path").orderBy("start")
+    gap = F.when(F.lag("end").over(by) != F.col("start"), 1).otherwise(0)
+    return chunks.withColumn("gap", gap).groupBy("path").agg(F.sum("gap").alias("gaps"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
+@query(f"""WITH {DOCS} SELECT path, CAST(0 AS BIGINT) AS gaps, CAST(strlen(content) AS BIGINT) AS bytes FROM notes WHERE trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def chunk_coverage(spark, sf_dir):
+    return coverage(chunked(docs(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE firsts AS (SELECT doc_id, CAST(least(n_chars, 5000) AS BIGINT) AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents ORDER BY doc_id LIMIT 200),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS total
+  UNION ALL SELECT f.n, f.doc_id, CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN batch WHEN items = 0 THEN batch ELSE batch + 1 END,
+    CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN items + 1 ELSE 1 END, CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN total + size ELSE size END
+  FROM fold JOIN firsts f ON f.n = fold.n + 1)
+SELECT doc_id, batch FROM fold WHERE n > 0""")
+def plan_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.least("n_chars", F.lit(5000)).alias("size")).orderBy("doc_id").limit(200).collect()
+    out, batch, at = [], 0, 0
+    while at < len(rows):
+        n = chunker.plan_batch([r["size"] for r in rows[at:]], 8, 20_000)
+        out += [(r["doc_id"], batch) for r in rows[at : at + n]]
+        at, batch = at + n, batch + 1
+    return spark.createDataFrame(out, "doc_id bigint, batch bigint")
+
+
+# periodic notes and other functions
+
+
+@F.udf("string", useArrow=True)
+def _daily(d):
+    return periodic.note_path(d, "YYYY/MM/YYYY-MM-DD", "journal") if d else None
+
+
+def _dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT d, 'journal/' || strftime(d, '%Y/%m/%Y-%m-%d') || '.md' AS daily, printf('%04d-W%02d', isoyear(d), week(d)) AS weekly, strftime(d, '%Y-%m') AS monthly, year(d) || '-Q' || quarter(d) AS quarterly FROM d""")
+def periodic_path(spark, sf_dir):
+    d = F.col("d")
+    weekly = F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), d), F.weekofyear(d))
+    return _dates(spark, sf_dir).select("d", _daily("d").alias("daily"), weekly.alias("weekly"), F.date_format(d, "yyyy-MM").alias("monthly"), F.concat(F.year(d), F.lit("-Q"), F.quarter(d)).alias("quarterly"))
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT d, CAST(date_trunc('week', d) AS DATE) AS week, CAST(date_trunc('month', d) AS DATE) AS month, CAST(date_trunc('quarter', d) AS DATE) AS quarter FROM d""")
+def periodic_parse(spark, sf_dir):
+    def parser(fmt):
+        return F.udf(lambda d: periodic.parse_date(periodic.format_date(d, fmt), fmt) if d else None, "date", useArrow=True)
+
+    return _dates(spark, sf_dir).select("d", *[parser(periodic.DEFAULTS[p])("d").alias(name) for p, name in (("weekly", "week"), ("monthly", "month"), ("quarterly", "quarter"))])
+
+
+@query("""SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || '.md' AS path FROM orders ORDER BY path DESC LIMIT 10""")
+def periodic_recent(spark, sf_dir):
+    names = _dates(spark, sf_dir).select(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(".md")).alias("path"))
+    found = names.withColumn("d", F.try_to_timestamp(F.regexp_replace("path", r"\.md$", ""), F.lit("yyyy-MM-dd")))
+    return found.where("d IS NOT NULL").orderBy(F.desc("d")).limit(10).select("path")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT d, '# note ' || strftime(d, '%d.%m.%Y') || ' on ' || strftime(d, '%Y-%m-%d') AS text FROM d""")
+def template_expand(spark, sf_dir):
+    expand = F.udf(lambda d: periodic.expand_template("# {{title}} {{date:DD.MM.YYYY}} on {{date}}", d, "note"), "string", useArrow=True)
+    return _dates(spark, sf_dir).select("d", expand("d").alias("text"))
+
+
+@query("SELECT CAST(n AS INTEGER) AS attempt, CAST(least(30, pow(2, least(n, 6) - 1)) AS INTEGER) AS delay FROM range(1, 11) t(n)")
+def retry_backoff(spark, sf_dir):
+    return spark.range(1, 11).select(F.col("id").cast("int").alias("attempt"), F.least(F.lit(30), F.pow(F.lit(2), F.least(F.col("id"), F.lit(6)) - 1).cast("int")).alias("delay"))
+
+
+# access
+
+
+_POLICY = access.Policy(
+    grants=(access.Rule("g1", directory="src1"), access.Rule("g2", directory="src2", role="editor"), access.Rule("g3", file="src3/doc-3.md")),
+    denies=(access.Rule("d1", directory="SRC2/"), access.Rule("d2", file="src1/doc-1.md")),
+)
+
+
+@query(f"""WITH {DOCS} SELECT path, CASE WHEN lower(path) LIKE 'src2/%' OR lower(path) = 'src1/doc-1.md' THEN 'denied' WHEN path LIKE 'src1/%' OR path = 'src3/doc-3.md' THEN 'allowed' ELSE 'no_grant' END AS reason,
+CASE WHEN lower(path) LIKE 'src2/%' THEN 'd1' WHEN lower(path) = 'src1/doc-1.md' THEN 'd2' WHEN path LIKE 'src1/%' THEN 'g1' WHEN path = 'src3/doc-3.md' THEN 'g3' END AS rule FROM notes""")
+def acl_decision(spark, sf_dir):
+    d = access.decision(_POLICY)
+    return docs(spark, sf_dir).select("path", d["reason"].alias("reason"), d["rule"].alias("rule"))
+
+
+@query(f"""WITH {DOCS} SELECT path, 'file' AS kind FROM notes WHERE (path LIKE 'src1/%' AND path <> 'src1/doc-1.md') OR path = 'src3/doc-3.md'
+UNION ALL SELECT DISTINCT source, 'directory' FROM notes WHERE source IN ('src1', 'src3')""")
+def acl_listing(spark, sf_dir):
+    return access.visible_listing(docs(spark, sf_dir), _POLICY)
+
+
+_VISIBLE = SYNTH.replace("synth AS (SELECT *,", "synth AS (SELECT * FROM (SELECT *,").replace("AS path FROM base)", "AS path FROM base) WHERE source IN ('src1', 'src3', 'src4', 'src5') AND id % 2 = 1)")
+
+
+@query(f"WITH {_VISIBLE} SELECT source_path AS source, target, resolved FROM resolved")
+def acl_graph(spark, sf_dir):
+    policy = access.Policy(grants=tuple(access.Rule(s, directory=s) for s in ("src1", "src3", "src4", "src5")))
+    seen = access.readable(synth(spark, sf_dir).where(F.col("doc_id") % 2 == 1), policy)
+    return graph.resolved(notes.indexed(notes.parse(seen))).select("source", "target", "resolved")
+
+
+@query(f"WITH {SYNTH} SELECT path FROM synth WHERE quality = 1 AND source IN ('src1', 'src4') AND FALSE OR (path LIKE 'src1/%' AND lang = 'en')")
+def audience_scope(spark, sf_dir):
+    scope = access.Audience(("src1/",), {})
+    return parsed(spark, sf_dir).where(access.in_audience(scope) & notes.has_tag("en")).select("path")
+
+
+@query(f"""WITH {DOCS}, lines AS (SELECT path, substr(sha256(path), 1, 3) AS shelf, sha256(lpad(CAST(length(path) AS VARCHAR), 8, '0') || path || sha256(content)) AS line FROM notes),
+shelves AS (SELECT shelf, sha256(string_agg(line, '' ORDER BY path)) AS h FROM lines GROUP BY shelf)
+SELECT sha256(string_agg(h, '' ORDER BY shelf)) AS fingerprint FROM shelves""")
+def corpus_fingerprint(spark, sf_dir):
+    return access.fingerprint(docs(spark, sf_dir).select("path", notes.source_revision(F.col("content")).alias("revision")))
+
+
+# changes
+
+
+def _changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "remove").otherwise("upsert")
+    return e.select(F.concat(F.lit("user-"), F.col("user_id"), F.lit(".md")).alias("path"), kind.alias("kind"), F.col("event_id").alias("generation"))
+
+
+_LATEST = "latest AS (SELECT 'user-' || user_id || '.md' AS path, max(event_id) AS generation, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'remove' ELSE 'upsert' END AS kind FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {_LATEST} SELECT path, generation, kind FROM latest")
+def latest_generation(spark, sf_dir):
+    return incremental.latest(_changes(spark, sf_dir))
+
+
+@query(f"WITH {_LATEST} SELECT path, kind, generation FROM latest WHERE generation % 3 <> 0 ORDER BY CASE kind WHEN 'remove' THEN 0 ELSE 1 END, generation, path LIMIT 32")
+def due_batch(spark, sf_dir):
+    work = incremental.latest(_changes(spark, sf_dir)).withColumn("not_before", F.when(F.col("generation") % 3 == 0, 100.0).otherwise(0.0))
+    return incremental.due(work, 50.0, 32).select("path", "kind", "generation")
+
+
+@query(f"""WITH {_LATEST}, w AS (SELECT CASE WHEN generation % 2 = 0 THEN 'done' ELSE kind END AS kind FROM latest), c AS (SELECT count(*) FILTER (kind = 'done') AS indexed, (SELECT count(*) FROM latest) AS total, count(*) FILTER (kind <> 'done') AS pending FROM w)
+SELECT indexed, total, pending, CASE WHEN pending > 0 THEN 'warming' ELSE 'ready' END AS phase FROM c""")
+def semantic_status(spark, sf_dir):
+    work = incremental.latest(_changes(spark, sf_dir)).withColumn("kind", F.when(F.col("generation") % 2 == 0, "done").otherwise(F.col("kind")))
+    return incremental.status(work, work.count())
+
+
+def _two_listings(spark, sf_dir):
+    d = docs(spark, sf_dir).select("path", "doc_id", F.octet_length("content").alias("size"), F.lit(0).alias("modified"), F.col("doc_id").alias("generation"))
+    now = d.where(F.col("doc_id") % 7 != 0).withColumn("size", F.when(F.col("doc_id") % 11 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return d.where(F.col("doc_id") % 13 != 0), now
+
+
+@query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 13 <> 0 AND doc_id % 7 = 0 AND doc_id <= 500")
+def reconcile_removed(spark, sf_dir):
+    was, now = _two_listings(spark, sf_dir)
+    return incremental.removed(was, now, 500)
+
+
+@query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 7 <> 0 AND (doc_id % 13 = 0 OR doc_id % 11 = 0)")
+def reconcile_changed(spark, sf_dir):
+    return incremental.changed(*_two_listings(spark, sf_dir))
+
+
+@query(f"""WITH {SYNTH} SELECT path, 'inserted' || chr(10) || '# Doc ' || id AS head FROM synth""")
+def prepend_after_fm(spark, sf_dir):
+    from marginalia.functions import frontmatter
+
+    put = F.udf(lambda c: frontmatter.prepend(c, "inserted"), "string", useArrow=True)
+    text = synth(spark, sf_dir).select("path", put("content").alias("c"))
+    return text.select("path", F.regexp_extract("c", r"---\n(inserted\n# Doc \d+)\n", 1).alias("head"))
+
+
+@query(f"""WITH {SYNTH} SELECT path, CASE WHEN id % 3 = 0 THEN '' ELSE 'patched' END AS line FROM synth""")
+def patch_heading(spark, sf_dir):
+    def put(c):
+        try:
+            return markdown.patch(c, "prepend", "heading", "Notes", "patched")
+        except KeyError:
+            return c
+
+    text = synth(spark, sf_dir).select("path", F.udf(put, "string", useArrow=True)("content").alias("c"))
+    return text.select("path", F.regexp_extract("c", r"## Notes\n(patched)\n", 1).alias("line"))
