@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from marginalia.functions.stemmer import stem
 
@@ -26,7 +27,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed(words: pd.Series) -> pd.Series:
     """English stems of token arrays; tokens of MAX_TOKEN_BYTES or more go."""
     return words.map(lambda ws: [stem(w) for w in ws if len(w.encode()) < MAX_TOKEN_BYTES])

@@ -462,11 +462,6 @@ def plan_batches(spark, sf_dir):
 # periodic notes and other functions
 
 
-@F.udf("string", useArrow=True)
-def _daily(d):
-    return periodic.note_path(d, "YYYY/MM/YYYY-MM-DD", "journal") if d else None
-
-
 def _dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
 
@@ -475,8 +470,9 @@ def _dates(spark, sf_dir):
 SELECT d, 'journal/' || strftime(d, '%Y/%m/%Y-%m-%d') || '.md' AS daily, printf('%04d-W%02d', isoyear(d), week(d)) AS weekly, strftime(d, '%Y-%m') AS monthly, year(d) || '-Q' || quarter(d) AS quarterly FROM d""")
 def periodic_path(spark, sf_dir):
     d = F.col("d")
+    daily = F.udf(lambda d: periodic.note_path(d, "YYYY/MM/YYYY-MM-DD", "journal") if d else None, "string", useArrow=True)
     weekly = F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), d), F.weekofyear(d))
-    return _dates(spark, sf_dir).select("d", _daily("d").alias("daily"), weekly.alias("weekly"), F.date_format(d, "yyyy-MM").alias("monthly"), F.concat(F.year(d), F.lit("-Q"), F.quarter(d)).alias("quarterly"))
+    return _dates(spark, sf_dir).select("d", daily("d").alias("daily"), weekly.alias("weekly"), F.date_format(d, "yyyy-MM").alias("monthly"), F.concat(F.year(d), F.lit("-Q"), F.quarter(d)).alias("quarterly"))
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
