@@ -54,3 +54,14 @@ def sampled_labels(labels: DataFrame, label: str, bound: int, mod: int = 5) -> D
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is called so (columns are named without regard to case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken or f"{name.lower()}_" in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

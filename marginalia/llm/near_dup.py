@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from marginalia.llm.common import body, empty_like, small, stash
+from marginalia.llm.common import body, empty_like, small, stash, unused
 
 BITS, SEED = 64, 42
 #: Table rows of one segment value that one task holds; more are dealt out over salts.
@@ -152,9 +153,8 @@ def _search(radius: int, names: list[str]):
                 n = many[i:j]
                 p = np.repeat(who[i:j], n)
                 t = np.repeat(starts[group[who[i:j]]] - np.cumsum(n) + n, n) + np.arange(len(p))
-                far = np.bitwise_count(fps[0][p] ^ fps[0][t]).astype(np.int16)
-                for f in fps[1:]:
-                    far += np.bitwise_count(f[p] ^ f[t])
+                # counted as unsigned numbers: of a negative one, numpy counts the bits of its absolute value
+                far = sum(np.bitwise_count((f[p] ^ f[t]).view(np.uint64)).astype(np.int16) for f in fps)
                 near = (fps[0][p] < fps[0][t]) & (far <= radius)
                 if near.any():
                     a, b = _forest(fps[0][p[near]], fps[0][t[near]])
@@ -235,27 +235,23 @@ def deduplicate(docs: DataFrame, width: int = 5, **how) -> DataFrame:
     A row whose doc_id is null stays only if its group has no other row. Columns are those of docs.
     """
     how = DEDUP | how
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    found = stash(components(stash(fingerprints(docs, width, how["longs"]), "fingerprints"), **how).select("doc_id", "component_id"), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    # ids that several rows carry: such rows are told apart by their fingerprint
-    named = components(fingerprints(docs, width, how["longs"]), **how).dropDuplicates()
     names = _names(how["longs"])
-    marks = named.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in names], F.col("component_id").alias("_component"))
-
+    found = stash(components(stash(fingerprints(docs, width, how["longs"]), "fingerprints"), **how), "components")
+    own, component, *bits = unused(docs, "own", "component", *names)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        gone = found.where(~stays).select(F.col("doc_id").alias(own)).distinct()
+        return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+
+    # ids that several rows carry: such rows are told apart by their fingerprints
     def mark(batches):
         for b in batches:
-            fps = np.array([fingerprint((x or "").encode(), width, how["longs"]) for x in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, how["longs"]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, n]) for n in range(how["longs"]))], names=[*b.schema.names, *(f"_own_{c}" for c in names)])
-
-    from pyspark.sql.types import LongType, StructType
-
-    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, *StructType().add("_own_fp", LongType()).fields, *[f for c in names[1:] for f in StructType().add(f"_own_{c}", LongType()).fields]]))
-    on = F.col("doc_id").eqNullSafe(F.col("_id"))
-    for c in names:
-        on &= F.col(f"_own_{c}") == F.col(f"_{c}")
-    kept = marked.join(marks, on).where(F.col("doc_id").eqNullSafe(F.col("_component")))
-    return kept.dropDuplicates(["doc_id", "_component"]).select(*docs.columns)
+            fps = np.array([fingerprint((x or "").encode(), width, len(bits)) for x in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, len(bits)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, n]) for n in range(len(bits)))], names=[*b.schema.names, *bits])
+
+    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in bits)]))
+    marks = found.where(stays).select(F.col("doc_id").alias(own), F.col("component_id").alias(component), *[F.col(c).alias(f"{b}_") for c, b in zip(names, bits)]).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(own))
+    for b in bits:
+        on &= F.col(b) == F.col(f"{b}_")
+    return marked.join(marks, on).dropDuplicates(["doc_id", component]).select(*docs.columns)

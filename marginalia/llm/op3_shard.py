@@ -17,6 +17,8 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import unused
+
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
 SLOTS = 2039
 #: The largest table that may be broadcast.
@@ -56,9 +58,10 @@ def slot(slots: int = SLOTS) -> Column:
 
 def place(docs: DataFrame, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """docs with the columns slot and shard (in place of columns with these names)."""
-    kept = [c for c in docs.columns if c not in ("slot", "shard")]
-    table = docs.sparkSession.createDataFrame(list(enumerate(shards[k] for k in fill(shards, slots))), "_slot int, shard string")
-    return docs.select(*kept, slot(slots).alias("slot")).join(F.broadcast(table), F.col("slot") == F.col("_slot")).drop("_slot")
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    (key,) = unused(docs, "key")
+    table = docs.sparkSession.createDataFrame(list(enumerate(shards[k] for k in fill(shards, slots))), f"{key} int, shard string")
+    return docs.select(*kept, slot(slots).alias("slot")).join(F.broadcast(table), F.col("slot") == F.col(key)).select(*kept, "slot", "shard")
 
 
 def op3_shard(spark, sf_dir: str) -> DataFrame:

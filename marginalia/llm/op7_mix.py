@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SPACE, body, small, stash
+from marginalia.llm.common import SPACE, body, small, stash, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -70,11 +70,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     sized = docs.select(F.col("source").cast("string").alias("source"), sizes(docs).alias("size"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stash(targets(totals, weights, share, ceiling), "targets")
-    rates = goal.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    joined = docs.join(small(rates), F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    copies = F.floor("_rate") + F.when(chance(seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    many = joined.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, rate, many, copy = unused(docs, "key", "rate", "many", "copy")
+    rates = goal.select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    joined = docs.join(small(rates), F.col("source").cast("string").eqNullSafe(F.col(key)))
+    r = F.col(rate)
+    copies = F.floor(r) + F.when(chance(seed) < r - F.floor(r), 1).otherwise(0)
+    taken = joined.withColumn(many, copies.cast("int")).where(F.col(many) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
