@@ -1,10 +1,11 @@
 """Toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
-Fit: terms of at most `bound` labelled training documents are tested for association with the label
-(log-likelihood ratio, with a bar that rises with the number of terms tested, so that few pass by
-chance); those that pass are the index's dimensions. The examples' TF-IDF vectors over them go into an
-inverted index whose postings are cut into blocks of examples, each block with the largest weight of
-each term. Search: block upper bounds come first, blocks are scored exactly in falling order of them and
+Fit: terms (words, and their first letters, which stand for a word's other forms) of at most `bound`
+labelled training documents are tested for association with label 1 (log-likelihood ratio, with a bar
+that rises with the number of terms tested, so that few pass by chance, and a share of the documents
+with label 1 that one group of copies doesn't reach); those that pass are the index's dimensions. The
+examples' TF-IDF vectors over them go into an inverted index whose postings are cut into blocks of
+examples, each block with the largest weight of each term. Search: block upper bounds come first, blocks are scored exactly in falling order of them and
 the search stops when no block left can hold a nearer example, so the neighbours are exact. Votes are
 weighted by similarity and put through a logistic curve fitted on leave-one-out votes.
 
@@ -30,11 +31,18 @@ from pyspark.sql.types import StructType
 from marginalia.llm.common import body, in_fold, sampled_labels, stash
 
 BOUND, NEIGHBOURS, BLOCK, VOCABULARY = 16_000, 15, 64, 20_000
+BEGINNINGS, LEAST_SHARE = (3, 4, 5, 6), 0.02
 _terms = re.compile(r"[^\W\d_]+").findall
 
 
-def terms(text: str) -> list[str]:
-    return _terms(text.lower())
+def terms(text: str, wanted=None) -> Counter:
+    """How often each word and each beginning of a longer word occurs; only the wanted ones if they are given."""
+    out: Counter = Counter()
+    for w, n in Counter(_terms(text.lower())).items():
+        for t in (w, *(f"{w[:k]}-" for k in BEGINNINGS if len(w) > k)):
+            if wanted is None or t in wanted:
+                out[t] += n
+    return out
 
 
 def surprise(n: int, k: int, total: int, ones: int) -> float:
@@ -129,8 +137,7 @@ class Index:
 
     def score(self, text: str) -> tuple[float, list[int]]:
         """A calibrated score and the numbers of the nearest examples (the evidence)."""
-        found = Counter(t for t in terms(text) if t in self.dim)
-        v = self.vector(found)
+        v = self.vector(terms(text, self.dim))
         if v is None:
             return self.blank, []
         a, b = self.curve
@@ -144,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
 
     def of(batches):
         for b in batches:
-            got = [Counter(terms(x)) for x in b.column("text").to_pylist()]
+            got = [terms(x) for x in b.column("text").to_pylist()]
             cols = [pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], names=["doc_id", "y", "terms", "counts"])
 
@@ -166,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
         + cell(ones - k, (total - n) * ones / total)
         + cell(total - ones - n + k, (total - n) * (total - ones) / total)
     )
-    passed = tested.where("n >= 3").withColumn("g", g).where(F.col("g") > float(bar)).orderBy(F.desc("g"), "t").limit(VOCABULARY).collect()
+    leads = (k * total > n * ones) & (k >= LEAST_SHARE * ones)
+    passed = tested.where("n >= 3").where(leads).withColumn("g", g).where(F.col("g") > float(bar)).orderBy(F.desc("g"), "t").limit(VOCABULARY).collect()
     idf = {r["t"]: float(np.log((1 + total) / (1 + r["n"])) + 1) for r in passed if abs(surprise(r["n"], r["k"], total, ones) - r["g"]) < 1}
     words = F.array(*[F.lit(t) for t in sorted(idf)]) if len(idf) < 500 else None
     table = sample.select("doc_id", "y", F.arrays_zip("terms", "counts").alias("x"))
