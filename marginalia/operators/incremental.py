@@ -42,7 +42,7 @@ def due(work: DataFrame, now: float, batch: int) -> DataFrame:
 def merge(base: DataFrame, changes: DataFrame, contents: DataFrame) -> DataFrame:
     """base (path, content, generation) after the newest changes: upserts take their content, removals go, stale changes don't count."""
     newest = latest(changes).withColumnRenamed("generation", "g")
-    joined = base.join(newest, "path", "full_outer").where(F.col("g").isNull() | F.col("generation").isNull() | (F.col("g") > F.col("generation")) | (F.col("g") <= F.col("generation")))
+    joined = base.join(newest, "path", "full_outer")
     wins = F.col("g").isNotNull() & (F.col("generation").isNull() | (F.col("g") > F.col("generation")))
     fresh = contents.select("path", F.col("generation").alias("cg"), F.col("content").alias("fresh"))
     kept = joined.where(~(wins & (F.col("kind") == "remove"))).withColumn("wins", wins)
