@@ -65,3 +65,17 @@ def initial_generations(paths: DataFrame) -> DataFrame:
 
     offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     return sorted_rows.join(F.broadcast(offsets), "part").select("path", (F.col("before") + F.col("n") + 1).alias("generation"))
+
+
+def refreshed(tracked: DataFrame, present: DataFrame) -> DataFrame:
+    """tracked (path, revision, size, modified) with the present size and time where the revision is the same."""
+    now = present.select("path", F.col("revision").alias("r"), F.col("size").alias("s"), F.col("modified").alias("m"))
+    same = F.col("r") == F.col("revision")
+    return tracked.join(now, "path", "left").select("path", "revision", F.when(same, F.col("s")).otherwise(F.col("size")).alias("size"), F.when(same, F.col("m")).otherwise(F.col("modified")).alias("modified"))
+
+
+def warm_start(saved: DataFrame | None, paths: DataFrame, first_pass_complete: bool) -> tuple[DataFrame | None, bool]:
+    """Saved vectors of notes that still exist and whether they can be queried at once; None makes a rebuild."""
+    if saved is None:
+        return None, False
+    return saved.join(paths.select("path"), "path", "left_semi"), first_pass_complete

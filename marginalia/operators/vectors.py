@@ -67,3 +67,25 @@ def load(spark, path: str, identity: str) -> DataFrame | None:
         return spark.read.parquet(f"{path}/{identity}")
     except AnalysisException:
         return None
+
+
+def embed(chunks: DataFrame, embedder, max_items: int = 32, max_tokens: int = 8192) -> DataFrame:
+    """chunks (path, start, text, input_hash) with a vector each; requests are bounded, a task holds one Arrow batch."""
+    import pyarrow as pa
+
+    from marginalia.functions.embedders import in_batches
+
+    def of(batches):
+        for b in batches:
+            vectors = in_batches(embedder, [t or "" for t in b.column("text").to_pylist()], max_items, max_tokens)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*b.schema.names, "vector"])
+
+    return chunks.select("path", "start", "text", "input_hash").mapInArrow(of, "path string, start bigint, text string, input_hash string, vector array<float>")
+
+
+def embed_missing(chunks: DataFrame, cached: DataFrame, embedder) -> DataFrame:
+    """(path, start, input_hash, vector): vectors of known inputs are taken over, each new input is embedded once."""
+    found = reuse(chunks, cached)
+    missing = found.where(F.col("vector").isNull()).groupBy("input_hash").agg(F.min("path").alias("path"), F.min("start").alias("start"), F.first("text").alias("text"))
+    made = embed(missing, embedder).select("input_hash", F.col("vector").alias("made"))
+    return found.join(made, "input_hash", "left").select("path", "start", "input_hash", F.coalesce("vector", "made").alias("vector"))

@@ -46,7 +46,8 @@ class Vault:
     def parsed(self) -> DataFrame:
         """Parsed notes; those with broken front matter are left out (see rejected)."""
         if self._parsed is None:
-            self._parsed = notes.parse(self._corpus)
+            # parsed once for all branches of a plan; what doesn't fit in memory goes to disk, what is lost is parsed again
+            self._parsed = notes.parse(self._corpus).persist()
         return notes.indexed(self._parsed)
 
     def rejected(self) -> DataFrame:
@@ -191,6 +192,8 @@ class Vault:
         self._refresh()
 
     def _refresh(self) -> None:
+        if self._parsed is not None:
+            self._parsed.unpersist()
         self._corpus, self._others, self._parsed = folder.notes(self.spark, self.root, self.rules), folder.inventory(self.spark, self.root, self.rules), None
 
     def _text(self, path: str) -> str | None:
