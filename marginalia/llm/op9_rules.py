@@ -23,7 +23,7 @@ from marginalia.llm.common import SPACE, WORD, body, small, stash
 
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
 #: The lowest fences: no document below them is rejected, however clean its group.
-FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.3}
+FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.3}
 MIDDLE, UPPER, SPREAD, LEAST = 0.5, 0.75, 6.0, 50
 #: Distinct repeated windows up to which a window is looked up in their list; beyond it, windows are sorted.
 _FEW = 12
@@ -172,7 +172,7 @@ run AS (SELECT *, sum(n) OVER (PARTITION BY g, lang, source, ratio ORDER BY buck
 points AS (
   SELECT g, lang, source, ratio, max(total) AS total, min(bucket) FILTER (upto >= 0.5 * total) AS b, min(bucket) FILTER (upto >= 0.75 * total) AS c FROM run GROUP BY ALL),
 levels AS (SELECT *, CASE WHEN b = 0 THEN 0 ELSE pow(1.02, b - 0.5) / 1e4 END AS mid, CASE WHEN c = 0 THEN 0 ELSE pow(1.02, c - 0.5) / 1e4 END AS up FROM points),
-fences AS (SELECT g, lang, source, ratio, total, greatest(CASE ratio WHEN 'symbol_ratio' THEN 0.05 ELSE 0.3 END, mid + 6.0 * (up - mid)) AS fence FROM levels),
+fences AS (SELECT g, lang, source, ratio, total, greatest(CASE ratio WHEN 'symbol_ratio' THEN 0.05 WHEN 'dup_line_ratio' THEN 0.5 ELSE 0.3 END, mid + 6.0 * (up - mid)) AS fence FROM levels),
 own AS (
   SELECT o.lang, o.source, o.ratio, CASE WHEN o.total >= 50 THEN o.fence WHEN l.total >= 50 THEN l.fence ELSE w.fence END AS fence
   FROM fences o JOIN fences l ON l.g = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN fences w ON w.g = 2 AND w.ratio = o.ratio WHERE o.g = 0),
