@@ -30,15 +30,21 @@ from pyspark.sql.types import StructType
 
 from marginalia.llm.common import body, in_fold, sampled_labels, stash
 
-BOUND, NEIGHBOURS, BLOCK, VOCABULARY = 16_000, 15, 64, 20_000
-BEGINNINGS, LEAST_SHARE = (3, 4, 5, 6), 0.02
+BOUND, NEIGHBOURS, BLOCK = 16_000, 15, 256
+BEGINNINGS, HEAD, LEAST_SHARE = (3, 4, 5, 6), 3, 0.02
 _terms = re.compile(r"[^\W\d_]+").findall
 
 
-def terms(text: str, wanted=None) -> Counter:
-    """How often each word and each beginning of a longer word occurs; only the wanted ones if they are given."""
+def terms(text: str, wanted=None, heads: frozenset[str] | None = None) -> Counter:
+    """How often each word and each beginning of a longer word occurs; only the wanted ones if they are given.
+
+    heads are the first HEAD letters of what is wanted; words that begin otherwise aren't looked at further.
+    """
+    words = _terms(text.lower())
+    if heads is not None:
+        words = [w for w in words if w[:HEAD] in heads]
     out: Counter = Counter()
-    for w, n in Counter(_terms(text.lower())).items():
+    for w, n in Counter(words).items():
         for t in (w, *(f"{w[:k]}-" for k in BEGINNINGS if len(w) > k)):
             if wanted is None or t in wanted:
                 out[t] += n
@@ -56,6 +62,7 @@ class Index:
 
     def __init__(self, idf: dict[str, float], rows: list[tuple[dict[str, int], int]], prior: float, k: int = NEIGHBOURS):
         self.dim = {t: n for n, t in enumerate(sorted(idf))}
+        self.heads = frozenset(t.removesuffix("-")[:HEAD] for t in idf)
         self.idf = np.array([idf[t] for t in sorted(idf)])
         self.k, self.prior = k, prior
         self.curve = (0.0, 0.0)
@@ -113,8 +120,8 @@ class Index:
         return (float((s * s * self.y[e]).sum()) + 0.1 * self.prior) / (float((s * s).sum()) + 0.1)
 
     def _calibrate(self, held) -> None:
-        """Logistic curve over the log odds of leave-one-out votes of (at most 4000 of) the examples."""
-        some = range(0, len(held), max(1, len(held) // 4000))
+        """Logistic curve over the log odds of leave-one-out votes of (at most some 1500 of) the examples."""
+        some = range(0, len(held), max(1, len(held) // 1500))
         x = np.array([self._odds(self.vote(held[e][0], e)) for e in some])
         y = self.y[list(some)] if len(held) else np.empty(0)
         if len(set(y)) < 2:
@@ -137,7 +144,7 @@ class Index:
 
     def score(self, text: str) -> tuple[float, list[int]]:
         """A calibrated score and the numbers of the nearest examples (the evidence)."""
-        v = self.vector(terms(text, self.dim))
+        v = self.vector(terms(text, self.dim, self.heads))
         if v is None:
             return self.blank, []
         a, b = self.curve
@@ -145,50 +152,47 @@ class Index:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Index:
-    """An index over at most `bound` labelled ids of the training folds; terms are counted on the executors."""
-    chosen = F.broadcast(sampled_labels(labels, label, bound))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """An index over at most `bound` labelled ids of the training folds.
 
-    def of(batches):
-        for b in batches:
-            got = [terms(x) for x in b.column("text").to_pylist()]
-            cols = [pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], names=["doc_id", "y", "terms", "counts"])
-
-    joined = docs.select("doc_id", body().alias("text")).join(chosen, "doc_id").select("doc_id", "y", "text")
-    sample = stash(joined.mapInArrow(of, f"doc_id {kind}, y int, terms array<string>, counts array<int>"), "examples")
+    Only terms of enough documents with label 1 can pass, and those are few; they are counted on the executors
+    first. Then every document sends the numbers of the terms among them that it has, and the tests are exact.
+    """
+    chosen = F.broadcast(sampled_labels(labels, label, bound))
+    sample = stash(docs.select("doc_id", body().alias("text")).join(chosen, "doc_id").select("doc_id", "y", "text"), "examples")
     total, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (ones + 1) / (total + 2)
     if not 0 < ones < total:
         return Index({}, [], prior)
-    tested = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    tried = tested.where("n >= 3").count()
+
+    def spread(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([list(terms(x)) for x in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["ts"])
+
+    least = max(3, LEAST_SHARE * ones)
+    counted = sample.where("y = 1").select("text").mapInArrow(spread, "ts array<string>").select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("k"))
+    tried, names = counted.agg(F.count("*"), F.collect_list(F.when(F.col("k") >= least, F.col("t")))).first()
+    number = {t: n for n, t in enumerate(sorted(names))}
+    heads = frozenset(t.removesuffix("-")[:HEAD] for t in number)
+
+    def numbered(batches):
+        for b in batches:
+            got = [terms(x, number, heads) for x in b.column("text").to_pylist()]
+            ids = [np.array([number[t] for t in c], np.int32).tobytes() for c in got]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(ids, pa.binary()), pa.array([np.array(list(c.values()), np.int32).tobytes() for c in got], pa.binary())], names=["doc_id", "y", "ids", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(numbered, f"doc_id {kind}, y int, ids binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["ids"])))
+    ids = [np.frombuffer(r["ids"], np.int32) for r in rows]
+    y = np.array([r["y"] for r in rows])
+    n = np.bincount(np.concatenate([np.empty(0, np.int32), *ids]), minlength=len(number))
+    k = np.bincount(np.concatenate([np.empty(0, np.int32), *(x for x, own in zip(ids, y) if own)]), minlength=len(number))
     bar = 2 * np.log(max(2, tried)) + 2
-    # a term can only pass the bar if it is off its expected share; the exact test follows on what is left
-    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    g = 2 * (
-        cell(k, n * ones / total)
-        + cell(n - k, n * (total - ones) / total)
-        + cell(ones - k, (total - n) * ones / total)
-        + cell(total - ones - n + k, (total - n) * (total - ones) / total)
-    )
-    leads = (k * total > n * ones) & (k >= LEAST_SHARE * ones)
-    passed = tested.where("n >= 3").where(leads).withColumn("g", g).where(F.col("g") > float(bar)).orderBy(F.desc("g"), "t").limit(VOCABULARY).collect()
-    idf = {r["t"]: float(np.log((1 + total) / (1 + r["n"])) + 1) for r in passed if abs(surprise(r["n"], r["k"], total, ones) - r["g"]) < 1}
-    words = F.array(*[F.lit(t) for t in sorted(idf)]) if len(idf) < 500 else None
-    table = sample.select("doc_id", "y", F.arrays_zip("terms", "counts").alias("x"))
-    hits = F.filter("x", lambda e: F.array_contains(words, e["terms"])) if words is not None and idf else F.col("x")
-    if words is None:
-        keep = F.broadcast(sample.sparkSession.createDataFrame([(t,) for t in sorted(idf)], "t string"))
-        flat = table.select("doc_id", "y", F.explode("x").alias("e")).select("doc_id", "y", F.col("e.terms").alias("t"), F.col("e.counts").alias("c")).join(keep, "t")
-        some = flat.groupBy("doc_id", "y").agg(F.collect_list(F.struct(F.col("t").alias("terms"), F.col("c").alias("counts"))).alias("x"))
-        table = sample.select("doc_id", "y").join(some, ["doc_id", "y"], "left").withColumn("x", F.coalesce("x", F.array().cast(some.schema["x"].dataType)))
-    elif idf:
-        table = table.withColumn("x", hits)
-    rows = table.collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"]))
-    return Index(idf, [({e["terms"]: e["counts"] for e in r["x"] if e["terms"] in idf}, r["y"]) for r in rows], prior)
+    passed = [t for t, i in number.items() if k[i] * total > n[i] * ones and surprise(int(n[i]), int(k[i]), total, ones) > bar]
+    idf = {t: float(np.log((1 + total) / (1 + n[number[t]])) + 1) for t in passed}
+    kept = {number[t]: t for t in passed}
+    examples = [({kept[i]: c for i, c in zip(x.tolist(), np.frombuffer(r["counts"], np.int32).tolist()) if i in kept}, r["y"]) for r, x in zip(rows, ids)]
+    return Index(idf, examples, prior)
 
 
 def scored(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
