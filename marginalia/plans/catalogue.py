@@ -38,8 +38,15 @@ def synth(spark, sf_dir) -> DataFrame:
     return adapters.composed_notes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+_open: dict[tuple[str, str], DataFrame] = {}
+
+
 def parsed(spark, sf_dir) -> DataFrame:
-    return notes.indexed(notes.parse(synth(spark, sf_dir)))
+    """The composed notes as an open vault holds them: parsed once, kept in memory or on disk, made again where lost."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _open:
+        _open[key] = notes.parse(synth(spark, sf_dir)).persist()
+    return notes.indexed(_open[key])
 
 
 def rounded(name: str = "score"):
