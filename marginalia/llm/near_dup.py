@@ -6,6 +6,9 @@ segments in that segment's table; what it meets is verified over all bits. Candi
 as numpy blocks in sorted partitions and only a spanning forest of the verified links leaves a task,
 so a dense group of n variants costs at most n rows each time, never n squared.
 
+deduplicate() asks for exact Jaccard similarity, which no number of bits decides: prefixes of the sets of
+shingles propose every pair that can reach it, and each link is counted over the whole sets.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; repeated rows share a fingerprint and so a component; a null doc_id never becomes a
 component's name unless the component has no other; an empty table gives an empty result.
@@ -84,11 +87,11 @@ def fingerprints(docs: DataFrame, width: int = 3, longs: int = 1) -> DataFrame:
     return docs.select("doc_id", body().cast("binary").alias("raw")).mapInArrow(of, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names))
 
 
-def plan_segments(radius: int, segments: int, longs: int = 1, ball: int | None = None) -> list[tuple[int, int, int, int]]:
+def plan_segments(radius: int, segments: int, longs: int = 1) -> list[tuple[int, int, int, int]]:
     """(long, shift, width, ball radius) of each segment to search.
 
-    Without `ball`, the radii are the smallest for which no link within `radius` can be missed: of m segments the
-    first (radius mod m) + 1 take radius div m, the others one less. With `ball`, every segment takes that radius.
+    The radii are the smallest for which no link within `radius` can be missed: of m segments the
+    first (radius mod m) + 1 take radius div m, the others one less.
     """
     per = segments // longs
     base, extra = divmod(BITS, per)
@@ -98,7 +101,7 @@ def plan_segments(radius: int, segments: int, longs: int = 1, ball: int | None =
         shift = 0
         for k in range(per):
             width = base + (k < extra)
-            own = ball if ball is not None else r if n * per + k <= a else r - 1
+            own = r if n * per + k <= a else r - 1
             if own >= 0:
                 out.append((n, shift, width, own))
             shift += width
@@ -166,11 +169,11 @@ def _search(radius: int, names: list[str]):
     return found
 
 
-def links(fps: DataFrame, radius: int = 3, segments: int = 2, longs: int = 1, ball: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, segments: int = 2, longs: int = 1) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, named by their first long, that connect what links up to `radius` bits connect."""
     names = _names(longs)
     keys = []
-    for k, (n, shift, width, own) in enumerate(plan_segments(radius, segments, longs, ball)):
+    for k, (n, shift, width, own) in enumerate(plan_segments(radius, segments, longs)):
         value = F.shiftrightunsigned(names[n], shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         keys.append((value.bitwiseOR(F.lit(k << width)) if width < 58 else value, _masks(width, own)))
     table = fps.select(*names, F.explode(F.array(*[c for c, _ in keys])).alias("key"))
@@ -208,10 +211,10 @@ def connected(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def components(fp_docs: DataFrame, radius: int = 3, segments: int = 2, longs: int = 1, ball: int | None = None) -> DataFrame:
+def components(fp_docs: DataFrame, radius: int = 3, segments: int = 2, longs: int = 1) -> DataFrame:
     """fp_docs (doc_id, fp, ...) with component_id, the smallest doc_id that links reach."""
     fps = stash(fp_docs.groupBy(*_names(longs)).agg(F.min("doc_id").alias("low")), "fps")
-    edges = stash(links(fps.drop("low"), radius, segments, longs, ball), "links")
+    edges = stash(links(fps.drop("low"), radius, segments, longs), "links")
     roots = connected(edges) if not edges.isEmpty() else empty_like(fp_docs.sparkSession, "node bigint, root bigint")
     rooted = fps.groupBy("fp").agg(F.min("low").alias("low")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
@@ -224,34 +227,188 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, segments:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Documents are near copies for deduplicate() if 128-bit fingerprints of five-word shingles differ in 22 bits at most.
-#: The angle between sets of equal size with Jaccard similarity 0.8 makes 19.4 bits differ on average; 22 allows for chance.
-DEDUP = {"longs": 2, "radius": 22, "segments": 8, "ball": 1}
+#: Rows of documents that the order of shingles is taken from, and in how many of them a shingle is common.
+ORDER_ROWS, COMMON_ROWS, COMMON = 4000, 5, 100_000
+#: Shingles are counted in so many slots; two sets differ in no fewer shingles than their counts do.
+SLOTS = 256
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The different shingle hashes of a text in rising order, as signed longs of their bits."""
+    return np.unique(shingle_hashes(raw, width)).view(np.int64)
+
+
+def set_name(s: np.ndarray) -> int:
+    """A signed long that stands for a set of shingles."""
+    return int(np.uint64(xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64))
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """set (its name) and shingles of every row."""
+
+    def of(batches):
+        for b in batches:
+            sets = [shingle_set(x, width) for x in b.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["set", "shingles"])
+
+    return docs.select(body().cast("binary").alias("raw")).mapInArrow(of, "set bigint, shingles array<bigint>")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, **how) -> DataFrame:
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles of many documents. They come last in the order; any order gives the same links, this one at less work."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // ORDER_ROWS))) == 0)
+    counts = shingle_sets(some, width).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_ROWS)
+    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()], dtype=np.int64))
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, set, n (its size), sketch (counts by slot) and prefix of every row.
+
+    Two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each, in any order that all sets follow.
+    """
+    kind, common = docs.schema["doc_id"].dataType.simpleString(), common_shingles(docs, width)
+
+    def of(batches):
+        for b in batches:
+            names, sizes, sketches, prefixes = [], [], [], []
+            for raw in b.column("raw").to_pylist():
+                s = shingle_set(raw, width)
+                n = len(s)
+                last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
+                names.append(set_name(s))
+                sizes.append(n)
+                sketches.append(np.minimum(np.bincount(s.view(np.uint64) % SLOTS, minlength=SLOTS), 255).astype(np.uint8).tobytes())
+                prefixes.append(np.concatenate([s[~last], s[last]])[: n // 5 + 1])
+            columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "set", "n", "sketch", "prefix"])
+
+    return docs.select("doc_id", body().cast("binary").alias("raw")).mapInArrow(of, f"doc_id {kind}, set bigint, n bigint, sketch binary, prefix array<bigint>")
+
+
+def _runs(batches, columns):
+    """Sorted batches as arrays that never part the rows of one key."""
+    left = None
+    for b in batches:
+        own = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        rows = own if left is None else [np.concatenate(p) for p in zip(left, own)]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield [c[:cut] for c in rows]
+        left = [c[cut:] for c in rows]
+    if left is not None and len(left[0]):
+        yield left
+
+
+def _keys(batches):
+    """A row for each shingle of a prefix; of copies within a task one counts."""
+    seen = set()
+    for b in batches:
+        rows = []
+        for k, name in enumerate(b.column("set").to_pylist()):
+            if name not in seen:
+                seen.add(name)
+                rows.append(k)
+        b = b.take(pa.array(rows, pa.int64()))
+        at = b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
+        name, n = (np.repeat(b.column(c).to_numpy(), at) for c in ("set", "n"))
+        yield pa.RecordBatch.from_arrays([b.column("prefix").flatten(), pa.array(name), pa.array(n.astype(np.int32))], names=["key", "set", "n"])
+
+
+def _shared(batches):
+    """Rows of keys that several sets have, each set once, with the least of those sets."""
+    for rows in _runs(batches, ("key", "set", "n")):
+        first = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+        key, name, n = (c[first] for c in rows)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(starts, len(key)))
+        keep, lead = np.repeat(many > 1, many), np.repeat(name[starts], many)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, name, n, lead)], names=["key", "set", "n", "lead"])
+
+
+def _crossing(batches):
+    """Pairs of sets with a key in common that no link connects yet and whose sizes allow a similarity of 0.8."""
+    for key, name, n, root in _runs(batches, ("key", "set", "n", "root")):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for i, j in zip(starts, np.append(starts[1:], len(key))):
+            if (root[i:j] == root[i]).all():
+                continue
+            for k in range(i, j - 1):
+                x = slice(k + 1, j)
+                fits = (root[x] != root[k]) & (5 * np.minimum(n[x], n[k]) >= 4 * np.maximum(n[x], n[k]))
+                if fits.any():
+                    b = name[x][fits]
+                    a = np.full(len(b), name[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _possible(batches):
+    """Pairs whose sketches differ by no more than sets of similarity 0.8 may: a ninth of their sizes."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16) for c in ("xs", "ys"))
+        sizes = b.column("xn").to_numpy() + b.column("yn").to_numpy()
+        keep = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * 9 <= sizes)
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is 0.8 or more, counted exactly over the sets of the documents."""
+    x, y = (sets.select(F.col("set").alias(c), F.col("n").alias(f"{t}n"), F.col("sketch").alias(f"{t}s")) for c, t in (("a", "x"), ("b", "y")))
+    likely = stash(pairs.join(x, "a").join(y, "b").mapInArrow(_possible, "a bigint, b bigint"), "likely")
+    own = unused(docs, "own")[0]
+    ids = stash(sets.join(likely.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi").select(F.col("low").alias(own)).distinct(), "ids")
+    wanted = stash(shingle_sets(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi"), width).groupBy("set").agg(F.first("shingles").alias("s")), "wanted")
+    x, y = wanted.select(F.col("set").alias("a"), F.col("s").alias("xs")), wanted.select(F.col("set").alias("b"), F.col("s").alias("ys"))
+    both = F.size(F.array_intersect("xs", "ys"))
+    return stash(likely.join(x, "a").join(y, "b").where(both * 9 >= (F.size("xs") + F.size("ys")) * 4).select("a", "b"), "links")
+
+
+def alike(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, set and component_id of every row: what links of similarity 0.8 or more connect.
+
+    All pairs with a key in common are settled: first each set against the least set of each of its keys, then
+    the pairs that these links leave apart. So a dense group of n near copies costs about n comparisons.
+    """
+    rows = stash(described(docs, width), "sets")
+    sets = stash(rows.groupBy("set").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    keys = rows.mapInArrow(_keys, "key bigint, set bigint, n int").repartition("key").sortWithinPartitions("key", "set")
+    keyed = stash(keys.mapInArrow(_shared, "key bigint, set bigint, n int, lead bigint"), "keyed")
+    stars = stash(keyed.where("set <> lead").select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct(), "stars")
+    edges = similar(stars, sets, docs, width)
+    named = keyed.join(_roots(edges), F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("root", "set").alias("root"))
+    pairs = named.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "a bigint, b bigint").distinct()
+    rest = stash(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    roots = _roots(edges.unionByName(similar(rest, sets, docs, width)))
+    rooted = sets.join(roots, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("root", "set").alias("root"))
+    component = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("set", "component_id")
+    return rows.select("doc_id", "set").join(component, "set")
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return connected(edges) if not edges.isEmpty() else empty_like(edges.sparkSession, "node bigint, root bigint")
+
+
+def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs with one row of each group of near copies (the smallest doc_id; of rows with that id one).
 
+    Near copies are texts whose sets of shingles have Jaccard similarity 0.8 or more, and what chains of them connect.
     A row whose doc_id is null stays only if its group has no other row. Columns are those of docs.
     """
-    how = DEDUP | how
-    names = _names(how["longs"])
-    found = stash(components(stash(fingerprints(docs, width, how["longs"]), "fingerprints"), **how), "components")
-    own, component, *bits = unused(docs, "own", "component", *names)
+    found = stash(alike(docs, width), "components")
+    own, component, name = unused(docs, "own", "component", "set")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         gone = found.where(~stays).select(F.col("doc_id").alias(own)).distinct()
         return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
-    # ids that several rows carry: such rows are told apart by their fingerprints
+    # ids that several rows carry: such rows are told apart by their sets
     def mark(batches):
         for b in batches:
-            fps = np.array([fingerprint((x or "").encode(), width, len(bits)) for x in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, len(bits)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, n]) for n in range(len(bits)))], names=[*b.schema.names, *bits])
-
-    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in bits)]))
-    marks = found.where(stays).select(F.col("doc_id").alias(own), F.col("component_id").alias(component), *[F.col(c).alias(f"{b}_") for c, b in zip(names, bits)]).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col(own))
-    for b in bits:
-        on &= F.col(b) == F.col(f"{b}_")
+            names = [set_name(shingle_set((x or "").encode(), width)) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], names=[*b.schema.names, name])
+
+    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    marks = found.where(stays).select(F.col("doc_id").alias(own), F.col("component_id").alias(component), F.col("set").alias(f"{name}_")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(name) == F.col(f"{name}_"))
     return marked.join(marks, on).dropDuplicates(["doc_id", component]).select(*docs.columns)

@@ -51,6 +51,42 @@ def test_near_duplicates_keep_one_of_each_group(spark, sf):
         assert all(similar(texts[a], texts[b]) < 0.9 for b in sorted(kept)[k + 1 :])
 
 
+def test_near_duplicates_equal_brute_force_jaccard(spark):
+    import random
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for size in (30, 60, 120, 200):
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            rows.append(base)
+            for _ in range(8):
+                ws = list(base)
+                for _ in range(rnd.randrange(1, max(2, size // 25) + 1)):
+                    ws[rnd.randrange(size)] = word()
+                rows.append(ws)
+    texts = {i: " ".join(ws) for i, ws in enumerate(rows)}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for a in texts:
+        for b in range(a + 1, len(texts)):
+            s = similar(texts[a], texts[b])
+            near += 0.6 <= s < 0.8
+            if s >= 0.8:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert near > 50
+    assert {r["doc_id"] for r in near_dup.deduplicate(df).collect()} == {i for i in texts if top(i) == i}
+
+
 def test_decontamination_removes_passages(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     found = op10_decontaminate.Passages([(r["item_id"], r["text"]) for r in items.collect()])
