@@ -537,7 +537,7 @@ _VISIBLE = SYNTH.replace("synth AS (SELECT *,", "synth AS (SELECT * FROM (SELECT
 @query(f"WITH {_VISIBLE} SELECT source_path AS source, target, resolved FROM resolved")
 def acl_graph(spark, sf_dir):
     policy = access.Policy(grants=tuple(access.Rule(s, directory=s) for s in ("src1", "src3", "src4", "src5")))
-    seen = access.readable(synth(spark, sf_dir).where(F.col("doc_id") % 2 == 1), policy)
+    seen = access.readable(synth(spark, sf_dir), policy)
     return graph.resolved(notes.indexed(notes.parse(seen))).select("source", "target", "resolved")
 
 
