@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -457,13 +458,58 @@ fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS
   FROM fold JOIN firsts f ON f.n = fold.n + 1)
 SELECT doc_id, batch FROM fold WHERE n > 0""")
 def plan_batches(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.least("n_chars", F.lit(5000)).alias("size")).orderBy("doc_id").limit(200).collect()
-    out, batch, at = [], 0, 0
-    while at < len(rows):
-        n = chunker.plan_batch([r["size"] for r in rows[at:]], 8, 20_000)
-        out += [(r["doc_id"], batch) for r in rows[at : at + n]]
-        at, batch = at + n, batch + 1
-    return spark.createDataFrame(out, "doc_id bigint, batch bigint")
+    return batches(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("size")), 8, 20_000)
+
+
+def batches(sized: DataFrame, max_items: int, max_size: int) -> DataFrame:
+    """doc_id and batch of every row of (doc_id, size): the greedy plan over all rows in order, folded range by range.
+
+    A range may be entered at one of max_items offsets only, as the batch before it reaches no further. Each range is
+    folded for each of them, the driver chains those results, a row or so a range, and each range is folded as entered.
+    """
+    rows = sized.repartitionByRange("doc_id").select("*", F.spark_partition_id().alias("part")).persist()
+    def head(t):
+        t = t.sort_by("doc_id")
+        return pa.table({"part": [t.column("part")[0].as_py()], "size": [t.column("size").to_pylist()[:max_items]]})
+
+    heads = rows.groupBy("part").applyInArrow(head, "part bigint, size array<bigint>")
+    parts = sorted(heads.collect(), key=lambda r: r["part"])
+    ahead, after = {}, []
+    for r in reversed(parts):
+        ahead[r["part"]] = after
+        after = ([*r["size"], *after])[:max_items]
+
+    def starts(sizes, part, at):
+        whole, out = [*sizes, *ahead[part]], []
+        while at < len(sizes):
+            out.append(at)
+            at += chunker.plan_batch(whole[at : at + max_items], max_items, max_size)
+        return out, at - len(sizes)
+
+    def tried(t):
+        part, sizes = t.column("part")[0].as_py(), t.sort_by("doc_id").column("size").to_pylist()
+        found = [(part, at, len(s), over) for at in range(max_items) for s, over in [starts(sizes, part, at)]]
+        return pa.table(dict(zip(("part", "at", "many", "over"), map(list, zip(*found)))))
+
+    ways = {(r["part"], r["at"]): (r["many"], r["over"]) for r in rows.groupBy("part").applyInArrow(tried, "part bigint, at bigint, many bigint, over bigint").collect()}
+    entered, at, batch = {}, 0, 0
+    for r in parts:
+        entered[r["part"]] = (at, batch)
+        many, at = ways[r["part"], at]
+        batch += many
+
+    def planned(t):
+        t = t.sort_by("doc_id")
+        part = t.column("part")[0].as_py()
+        at, batch = entered[part]
+        begun = set(starts(t.column("size").to_pylist(), part, at)[0])
+        out, now = [], batch - 1
+        for k in range(t.num_rows):
+            now += k in begun
+            out.append(now)
+        return pa.table({"doc_id": t.column("doc_id"), "batch": pa.array(out, pa.int64())})
+
+    return rows.groupBy("part").applyInArrow(planned, "doc_id bigint, batch bigint")
 
 
 # periodic notes and other functions

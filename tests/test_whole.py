@@ -1,5 +1,6 @@
 """Queries over whole tables, held against plain versions; SQL twins that still cut their input are no measure here."""
 
+from marginalia.functions import chunker
 from marginalia.plans import catalogue
 
 
@@ -13,3 +14,32 @@ def test_acl_graph_has_links_of_every_readable_note(spark, sf):
     assert len(got) == want
     assert any(int(r["source"].rsplit("-", 1)[1][:-3]) % 2 == 0 for r in got if "/doc-" in r["source"])
     assert all(r["resolved"] is None or r["resolved"].split("/")[0] in ("src1", "src3", "src4", "src5") for r in got)
+
+
+def test_plan_batches_plans_every_document(spark):
+    import random
+
+    rnd = random.Random(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for count in (1, 7, 700):
+        sizes = [rnd.choice((10, 900, 4000, 9000, 19_999, 25_000)) for _ in range(count)]
+        want, at, batch = {}, 0, 0
+        while at < count:
+            n = chunker.plan_batch(sizes[at:], 8, 20_000)
+            want |= {k: batch for k in range(at, at + n)}
+            at, batch = at + n, batch + 1
+        df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, size bigint")
+        got = {r["doc_id"]: r["batch"] for r in catalogue.batches(df, 8, 20_000).collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_plan_batches_of_a_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r["doc_id"], r["n_chars"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").collect())
+    want, at, batch = {}, 0, 0
+    while at < len(rows):
+        n = chunker.plan_batch([s for _, s in rows[at:]], 8, 20_000)
+        want |= {i: batch for i, _ in rows[at : at + n]}
+        at, batch = at + n, batch + 1
+    assert {r["doc_id"]: r["batch"] for r in catalogue.QUERIES["plan_batches"](spark, sf).collect()} == want
