@@ -639,7 +639,7 @@ def _two_listings(spark, sf_dir):
 @query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 13 <> 0 AND doc_id % 7 = 0 AND doc_id <= 500")
 def reconcile_removed(spark, sf_dir):
     was, now = _two_listings(spark, sf_dir)
-    return incremental.removed(was, now, 500)
+    return incremental.removed(was, now)
 
 
 @query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 7 <> 0 AND (doc_id % 13 = 0 OR doc_id % 11 = 0)")

@@ -1,6 +1,7 @@
 """Queries over whole tables, held against plain versions; SQL twins that still cut their input are no measure here."""
 
 from marginalia.functions import chunker
+from marginalia.operators import incremental
 from marginalia.plans import catalogue
 
 
@@ -43,3 +44,17 @@ def test_plan_batches_of_a_table(spark):
         want |= {i: batch for i, _ in rows[at : at + n]}
         at, batch = at + n, batch + 1
     assert {r["doc_id"]: r["batch"] for r in catalogue.QUERIES["plan_batches"](spark, sf).collect()} == want
+
+
+def test_reconcile_removed_returns_every_removed_path(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()
+    want = {f"{r['source']}/doc-{r['doc_id']}.md" for r in rows if r["doc_id"] % 13 and r["doc_id"] % 7 == 0}
+    assert {r["path"] for r in catalogue.QUERIES["reconcile_removed"](spark, sf).collect()} == want
+
+
+def test_later_changes_are_left_alone(spark):
+    was = spark.createDataFrame([("a", 1), ("b", 5), ("c", 6), ("d", 2)], "path string, generation bigint")
+    now = spark.createDataFrame([("d",)], "path string")
+    assert {r["path"] for r in incremental.removed(was, now, 5).collect()} == {"a", "b"}
+    assert {r["path"] for r in incremental.removed(was, now).collect()} == {"a", "b", "c"}
