@@ -29,7 +29,7 @@ def composed_notes(documents: DataFrame, labels: DataFrame) -> DataFrame:
     content = F.concat(
         F.lit("---\ntags: ["), F.col("lang"), F.lit(", corpus/"), F.col("source"), F.lit("]\ndoc: "), text,
         F.coalesce(F.concat(F.lit("\nquality: "), F.col("quality").cast("string")), F.lit("")), F.lit("\n---\n# Doc "), text,
-        F.lit("\n\n"), F.regexp_replace(F.substring("text", 1, 200), r"[^\p{L} ]", " "), F.lit("\n\n"),
+        F.lit("\n\n"), F.regexp_replace("text", r"[^\p{L} ]", " "), F.lit("\n\n"),
         some(n % 3 == 1, F.lit("## Notes\n\nnoted\n\n")), some(n % 3 == 2, F.lit("## Notes\n\nnoted\n\n### Detail\n\ndetailed\n\n")),
         F.lit("Filed #batch/b"), (n % 5).cast("string"), F.lit("\n"),
         some(linked, F.lit("See [[doc-"), ((n * 7 + 1) % 997).cast("string"), F.lit("]]\n")),

@@ -3,6 +3,7 @@
 from marginalia.functions import chunker
 from marginalia.operators import incremental
 from marginalia.plans import catalogue
+from marginalia.sources import adapters
 
 
 def test_acl_graph_has_links_of_every_readable_note(spark, sf):
@@ -58,3 +59,10 @@ def test_later_changes_are_left_alone(spark):
     now = spark.createDataFrame([("d",)], "path string")
     assert {r["path"] for r in incremental.removed(was, now, 5).collect()} == {"a", "b"}
     assert {r["path"] for r in incremental.removed(was, now).collect()} == {"a", "b", "c"}
+
+
+def test_composed_notes_hold_whole_texts(spark):
+    text = "first " + "filler " * 400 + "last"
+    docs = spark.createDataFrame([(1, text, "en", "src1")], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert text in adapters.composed_notes(docs, labels).first()["content"]
