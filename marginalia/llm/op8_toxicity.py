@@ -1,20 +1,25 @@
 """Toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
-Fit: terms (words, and their first letters, which stand for a word's other forms) of at most `bound`
-labelled training documents are tested for association with label 1 (log-likelihood ratio, with a bar
-that rises with the number of terms tested, so that few pass by chance, and a share of the documents
-with label 1 that one group of copies doesn't reach); those that pass are the index's dimensions. The
-examples' TF-IDF vectors over them go into an inverted index whose postings are cut into blocks of
-examples, each block with the largest weight of each term. Search: block upper bounds come first, blocks are scored exactly in falling order of them and
-the search stops when no block left can hold a nearer example, so the neighbours are exact. Votes are
-weighted by similarity and put through a logistic curve fitted on leave-one-out votes.
-
-Documents with no dimension at all are at distance one from every example; their score is the share
-of label 1 among the examples that have none either.
-
-Defined cases: a null text counts as empty; ids labelled twice take the larger label; null labels are
-ignored; without labels, or with one kind only, every score is that kind's smoothed share; equal
-similarities rank by the example's number; repeated rows are scored alike; an empty table gives no rows.
+Fit: every word of at most `bound` labelled training documents (equal texts count once) is a dimension.
+A word's weight in a text is (1 + log of its count) x its inverse document frequency x the square root of
+its log-likelihood ratio with label 1, which is above zero for every word; no word is left out. (With inverse
+document frequency alone, words that two texts share by chance outweigh the telling ones; README has figures.)
+The examples' unit vectors go into an inverted index whose postings are cut into blocks of examples, each
+with the largest weight of each word.
+
+Search: the block maxima give each block's upper bound, the best blocks are scored first, and of the others
+only those whose bound reaches the k-th similarity found are scored, so the neighbours are exact. A batch of
+texts is searched at once; words of many examples are kept as rows of a dense table besides, which is the same
+sum. Votes are weighted by the square of the similarity and put through a logistic curve fitted on
+leave-one-out votes. The evidence is the doc_ids of the nearest examples.
+
+Texts without any known word are at distance one from every example; their score is the share of label 1
+among the examples that have no word either.
+
+Defined cases: a null text counts as empty; ids labelled twice take the larger label, rows that share an id or
+a text are one example with the larger label; null labels and ids are ignored; without labels, or with one
+kind only, every score is that kind's smoothed share; equal similarities rank by the example's number; repeated
+rows are scored alike; an empty table gives no rows; other columns are ignored by `scored` and kept by `without_toxic`.
 """
 
 from __future__ import annotations
@@ -28,112 +33,175 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marginalia.llm.common import body, in_fold, sampled_labels, stash
+from marginalia.llm.common import body, in_fold, sampled_labels
 
-BOUND, NEIGHBOURS, BLOCK = 16_000, 15, 256
-BEGINNINGS, HEAD, LEAST_SHARE = (3, 4, 5, 6), 3, 0.02
+BOUND, NEIGHBOURS, BLOCK, EVIDENCE = 6000, 15, 64, 3
+#: Examples that the curve is fitted on at most, and texts that are searched at once.
+CURVE, _QUERIES = 4000, 128
+#: A word in more than one of so many examples is kept as a dense row.
+_DENSE = 16
 _terms = re.compile(r"[^\W\d_]+").findall
 
 
-def terms(text: str, wanted=None, heads: frozenset[str] | None = None) -> Counter:
-    """How often each word and each beginning of a longer word occurs; only the wanted ones if they are given.
+def terms(text: str) -> Counter:
+    """How often each word of a text occurs, in lower case."""
+    return Counter(_terms(text.lower()))
 
-    heads are the first HEAD letters of what is wanted; words that begin otherwise aren't looked at further.
-    """
-    words = _terms(text.lower())
-    if heads is not None:
-        words = [w for w in words if w[:HEAD] in heads]
-    out: Counter = Counter()
-    for w, n in Counter(words).items():
-        for t in (w, *(f"{w[:k]}-" for k in BEGINNINGS if len(w) > k)):
-            if wanted is None or t in wanted:
-                out[t] += n
-    return out
+
+def surprise(n: np.ndarray, k: np.ndarray, total: int, ones: int) -> np.ndarray:
+    """Twice the log-likelihood ratio for words in n of `total` documents, k of them among the `ones` with label 1."""
+    out = np.zeros(len(n))
+    for seen, side, row in ((k, ones, n), (n - k, total - ones, n), (ones - k, ones, total - n), (total - ones - n + k, total - ones, total - n)):
+        some = seen > 0
+        out[some] += 2 * seen[some] * np.log(seen[some] * total / (side * row[some]))
+    return np.maximum(out, 0)
 
 
-def surprise(n: int, k: int, total: int, ones: int) -> float:
-    """Twice the log-likelihood ratio for a term in n of `total` documents, k of them among the `ones` with label 1."""
-    cells = ((k, ones, n), (n - k, total - ones, n), (ones - k, ones, total - n), (total - ones - n + k, total - ones, total - n))
-    return 2 * sum(o * np.log(o * total / (side * row)) for o, side, row in cells if o)
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (many[0] of them), then the same for the others."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
 
 
 class Index:
-    """Block-max inverted index over the examples' vectors, with the vote's calibration."""
+    """Block-max inverted index over the examples' vectors, with the vote's calibration.
 
-    def __init__(self, idf: dict[str, float], rows: list[tuple[dict[str, int], int]], prior: float, k: int = NEIGHBOURS):
+    idf holds each word's weight; rows are (counts, label) or (counts, label, doc_id).
+    """
+
+    def __init__(self, idf: dict[str, float], rows: list[tuple], prior: float, k: int = NEIGHBOURS):
         self.dim = {t: n for n, t in enumerate(sorted(idf))}
-        self.heads = frozenset(t.removesuffix("-")[:HEAD] for t in idf)
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.k, self.prior = k, prior
-        self.curve = (0.0, 0.0)
-        vectors = [(self.vector(counts), y) for counts, y in rows]
-        blank = [y for v, y in vectors if v is None]
+        self.idf = np.array([idf[t] for t in sorted(idf)], dtype=np.float64)
+        self.k, self.prior, self.curve = k, prior, (0.0, 0.0)
+        vectors = [(self.vector(row[0]), row[1], row[2] if len(row) > 2 else n) for n, row in enumerate(rows)]
+        blank = [y for v, y, _ in vectors if v is None]
         self.blank = (sum(blank) + 2 * prior) / (len(blank) + 2)
-        held = [(v, y) for v, y in vectors if v is not None]
-        # neighbours in the order of their heaviest dimensions lie in the same blocks, which keeps block bounds low
-        held.sort(key=lambda e: [(int(d), -float(w)) for w, d in sorted(zip(-e[0][1], e[0][0]))])
-        self.y = np.array([y for _, y in held], dtype=np.float64)
-        self.blocks = -(-len(held) // BLOCK)
-        post: list[list[tuple[int, float]]] = [[] for _ in self.dim]
-        for e, (v, _) in enumerate(held):
-            for d, w in zip(*v):
-                post[d].append((e, w))
-        self.ids = [np.array([e for e, _ in p], dtype=np.int64) for p in post]
-        self.weights = [np.array([w for _, w in p], dtype=np.float64) for p in post]
-        self.most = np.zeros((len(self.dim), max(1, self.blocks)))
-        for d, (ids, w) in enumerate(zip(self.ids, self.weights)):
-            np.maximum.at(self.most[d], ids // BLOCK, w)
-        self.starts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
-        self._calibrate(held)
+        held = self._in_order([e for e in vectors if e[0] is not None])
+        self.y = np.array([y for _, y, _ in held], dtype=np.float64)
+        self.names = [name for _, _, name in held]
+        self._post([v for v, _, _ in held])
+        self._calibrate([v for v, _, _ in held])
+
+    def _in_order(self, held):
+        """Examples with the same commonest word and the same heaviest word lie in the same blocks, which keeps bounds low."""
+        spread = np.bincount(np.concatenate([np.empty(0, np.int64), *(v[0] for v, _, _ in held)]), minlength=len(self.dim))
+        return sorted(held, key=lambda e: (int(e[0][0][np.argmax(spread[e[0][0]])]), int(e[0][0][np.argmax(e[0][1])]), len(e[0][0])))
+
+    def _post(self, vectors) -> None:
+        size, self.blocks = len(self.dim), -(-len(vectors) // BLOCK)
+        dim = np.concatenate([np.empty(0, np.int64), *(d for d, _ in vectors)])
+        who = np.repeat(np.arange(len(vectors)), [len(d) for d, _ in vectors])
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        order = np.lexsort((who, dim))
+        dim, self.who, self.weight = dim[order], who[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(dim, np.arange(size + 1))
+        # block postings: (word, block) with the first posting, their number and the largest weight
+        block = self.who // BLOCK
+        self.first = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (block[1:] != block[:-1]))) if len(dim) else np.empty(0, np.int64)
+        self.many = np.diff(np.append(self.first, len(dim)))
+        self.block = block[self.first]
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(dim) else np.empty(0)
+        self.block_start = np.searchsorted(dim[self.first], np.arange(size + 1))
+        wide = np.flatnonzero(np.diff(self.start) * _DENSE > max(1, len(vectors)))
+        self.row = np.full(size, -1)
+        self.row[wide] = np.arange(len(wide))
+        self.dense, self.dense_most = np.zeros((len(wide), self.blocks * BLOCK)), np.zeros((len(wide), self.blocks))
+        for r, d in enumerate(wide):
+            own, blocks = slice(self.start[d], self.start[d + 1]), slice(self.block_start[d], self.block_start[d + 1])
+            self.dense[r, self.who[own]] = self.weight[own]
+            self.dense_most[r, self.block[blocks]] = self.most[blocks]
+
+    @property
+    def ids(self) -> list[np.ndarray]:
+        """The examples of each dimension."""
+        return np.split(self.who, self.start[1:-1]) if len(self.dim) else []
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return np.split(self.weight, self.start[1:-1]) if len(self.dim) else []
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
         """Dimensions and weights, at length one, of what a text has of the vocabulary."""
-        got = sorted((self.dim[t], n) for t, n in counts.items() if t in self.dim)
+        number = self.dim.get
+        got = sorted((d, n) for d, n in ((number(t), n) for t, n in counts.items()) if d is not None)
         if not got:
             return None
-        d = np.array([x for x, _ in got])
-        w = (1 + np.log([n for _, n in got])) * self.idf[d]
+        d, n = np.array(got, dtype=np.int64).T
+        w = (1 + np.log(n)) * self.idf[d]
         return d, w / np.linalg.norm(w)
 
+    def search(self, vectors, k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector its k most similar examples (but[i] left out) and their similarities, exactly."""
+        q, width = len(vectors), self.blocks * BLOCK
+        dim, weight = (np.concatenate([v[side] for v in vectors]) for side in (0, 1))
+        who = np.repeat(np.arange(q), [len(v[0]) for v in vectors])
+        row = self.row[dim]
+        wide = row >= 0
+        heavy = np.zeros((q, len(self.dense)))
+        heavy[who[wide], row[wide]] = weight[wide]
+        dim, weight, who = dim[~wide], weight[~wide], who[~wide]
+        many = self.block_start[dim + 1] - self.block_start[dim]
+        entry, who, weight = _ranges(self.block_start[dim], many), np.repeat(who, many), np.repeat(weight, many)
+        at = who * self.blocks + self.block[entry]
+        bound = np.bincount(at, weight * self.most[entry], q * self.blocks).reshape(q, self.blocks) + heavy @ self.dense_most
+
+        def score(wanted):
+            use = wanted.ravel()[at]
+            first, many = self.first[entry[use]], self.many[entry[use]]
+            post = _ranges(first, many)
+            s = np.bincount(np.repeat(who[use], many) * width + self.who[post], np.repeat(weight[use], many) * self.weight[post], q * width).reshape(q, width).astype(np.float64, copy=False)
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                s[rows, cols] += heavy[rows] @ self.dense[:, cols]
+            s[np.repeat(~wanted, BLOCK, axis=1)] = 0
+            if but is not None:
+                s[np.arange(q)[but >= 0], but[but >= 0]] = 0
+            return s
+
+        best = min(self.blocks, max(2, -(-2 * k // BLOCK)))
+        wanted = np.zeros((q, self.blocks), bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, best - 1, axis=1)[:, :best], True, axis=1)
+        s = score(wanted)
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if width >= k else np.zeros(q)
+        rest = ~wanted & (bound >= least[:, None] - 1e-9) & (bound > 0)
+        if rest.any():
+            s += score(rest)
+        top = np.argpartition(-s, min(width, 2 * k) - 1, axis=1)[:, : 2 * k]
+        out = []
+        for i in range(q):
+            # ties at the cut are settled by the example's number, over all that tie
+            at_least = np.sort(s[i, top[i]])[::-1][min(k, top.shape[1]) - 1]
+            e = np.flatnonzero(s[i] >= max(at_least - 1e-12, 1e-300))
+            e = e[np.lexsort((e, -np.round(s[i, e], 12)))][:k]
+            out.append((e, s[i, e]))
+        return out
+
     def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples (`but` left out) and their similarities, exactly."""
-        dims, w = v
-        bound = w @ self.most[dims]
-        best_s, best_e = np.empty(0), np.empty(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            s = np.zeros(BLOCK)
-            for d, x in zip(dims, w):
-                i, j = self.starts[d][b], self.starts[d][b + 1]
-                s[self.ids[d][i:j] - b * BLOCK] += x * self.weights[d][i:j]
-            e = np.flatnonzero(s > 0)
-            s, e = s[e], e + b * BLOCK
-            s, e = np.concatenate([best_s, s[e != but]]), np.concatenate([best_e, e[e != but]])
-            top = np.lexsort((e, -np.round(s, 12)))[:k]
-            best_s, best_e = s[top], e[top]
-        return best_e, best_s
-
-    def vote(self, v, but: int = -1) -> float:
+        return self.search([v], k, np.array([but]))[0]
+
+    def _vote(self, e: np.ndarray, s: np.ndarray) -> float:
         """Share of label 1 among the neighbours, weighted by the square of the similarity, with the prior as one weak vote."""
-        e, s = self.nearest(v, self.k, but)
-        return (float((s * s * self.y[e]).sum()) + 0.1 * self.prior) / (float((s * s).sum()) + 0.1)
-
-    def _calibrate(self, held) -> None:
-        """Logistic curve over the log odds of leave-one-out votes of (at most some 1500 of) the examples."""
-        some = range(0, len(held), max(1, len(held) // 1500))
-        x = np.array([self._odds(self.vote(held[e][0], e)) for e in some])
-        y = self.y[list(some)] if len(held) else np.empty(0)
+        w = s * s / max(1e-9, float((s * s).sum()))
+        return (float((w * self.y[e]).sum()) + 0.01 * self.prior) / (float(w.sum()) + 0.01)
+
+    def _calibrate(self, vectors) -> None:
+        """Logistic curve over the log odds of leave-one-out votes of at most CURVE examples."""
+        some = np.arange(0, len(vectors), max(1, -(-len(vectors) // CURVE)))
+        x = np.empty(len(some))
+        for i in range(0, len(some), _QUERIES):
+            part = some[i : i + _QUERIES]
+            x[i : i + len(part)] = [self._odds(self._vote(e, s)) for e, s in self.search([vectors[n] for n in part], self.k, part)]
+        y = self.y[some]
         if len(set(y)) < 2:
             self.curve = (1.0, 0.0)
             return
         a, b = 1.0, 0.0
-        for _ in range(50):  # Newton steps with a pull towards the identity
-            p = 1 / (1 + np.exp(-(a * x + b)))
+        for _ in range(100):  # Newton steps, none longer than one, with a pull towards the identity
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
             g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + 0.1 * b])
             q = p * (1 - p)
             h = np.array([[(q * x * x).sum() + 1, (q * x).sum()], [(q * x).sum(), q.sum() + 0.1]])
             step = np.linalg.solve(h, g)
+            step /= max(1.0, float(np.linalg.norm(step)))
             a, b = a - step[0], b - step[1]
         self.curve = (float(a), float(b))
 
@@ -142,71 +210,63 @@ class Index:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return float(np.log(p / (1 - p)))
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """A calibrated score and the numbers of the nearest examples (the evidence)."""
-        v = self.vector(terms(text, self.dim, self.heads))
-        if v is None:
-            return self.blank, []
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, list[list]]:
+        """Calibrated scores and the doc_ids of the nearest examples (the evidence) of a batch of texts."""
+        out, evidence = np.full(len(texts), self.blank), [[] for _ in texts]
+        known = [(n, v) for n, v in ((n, self.vector(terms(x))) for n, x in enumerate(texts)) if v is not None]
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * self._odds(self.vote(v)) + b)))), self.nearest(v, 3)[0].tolist()
+        for i in range(0, len(known), _QUERIES):
+            part = known[i : i + _QUERIES]
+            for (n, _), (e, s) in zip(part, self.search([v for _, v in part], self.k)):
+                out[n] = 1 / (1 + np.exp(-np.clip(a * self._odds(self._vote(e, s)) + b, -50, 50)))
+                evidence[n] = [self.names[x] for x in e[:EVIDENCE]]
+        return out, evidence
 
+    def score(self, text: str) -> tuple[float, list]:
+        s, e = self.scores([text])
+        return float(s[0]), e[0]
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Index:
-    """An index over at most `bound` labelled ids of the training folds.
 
-    Only terms of enough documents with label 1 can pass, and those are few; they are counted on the executors
-    first. Then every document sends the numbers of the terms among them that it has, and the tests are exact.
-    """
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Index:
+    """An index over at most `bound` labelled ids of the training folds; their words are counted on the executors."""
     chosen = F.broadcast(sampled_labels(labels, label, bound))
-    sample = stash(docs.select("doc_id", body().alias("text")).join(chosen, "doc_id").select("doc_id", "y", "text"), "examples")
-    total, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = docs.select("doc_id", body().alias("text")).join(chosen, "doc_id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text"))
+
+    def counted(batches):
+        for b in batches:
+            got = [terms(x) for x in b.column("text").to_pylist()]
+            cols = [pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], names=["doc_id", "y", "ts", "ns"])
+
+    number: dict[str, int] = {}
+    rows, seen = [], set()
+    found = sample.select("doc_id", "y", "text").mapInArrow(counted, f"doc_id {kind}, y int, ts array<string>, ns array<int>")
+    for r in found.toLocalIterator():
+        rows.append((r["doc_id"], r["y"], np.array([number.setdefault(t, len(number)) for t in r["ts"]], np.int64), r["ns"]))
+    rows.sort(key=lambda r: (r[0], -r[1], len(r[2])))
+    rows = [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
+    total, ones = len(rows), sum(y for _, y, _, _ in rows)
     prior = (ones + 1) / (total + 2)
     if not 0 < ones < total:
         return Index({}, [], prior)
-
-    def spread(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([list(terms(x)) for x in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["ts"])
-
-    least = max(3, LEAST_SHARE * ones)
-    counted = sample.where("y = 1").select("text").mapInArrow(spread, "ts array<string>").select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("k"))
-    tried, names = counted.agg(F.count("*"), F.collect_list(F.when(F.col("k") >= least, F.col("t")))).first()
-    number = {t: n for n, t in enumerate(sorted(names))}
-    heads = frozenset(t.removesuffix("-")[:HEAD] for t in number)
-
-    def numbered(batches):
-        for b in batches:
-            got = [terms(x, number, heads) for x in b.column("text").to_pylist()]
-            ids = [np.array([number[t] for t in c], np.int32).tobytes() for c in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(ids, pa.binary()), pa.array([np.array(list(c.values()), np.int32).tobytes() for c in got], pa.binary())], names=["doc_id", "y", "ids", "counts"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(numbered, f"doc_id {kind}, y int, ids binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["ids"])))
-    ids = [np.frombuffer(r["ids"], np.int32) for r in rows]
-    y = np.array([r["y"] for r in rows])
-    n = np.bincount(np.concatenate([np.empty(0, np.int32), *ids]), minlength=len(number))
-    k = np.bincount(np.concatenate([np.empty(0, np.int32), *(x for x, own in zip(ids, y) if own)]), minlength=len(number))
-    bar = 2 * np.log(max(2, tried)) + 2
-    passed = [t for t, i in number.items() if k[i] * total > n[i] * ones and surprise(int(n[i]), int(k[i]), total, ones) > bar]
-    idf = {t: float(np.log((1 + total) / (1 + n[number[t]])) + 1) for t in passed}
-    kept = {number[t]: t for t in passed}
-    examples = [({kept[i]: c for i, c in zip(x.tolist(), np.frombuffer(r["counts"], np.int32).tolist()) if i in kept}, r["y"]) for r, x in zip(rows, ids)]
-    return Index(idf, examples, prior)
+    n, k = (np.bincount(np.concatenate([np.empty(0, np.int64), *(ts for _, y, ts, _ in rows if y or every)]), minlength=len(number)) for every in (True, False))
+    weight = (np.log((1 + total) / (1 + n)) + 1) * np.sqrt(surprise(n, k, total, ones) / total + 1e-6)
+    names = list(number)
+    return Index(dict(zip(names, weight.tolist())), [({names[t]: c for t, c in zip(ts.tolist(), ns)}, y, doc) for doc, y, ts, ns in rows], prior)
 
 
 def scored(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (numbers of the nearest examples); only texts are looked at."""
+    """doc_id, held_out, score, predicted and evidence (doc_ids of the nearest examples); only texts are looked at."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
         for b in batches:
-            got = [index.score(x) for x in b.column("text").to_pylist()]
-            s = np.array([x for x, _ in got], dtype=np.float64)
-            cols = [pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))]
+            s, evidence = index.scores(b.column("text").to_pylist())
+            cols = [pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(b.column("doc_id").type))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return docs.select("doc_id", in_fold(5, 0).alias("held_out"), body().alias("text")).mapInArrow(of, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return docs.select("doc_id", in_fold(5, 0).alias("held_out"), body().alias("text")).mapInArrow(of, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<{kind}>")
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
@@ -214,12 +274,12 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
 
     def of(batches):
         for b in batches:
-            keep = [index.score(x or "")[0] < threshold for x in b.column("text").to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            s, _ = index.scores([x or "" for x in b.column("text").to_pylist()])
+            yield b.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(of, StructType(docs.schema.fields))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return scored(docs, fit(docs, labels)).drop("evidence")
+    return scored(docs, fit(docs, labels))
