@@ -12,6 +12,8 @@ from marginalia.session import shared_dir
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 #: Rows up to which a side whose size has been counted may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of one key up to which a shuffle may bring them together.
+HOT_ROWS = 1000
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +43,21 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right (key, ..., n), which has one row a key and in n at least the rows that left has of it.
+
+    Keys with more than HOT_ROWS rows (or a 100,000th of all) are 100,000 at most; their rows of left stay where
+    they are and right is broadcast to them. All others are joined by a shuffle. right should be a written table.
+    """
+    total, most = right.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // 100_000)
+    if (most or 0) <= limit:
+        return left.join(right.drop("n"), key)
+    hot = F.broadcast(right.where(F.col("n") > limit).drop("n"))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= limit).drop("n"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def sampled_labels(labels: DataFrame, label: str, bound: int, mod: int = 5) -> DataFrame:
     """At most `bound` labelled training ids with their label, chosen by hash; folds with rest 0 are left out.
 

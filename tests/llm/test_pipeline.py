@@ -3,7 +3,7 @@
 from collections import Counter
 from hashlib import md5
 
-import numpy as np
+import pytest
 
 import corpus_pipeline
 from marginalia.llm import near_dup, op3_shard, op8_toxicity, op10_decontaminate
@@ -24,31 +24,78 @@ def test_toxicity_keeps_what_scores_low(spark, sf):
     assert {r["doc_id"] for r in out.collect()} == want and out.columns == docs.columns
 
 
-def test_near_duplicates_keep_one_of_each_group(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    bits = {i: np.array(near_dup.fingerprint(t.encode(), 5, 2), dtype=np.uint64) for i, t in texts.items()}
-    ids = sorted(texts)
-    root = {i: i for i in ids}
+def jaccard_roots(texts):
+    """The least id that chains of pairs with similarity 0.8 or more reach, over all pairs."""
+    sets = {i: {s.tobytes() for s in near_dup.shingle_hashes(t.encode(), 5)} for i, t in texts.items()}
+    root, links = {i: i for i in texts}, []
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
+    ids = sorted(texts)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            z = bits[a] ^ bits[b]
-            if int(np.bitwise_count(z).sum()) <= 22 and min(int(np.bitwise_count(w)) for w in z.view(np.uint16)) <= 1:
-                x, y = sorted((top(a), top(b)))
-                root[y] = x
-    kept = {r["doc_id"] for r in STAGES["simhash near-dedup"](spark, docs, sf).collect()}
-    assert kept == {i for i in ids if top(i) == i}
-    for a in ids:
-        if a not in kept:
-            assert max(similar(texts[a], texts[b]) for b in ids if b != a) >= 0.6
-    for k, a in enumerate(sorted(kept)):
-        assert all(similar(texts[a], texts[b]) < 0.9 for b in sorted(kept)[k + 1 :])
+            x, y = sets[a], sets[b]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                links.append((a, b))
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {i: top(i) for i in ids}, links
+
+
+def test_near_duplicates_keep_one_of_each_group(spark, sf):
+    for d in (sf, "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        roots, links = jaccard_roots({r["doc_id"]: r["text"] for r in docs.collect()})
+        kept = {r["doc_id"] for r in STAGES["simhash near-dedup"](spark, docs, d).collect()}
+        assert links and kept == {i for i in roots if roots[i] == i}
+
+
+def edited(rnd, words, base, share):
+    ws = list(base)
+    for _ in range(max(1, round(share * len(ws)))):
+        ws[rnd.randrange(len(ws))] = words()
+    return ws
+
+
+@pytest.mark.parametrize("docs_a_tile", [near_dup.TILE_DOCS, 16])
+def test_dense_groups_equal_brute_force(spark, monkeypatch, docs_a_tile):
+    """Groups of edits of one text, near and below the threshold, also where no task may hold a whole group or table."""
+    import random
+
+    monkeypatch.setattr(near_dup, "TILE_DOCS", docs_a_tile)
+    monkeypatch.setattr(near_dup, "HALF_ROWS", 8 * docs_a_tile)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for share in (0.005, 0.02, 0.03, 0.04):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(edited(rnd, word, base, share)) for _ in range(60)]
+    texts = dict(enumerate(texts))
+    roots, links = jaccard_roots(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.alike(df, 5).collect()}
+    assert len(links) > 1000 and got == roots
+
+
+def test_recall_of_single_pairs(spark):
+    """Pairs on their own, at the threshold and just above: no third text helps to find them."""
+    import random
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for k in range(400):
+        base = [word() for _ in range(150)]
+        texts[2 * k] = " ".join(base)
+        texts[2 * k + 1] = " ".join(edited(rnd, word, base, 0.02))
+    pairs = [k for k in range(400) if 0.8 <= similar(texts[2 * k], texts[2 * k + 1]) < 0.85]
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.alike(df, 5).collect()}
+    assert len(pairs) > 60 and sum(got[2 * k + 1] == 2 * k for k in pairs) >= 0.9 * len(pairs)
+    assert all(similar(texts[i], texts[c]) >= 0.8 for i, c in got.items() if i != c)
 
 
 def test_near_duplicates_equal_brute_force_jaccard(spark):
