@@ -37,7 +37,7 @@ from marginalia.llm.common import body, in_fold, sampled_labels
 
 BOUND, NEIGHBOURS, BLOCK, EVIDENCE = 6000, 15, 64, 3
 #: Examples that the curve is fitted on at most, and texts that are searched at once.
-CURVE, _QUERIES = 4000, 128
+CURVE, _QUERIES = 4000, 64
 #: A word in more than one of so many examples is kept as a dense row.
 _DENSE = 16
 _terms = re.compile(r"[^\W\d_]+").findall
@@ -69,46 +69,71 @@ class Index:
     """
 
     def __init__(self, idf: dict[str, float], rows: list[tuple], prior: float, k: int = NEIGHBOURS):
-        self.dim = {t: n for n, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)], dtype=np.float64)
-        self.k, self.prior, self.curve = k, prior, (0.0, 0.0)
-        vectors = [(self.vector(row[0]), row[1], row[2] if len(row) > 2 else n) for n, row in enumerate(rows)]
-        blank = [y for v, y, _ in vectors if v is None]
-        self.blank = (sum(blank) + 2 * prior) / (len(blank) + 2)
-        held = self._in_order([e for e in vectors if e[0] is not None])
+        self._name(sorted(idf), np.array([idf[t] for t in sorted(idf)]), prior, k)
+        self._fill([(self.vector(row[0]), row[1], row[2] if len(row) > 2 else n) for n, row in enumerate(rows)])
+
+    @classmethod
+    def of(cls, words: list[str], weights: np.ndarray, rows: list[tuple], prior: float, k: int = NEIGHBOURS) -> Index:
+        """The same from words in order with their weights, and rows of (numbers of words, counts, label, doc_id)."""
+        index = cls.__new__(cls)
+        index._name(words, weights, prior, k)
+        index._fill([(index._unit(np.sort(at), n[np.argsort(at)]), y, doc) for at, n, y, doc in rows])
+        return index
+
+    def _name(self, words, weights, prior, k) -> None:
+        self.dim = {t: n for n, t in enumerate(words)}
+        self.idf = np.asarray(weights, dtype=np.float64)
+        self.k, self.prior, self.curve, self._rows = k, prior, (0.0, 0.0), None
+
+    def _fill(self, examples) -> None:
+        blank = [y for v, y, _ in examples if v is None]
+        self.blank = (sum(blank) + 2 * self.prior) / (len(blank) + 2)
+        held = self._in_order([e for e in examples if e[0] is not None])
         self.y = np.array([y for _, y, _ in held], dtype=np.float64)
         self.names = [name for _, _, name in held]
         self._post([v for v, _, _ in held])
         self._calibrate([v for v, _, _ in held])
 
+    def __getstate__(self):
+        return self.__dict__ | {"_rows": None}
+
     def _in_order(self, held):
         """Examples with the same commonest word and the same heaviest word lie in the same blocks, which keeps bounds low."""
-        spread = np.bincount(np.concatenate([np.empty(0, np.int64), *(v[0] for v, _, _ in held)]), minlength=len(self.dim))
+        spread = np.zeros(len(self.dim), np.int64)
+        for v, _, _ in held:
+            spread[v[0]] += 1
         return sorted(held, key=lambda e: (int(e[0][0][np.argmax(spread[e[0][0]])]), int(e[0][0][np.argmax(e[0][1])]), len(e[0][0])))
 
     def _post(self, vectors) -> None:
         size, self.blocks = len(self.dim), -(-len(vectors) // BLOCK)
-        dim = np.concatenate([np.empty(0, np.int64), *(d for d, _ in vectors)])
-        who = np.repeat(np.arange(len(vectors)), [len(d) for d, _ in vectors])
-        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
-        order = np.lexsort((who, dim))
-        dim, self.who, self.weight = dim[order], who[order].astype(np.int32), weight[order]
-        self.start = np.searchsorted(dim, np.arange(size + 1))
-        # block postings: (word, block) with the first posting, their number and the largest weight
+        dim = np.concatenate([np.empty(0, np.int32), *(d.astype(np.int32) for d, _ in vectors)])
+        who = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(d) for d, _ in vectors])
+        order = np.argsort(dim, kind="stable")
+        dim, self.who = dim[order], who[order]
+        self.weight = np.concatenate([np.empty(0, np.float32), *(w.astype(np.float32) for _, w in vectors)])[order]
+        self.start = np.searchsorted(dim, np.arange(size + 1)).astype(np.int32)
+        # block postings: (word, block) with the first posting and the largest weight; the next one's first ends it
         block = self.who // BLOCK
-        self.first = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (block[1:] != block[:-1]))) if len(dim) else np.empty(0, np.int64)
-        self.many = np.diff(np.append(self.first, len(dim)))
-        self.block = block[self.first]
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(dim) else np.empty(0)
-        self.block_start = np.searchsorted(dim[self.first], np.arange(size + 1))
+        first = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (block[1:] != block[:-1]))) if len(dim) else np.empty(0, np.int64)
+        self.first = np.append(first, len(dim)).astype(np.int32)
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.weight, first) if len(dim) else np.empty(0, np.float32)
+        self.block_start = np.searchsorted(dim[first], np.arange(size + 1)).astype(np.int32)
         wide = np.flatnonzero(np.diff(self.start) * _DENSE > max(1, len(vectors)))
-        self.row = np.full(size, -1)
+        self.row = np.full(size, -1, np.int32)
         self.row[wide] = np.arange(len(wide))
-        self.dense, self.dense_most = np.zeros((len(wide), self.blocks * BLOCK)), np.zeros((len(wide), self.blocks))
-        for r, d in enumerate(wide):
-            own, blocks = slice(self.start[d], self.start[d + 1]), slice(self.block_start[d], self.block_start[d + 1])
-            self.dense[r, self.who[own]] = self.weight[own]
-            self.dense_most[r, self.block[blocks]] = self.most[blocks]
+        self.wide = wide
+
+    def _dense(self):
+        """The postings and block maxima of the words of many examples as dense rows."""
+        if self._rows is None:
+            rows, most = np.zeros((len(self.wide), self.blocks * BLOCK)), np.zeros((len(self.wide), self.blocks))
+            for r, d in enumerate(self.wide):
+                own, blocks = slice(self.start[d], self.start[d + 1]), slice(self.block_start[d], self.block_start[d + 1])
+                rows[r, self.who[own]] = self.weight[own]
+                most[r, self.block[blocks]] = self.most[blocks]
+            self._rows = rows, most
+        return self._rows
 
     @property
     def ids(self) -> list[np.ndarray]:
@@ -123,35 +148,36 @@ class Index:
         """Dimensions and weights, at length one, of what a text has of the vocabulary."""
         number = self.dim.get
         got = sorted((d, n) for d, n in ((number(t), n) for t, n in counts.items()) if d is not None)
-        if not got:
-            return None
-        d, n = np.array(got, dtype=np.int64).T
+        return self._unit(*np.array(got, dtype=np.int64).T) if got else None
+
+    def _unit(self, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         w = (1 + np.log(n)) * self.idf[d]
-        return d, w / np.linalg.norm(w)
+        return (d, w / np.linalg.norm(w)) if len(d) else None
 
     def search(self, vectors, k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector its k most similar examples (but[i] left out) and their similarities, exactly."""
         q, width = len(vectors), self.blocks * BLOCK
+        dense, dense_most = self._dense()
         dim, weight = (np.concatenate([v[side] for v in vectors]) for side in (0, 1))
         who = np.repeat(np.arange(q), [len(v[0]) for v in vectors])
         row = self.row[dim]
         wide = row >= 0
-        heavy = np.zeros((q, len(self.dense)))
+        heavy = np.zeros((q, len(dense)))
         heavy[who[wide], row[wide]] = weight[wide]
         dim, weight, who = dim[~wide], weight[~wide], who[~wide]
         many = self.block_start[dim + 1] - self.block_start[dim]
         entry, who, weight = _ranges(self.block_start[dim], many), np.repeat(who, many), np.repeat(weight, many)
         at = who * self.blocks + self.block[entry]
-        bound = np.bincount(at, weight * self.most[entry], q * self.blocks).reshape(q, self.blocks) + heavy @ self.dense_most
+        bound = np.bincount(at, weight * self.most[entry], q * self.blocks).reshape(q, self.blocks) + heavy @ dense_most
 
         def score(wanted):
             use = wanted.ravel()[at]
-            first, many = self.first[entry[use]], self.many[entry[use]]
+            first, many = self.first[entry[use]], self.first[entry[use] + 1] - self.first[entry[use]]
             post = _ranges(first, many)
             s = np.bincount(np.repeat(who[use], many) * width + self.who[post], np.repeat(weight[use], many) * self.weight[post], q * width).reshape(q, width).astype(np.float64, copy=False)
             for b in np.flatnonzero(wanted.any(axis=0)):
                 rows, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                s[rows, cols] += heavy[rows] @ self.dense[:, cols]
+                s[rows, cols] += heavy[rows] @ dense[:, cols]
             s[np.repeat(~wanted, BLOCK, axis=1)] = 0
             if but is not None:
                 s[np.arange(q)[but >= 0], but[but >= 0]] = 0
@@ -213,11 +239,11 @@ class Index:
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[list]]:
         """Calibrated scores and the doc_ids of the nearest examples (the evidence) of a batch of texts."""
         out, evidence = np.full(len(texts), self.blank), [[] for _ in texts]
-        known = [(n, v) for n, v in ((n, self.vector(terms(x))) for n, x in enumerate(texts)) if v is not None]
         a, b = self.curve
-        for i in range(0, len(known), _QUERIES):
-            part = known[i : i + _QUERIES]
-            for (n, _), (e, s) in zip(part, self.search([v for _, v in part], self.k)):
+        for i in range(0, len(texts), _QUERIES):
+            part = [(n, self.vector(terms(texts[n]))) for n in range(i, min(len(texts), i + _QUERIES))]
+            part = [(n, v) for n, v in part if v is not None]
+            for (n, _), (e, s) in zip(part, self.search([v for _, v in part], self.k) if part else []):
                 out[n] = 1 / (1 + np.exp(-np.clip(a * self._odds(self._vote(e, s)) + b, -50, 50)))
                 evidence[n] = [self.names[x] for x in e[:EVIDENCE]]
         return out, evidence
@@ -252,8 +278,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
         return Index({}, [], prior)
     n, k = (np.bincount(np.concatenate([np.empty(0, np.int64), *(ts for _, y, ts, _ in rows if y or every)]), minlength=len(number)) for every in (True, False))
     weight = (np.log((1 + total) / (1 + n)) + 1) * np.sqrt(surprise(n, k, total, ones) / total + 1e-6)
-    names = list(number)
-    return Index(dict(zip(names, weight.tolist())), [({names[t]: c for t, c in zip(ts.tolist(), ns)}, y, doc) for doc, y, ts, ns in rows], prior)
+    words = sorted(number)
+    order = np.array([number[t] for t in words])
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return Index.of(words, weight[order], [(place[ts], np.array(ns), y, doc) for doc, y, ts, ns in rows], prior)
 
 
 def scored(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
