@@ -1,16 +1,20 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Fixed rules come first (too short, too repetitive). Then three ratios of each remaining document are
-held against thresholds that its own language and source set: every (language, source) keeps a
-mergeable quantile sketch of each ratio (counts of logarithmic buckets, each 2 % wide, so sketches
-merge by adding counts and a quantile is off by 1 % of itself at most), the fence is
-`middle + spread * (upper - middle)` of its quantiles and at least `floor`, and groups with fewer
-than `least` documents use the sketch merged over their language, or over all. The thresholds are
-joined back to the documents.
+Fixed rules come first (too short, too repetitive). Then three shares of each remaining document
+(symbols, repeated lines, words in repeated windows) are held against thresholds that its own language
+and source set. A share counts as far as chance can't explain it: x - 3 sqrt(x) of n, where ten
+neighbouring repeated words are one event; so one repeated line of a short text is nothing yet.
+
+Every (language, source) keeps a mergeable quantile sketch of each share (counts of logarithmic
+buckets, each 2 % wide, so sketches merge by adding counts and a quantile is off by 1 % of itself at
+most; what is below RESOLUTION shares bucket zero). PRIOR documents of its language's sketch, which has
+as many of the whole corpus's, are merged into it, so a small group leans on its parents and a large one
+on itself, without a size at which one takes over. The fence is `upper + SPREAD * (upper - middle)` of
+the merged sketch's quantiles; there is no fixed fence. The thresholds are joined back to the documents.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources form
 groups of their own; repeated rows count twice in the sketches and share a verdict; an empty table
-gives no rows.
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import SPACE, WORD, body, small, stash
 
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
-#: The lowest fences: no document below them is rejected, however clean its group.
-FLOORS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.3}
-MIDDLE, UPPER, SPREAD, LEAST = 0.5, 0.75, 6.0, 50
+MIDDLE, UPPER, SPREAD, PRIOR = 0.5, 0.9, 3.0, 50.0
+#: Standard errors that a count must exceed, and repeated words that count as one event.
+ERRORS, RUN = 3.0, 10
+#: Shares below this are in the sketch's first bucket.
+RESOLUTION = 0.01
 #: Distinct repeated windows up to which a window is looked up in their list; beyond it, windows are sorted.
 _FEW = 12
 
@@ -85,58 +91,73 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def rated(counts: DataFrame) -> DataFrame:
-    """counts with base_failed and the three ratios."""
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    """counts with base_failed and the three shares, less what chance explains."""
+
+    def share(x: str, n: str, event: int = 1) -> Column:
+        beyond = F.greatest(F.lit(0.0), F.col(x) - ERRORS * F.sqrt((event * F.col(x)).cast("double")))
+        return F.when(F.col(n) > 0, beyond / F.col(n)).otherwise(F.lit(0.0))
+
     return counts.select(
         "*",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbol_ratio"),
         share("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        share("n_repeat_words", "n_words").alias("repeat_ratio"),
+        share("n_repeat_words", "n_words", RUN).alias("repeat_ratio"),
     )
 
 
 def bucket(x: Column) -> Column:
-    """The sketch's bucket of a ratio: 2 % wide in logarithm, zero and what is below 0.0001 in bucket 0."""
-    return F.when(x < 1e-4, 0).otherwise(F.floor(F.log(x * 1e4) / F.log(F.lit(1.02))) + 1).cast("long")
+    """The sketch's bucket of a share: 2 % wide in logarithm, what is below RESOLUTION in bucket 0."""
+    return F.when(x < RESOLUTION, 0).otherwise(F.floor(F.log(x / RESOLUTION) / F.log(F.lit(1.02))) + 1).cast("long")
 
 
 def _value(b: Column) -> Column:
-    return F.when(b == 0, F.lit(0.0)).otherwise(F.pow(F.lit(1.02), b - 0.5) / 1e4)
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.pow(F.lit(1.02), b - 0.5) * RESOLUTION)
 
 
 def sketches(ratios: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): one sketch of each ratio per language and source."""
+    """(lang, source, ratio, bucket, n): one sketch of each share per language and source."""
     stacked = ratios.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bucket(F.col(r)).alias("bucket")) for r in RATIOS])).alias("x"))
     return stacked.groupBy("lang", "source", F.col("x.ratio").alias("ratio"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(merged: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ratio) with the count and the fence that the sketch's quantiles give."""
+def merged(own: DataFrame, parent: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ratio, bucket, n): each group's counts and PRIOR times the parent's shares (its `by` is a prefix of the group's)."""
+    shared = [c for c in by if c in parent.columns]
+    up = parent.select(*[F.col(c).alias(f"_{c}") for c in shared], F.col("ratio").alias("_ratio"), F.col("bucket"), F.col("n"))
+    total = W.partitionBy(*[f"_{c}" for c in shared], "_ratio")
+    up = up.withColumn("n", PRIOR * F.col("n") / F.sum("n").over(total))
+    on = F.col("ratio") == F.col("_ratio")
+    for c in shared:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    lent = own.select(*by, "ratio").distinct().join(up, on).select(*by, "ratio", "bucket", "n")
+    return own.select(*by, "ratio", "bucket", F.col("n").cast("double").alias("n")).unionByName(lent).groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ratio) with the fence that the sketch's quantiles give."""
     group = W.partitionBy(*by, "ratio")
-    run = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    at = lambda q: _value(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket"))))
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("ratio"))
-    found = run.groupBy(*by, "ratio").agg(F.max("total").alias("total"), at(MIDDLE).alias("mid"), at(UPPER).alias("up"))
-    return found.select(*by, "ratio", "total", F.greatest(floor, F.col("mid") + SPREAD * (F.col("up") - F.col("mid"))).alias("fence"))
+    run = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    at = lambda q: _value(F.min(F.when(F.col("upto") >= (q - 1e-9) * F.col("total"), F.col("bucket"))))
+    found = run.groupBy(*by, "ratio").agg(at(MIDDLE).alias("mid"), at(UPPER).alias("up"))
+    return found.select(*by, "ratio", (F.col("up") + SPREAD * (F.col("up") - F.col("mid"))).alias("fence"))
 
 
 def thresholds(parts: DataFrame) -> DataFrame:
-    """(lang, source) with the fence of each ratio: its own, its language's or the whole corpus's."""
-    own = quantiles(parts, ["lang", "source"])
-    by_lang = quantiles(parts.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n")), ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("total").alias("lang_total"), F.col("fence").alias("lang_fence"))
-    whole = quantiles(parts.groupBy("ratio", "bucket").agg(F.sum("n").alias("n")), []).select(F.col("ratio").alias("w"), F.col("fence").alias("whole_fence"))
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(whole, F.col("ratio") == F.col("w"))
-    fence = F.when(F.col("total") >= LEAST, F.col("fence")).when(F.col("lang_total") >= LEAST, F.col("lang_fence")).otherwise(F.col("whole_fence"))
-    return joined.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("ratio") == r, fence)).alias(f"max_{r}") for r in RATIOS])
+    """(_lang, _source) with the fence of each share."""
+    whole = parts.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
+    langs = merged(parts.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n")), whole, ["lang"])
+    own = fences(merged(parts, langs, ["lang", "source"]), ["lang", "source"])
+    return own.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias(f"max_{r}") for r in RATIOS])
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: the counts, base_failed, kept and the name of the first rule it breaks."""
     counts = stash(rated(measured(docs)), "counts")
-    limits = small(stash(thresholds(sketches(counts.where(~F.col("base_failed")))), "thresholds"))
+    parts = stash(sketches(counts.where(~F.col("base_failed"))), "sketches")
+    limits = small(stash(thresholds(parts), "thresholds"))
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    broken = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATIOS])
+    broken = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when((F.col(r) >= RESOLUTION) & (F.col(r) > F.col(f"max_{r}")), F.lit(r)) for r in RATIOS])
     return joined.withColumn("broken", broken).withColumn("kept", F.col("broken").isNull())
 
 
@@ -158,26 +179,37 @@ counts AS (
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM words LEFT JOIN covered ON words.rid = covered.rid),
 rated AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS symbol_ratio,
-    CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_ratio, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_ratio FROM counts),
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN greatest(0.0::DOUBLE, n_symbols - 3.0 * sqrt(n_symbols::DOUBLE)) / word_chars ELSE 0 END AS symbol_ratio,
+    CASE WHEN n_lines > 0 THEN greatest(0.0::DOUBLE, n_dup_lines - 3.0 * sqrt(n_dup_lines::DOUBLE)) / n_lines ELSE 0 END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN greatest(0.0::DOUBLE, n_repeat_words - 3.0 * sqrt(10.0::DOUBLE * n_repeat_words)) / n_words ELSE 0 END AS repeat_ratio FROM counts),
 stacked AS (
   SELECT lang, source, 'symbol_ratio' AS ratio, symbol_ratio AS v FROM rated WHERE NOT base_failed UNION ALL
   SELECT lang, source, 'dup_line_ratio', dup_line_ratio FROM rated WHERE NOT base_failed UNION ALL
   SELECT lang, source, 'repeat_ratio', repeat_ratio FROM rated WHERE NOT base_failed),
-bucketed AS (SELECT lang, source, ratio, CASE WHEN v < 1e-4 THEN 0 ELSE floor(ln(v * 1e4) / ln(1.02)) + 1 END AS bucket FROM stacked),
-sketch AS (
-  SELECT g, lang, source, ratio, bucket, count(*) AS n FROM (
-    SELECT 0 AS g, lang, source, ratio, bucket FROM bucketed UNION ALL SELECT 1, lang, NULL, ratio, bucket FROM bucketed UNION ALL SELECT 2, NULL, NULL, ratio, bucket FROM bucketed) GROUP BY ALL),
-run AS (SELECT *, sum(n) OVER (PARTITION BY g, lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY g, lang, source, ratio) AS total FROM sketch),
-points AS (
-  SELECT g, lang, source, ratio, max(total) AS total, min(bucket) FILTER (upto >= 0.5 * total) AS b, min(bucket) FILTER (upto >= 0.75 * total) AS c FROM run GROUP BY ALL),
-levels AS (SELECT *, CASE WHEN b = 0 THEN 0 ELSE pow(1.02, b - 0.5) / 1e4 END AS mid, CASE WHEN c = 0 THEN 0 ELSE pow(1.02, c - 0.5) / 1e4 END AS up FROM points),
-fences AS (SELECT g, lang, source, ratio, total, greatest(CASE ratio WHEN 'symbol_ratio' THEN 0.05 WHEN 'dup_line_ratio' THEN 0.5 ELSE 0.3 END, mid + 6.0 * (up - mid)) AS fence FROM levels),
+parts AS (
+  SELECT lang, source, ratio, CASE WHEN v < 0.01 THEN 0 ELSE floor(ln(v / 0.01::DOUBLE) / ln(1.02::DOUBLE)) + 1 END AS bucket, count(*)::DOUBLE AS n FROM stacked GROUP BY ALL),
+whole AS (SELECT ratio, bucket, sum(n) / sum(sum(n)) OVER (PARTITION BY ratio) AS s FROM parts GROUP BY ratio, bucket),
+lang_counts AS (SELECT lang, ratio, bucket, sum(n) AS n FROM parts GROUP BY ALL),
+lang_merged AS (
+  SELECT lang, ratio, bucket, sum(n) AS n FROM (
+    SELECT * FROM lang_counts UNION ALL SELECT g.lang, g.ratio, w.bucket, 50.0 * w.s FROM (SELECT DISTINCT lang, ratio FROM lang_counts) g JOIN whole w ON w.ratio = g.ratio) GROUP BY ALL),
+lang_shares AS (SELECT lang, ratio, bucket, n / sum(n) OVER (PARTITION BY lang, ratio) AS s FROM lang_merged),
 own AS (
-  SELECT o.lang, o.source, o.ratio, CASE WHEN o.total >= 50 THEN o.fence WHEN l.total >= 50 THEN l.fence ELSE w.fence END AS fence
-  FROM fences o JOIN fences l ON l.g = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN fences w ON w.g = 2 AND w.ratio = o.ratio WHERE o.g = 0),
-limits AS (SELECT lang, source, max(fence) FILTER (ratio = 'symbol_ratio') AS a, max(fence) FILTER (ratio = 'dup_line_ratio') AS b, max(fence) FILTER (ratio = 'repeat_ratio') AS c FROM own GROUP BY ALL)
+  SELECT lang, source, ratio, bucket, sum(n) AS n FROM (
+    SELECT lang, source, ratio, bucket, n FROM parts UNION ALL
+    SELECT g.lang, g.source, g.ratio, l.bucket, 50.0 * l.s
+    FROM (SELECT DISTINCT lang, source, ratio FROM parts) g JOIN lang_shares l ON l.ratio = g.ratio AND l.lang IS NOT DISTINCT FROM g.lang) GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM own),
+points AS (
+  SELECT lang, source, ratio, min(bucket) FILTER (upto >= (0.5 - 1e-9) * total) AS b, min(bucket) FILTER (upto >= (0.9 - 1e-9) * total) AS c FROM run GROUP BY ALL),
+levels AS (
+  SELECT *, CASE WHEN b = 0 THEN 0 ELSE pow(1.02, b - 0.5) * 0.01 END AS mid, CASE WHEN c = 0 THEN 0 ELSE pow(1.02, c - 0.5) * 0.01 END AS up FROM points),
+limits AS (
+  SELECT lang, source, max(up + 3.0 * (up - mid)) FILTER (ratio = 'symbol_ratio') AS a, max(up + 3.0 * (up - mid)) FILTER (ratio = 'dup_line_ratio') AS b,
+    max(up + 3.0 * (up - mid)) FILTER (ratio = 'repeat_ratio') AS c FROM levels GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbol_ratio <= a, true) AND coalesce(dup_line_ratio <= b, true) AND coalesce(repeat_ratio <= c, true) AS kept
+  NOT base_failed AND (symbol_ratio < 0.01 OR coalesce(symbol_ratio <= a, true)) AND (dup_line_ratio < 0.01 OR coalesce(dup_line_ratio <= b, true))
+    AND (repeat_ratio < 0.01 OR coalesce(repeat_ratio <= c, true)) AS kept
 FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang AND rated.source IS NOT DISTINCT FROM limits.source
 """

@@ -208,6 +208,19 @@ def test_rules_on_odd_rows(spark, odd):
     assert op9_rules.apply_rules(odd.limit(0)).count() == 0
 
 
+def test_sources_set_their_own_fences(spark):
+    """A text with as many symbols as its own source is used to stays; the same text goes in a source that has none."""
+    plain = " ".join(f"w{k}ord{k % 7}x" for k in range(120))
+    signs = lambda n: plain + " " + " ".join(f"#{k}" for k in range(n))
+    rows = [(k, plain, "en", "prose") for k in range(400)] + [(1000 + k, signs(60 + k), "en", "code") for k in range(200)]
+    rows += [(5000, signs(150), "en", "prose"), (5001, signs(150), "en", "code"), (5002, plain + " ".join("#" * 20 + str(k) for k in range(200)), "en", "code"), (5003, plain + "\n" + "\n".join(["one line"] * 2), "en", "prose"), (5004, signs(150), "en", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in op9_rules.apply_rules(df).collect()}
+    assert not got[5000]["kept"] and got[5000]["broken"] == "symbol_ratio" and got[5001]["kept"] and not got[5002]["kept"] and got[5003]["kept"]
+    assert got[5000]["max_symbol_ratio"] == 0 < 0.1 < got[5001]["max_symbol_ratio"] < got[5002]["symbol_ratio"]
+    assert got[5004]["kept"] and got[5004]["max_symbol_ratio"] > 0  # one document leans on its language, part of which has symbols
+
+
 # op5
 
 
