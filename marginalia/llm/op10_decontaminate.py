@@ -8,27 +8,35 @@ alignment then checks. Nothing within the edit budget can be missed. k is `rate`
 short passage would otherwise need no shared q-gram; passages shorter than q are looked for as they are.
 
 Text is compared in lower case with runs of white space as one space. Passages are the stated query
-set: they are taken in blocks of at most `block` characters, each block's table going to all executors,
-and every block meets every document.
+set: they are taken in blocks of at most `block` characters, each broadcast as compressed text, and every
+block meets every document in one scan; the driver holds one block at a time, a task the compressed blocks
+and one block's table. Where q-grams are so common that their meetings pass EXPANSION, first the texts, then
+the passages are halved; for one text and one passage the q-grams of a sliding window are counted instead,
+which the same lemma bounds. So memory is bounded on any text, and nothing is left out.
 
 Defined cases: null or blank passages match nothing; a null text counts as empty; equal passages are
 all reported; repeated rows are reported each; empty tables give no rows; other columns are ignored by
-`matches` and kept by `decontaminate`.
+`matches` and kept by `decontaminate`; ids may have any type that Arrow knows.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from marginalia.llm.common import body
 
 Q, RATE, BLOCK = 8, 0.1, 4_000_000
+#: Meetings of q-grams that are held at once, and characters of documents that meet one block after the other.
+EXPANSION, CHUNK = 1 << 21, 1 << 24
 _GROUP = 1 << 19
 _SLOTS = 1 << 22
 
@@ -131,6 +139,11 @@ class Passages:
         at, lo, many = at[real], lo[real], (hi - lo)[real]
         if not len(at):
             return []
+        if many.sum() > EXPANSION:
+            half = len(group) // 2
+            if half:
+                return self._scan(group[:half]) + self._scan(group[half:])
+            return [x for part in self.halves for x in part._scan(group)] if len(self.items) > 1 else self._slide(group[0], h, at)
         where = np.repeat(at, many)
         entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(where))
         who = item[entry]
@@ -169,53 +182,97 @@ class Passages:
         return [(group[doc][0], self.items[w][0], s, e, edits) for (doc, w), (edits, s, e) in found.items()]
 
 
-def blocks(items: DataFrame, rate: float = RATE, block: int = BLOCK):
-    """The passages in blocks of at most `block` characters (a longer passage is a block of its own)."""
+    @cached_property
+    def halves(self) -> list[Passages]:
+        half = len(self.items) // 2
+        return [Passages(x, self.rate) for x in (self.items[:half], self.items[half:])]
+
+    def _slide(self, entry: tuple[int, str], h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The best occurrence of the only passage in one text, in the windows that have enough of its q-grams."""
+        (name, passage), (doc, text) = self.items[0], entry
+        codes, m, k, need, *_ = self.table
+        m, k, need = int(m[0]), int(k[0]), int(need[0])
+        if (i := text.find(passage)) >= 0:
+            return [(doc, name, i, i + len(passage), 0)]
+        has = np.zeros(len(h) + 1, np.int64)
+        has[at + 1] = 1
+        upto = np.cumsum(has)
+        ends = np.minimum(np.arange(len(h)) + m + k, len(h))
+        starts = np.flatnonzero(upto[ends] - upto[:-1] >= need)
+        best = (1 << 30, 0, 0)
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > m + k) + 1) if len(starts) else []:
+            a, z = int(run[0]), min(len(text), int(run[-1]) + m + k + Q)
+            if got := aligned(codes[0], codes_of(text[a:z]), k):
+                best = min(best, (got[0], a + got[1], a + got[2]))
+        return [(doc, name, best[1], best[2], best[0])] if best[0] <= k else []
+
+
+def blocks(items: DataFrame, block: int = BLOCK) -> list:
+    """The passages in blocks of at most `block` characters (a longer passage is a block of its own), compressed and broadcast."""
+    send, out = items.sparkSession.sparkContext.broadcast, []
     held, size = [], 0
     for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         if held and size + len(r["text"]) > block:
-            yield Passages(held, rate)
+            out.append(send(zlib.compress(pickle.dumps(held))))
             held, size = [], 0
         held.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    if held:
-        yield Passages(held, rate)
+    return out + [send(zlib.compress(pickle.dumps(held)))] if held else out
+
+
+def _met(sent: list, rate: float):
+    """Over batches with a column text: each batch with what the blocks' passages find in it."""
+
+    def of(batches):
+        last: dict[int, Passages] = {}
+
+        def settle(held):
+            found = [[] for _ in held]
+            for n, part in enumerate(sent):
+                if n not in last:
+                    last.clear()
+                    last[n] = Passages(pickle.loads(zlib.decompress(part.value)), rate)
+                for b, out in zip(held, found):
+                    out += last[n].find([x or "" for x in b.column("text").to_pylist()])
+            return zip(held, found)
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column("text").nbytes
+            if size >= CHUNK or len(sent) < 2:
+                yield from settle(held)
+                held, size = [], 0
+        yield from settle(held)
+
+    return of
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits, start and end (in the normalised text) of each passage's best occurrence in each document."""
-    ids, names = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {ids}, item_id {names}, edits int, start bigint, end bigint"
-    read = docs.select("doc_id", body().alias("text"))
-    out = None
-    for passages in blocks(items, rate, block):
-
-        def of(batches, passages=passages):
-            for b in batches:
-                got = passages.find(b.column("text").to_pylist())
-                doc = b.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array([g[1] for g in got]).cast(item_type), pa.array([g[4] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64())],
-                    names=["doc_id", "item_id", "edits", "start", "end"],
-                )
-
-        item_type = pa.int64() if names == "bigint" else pa.int32() if names == "int" else pa.string()
-        part = read.mapInArrow(of, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    kind = items.schema["item_id"].dataType
+    met, item_type = _met(blocks(items, block), rate), to_arrow_type(kind)
+
+    def of(batches):
+        for b, got in met(batches):
+            doc = b.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
+            cols = [pa.array([g[n] for g in got], t) for n, t in ((1, item_type), (4, pa.int32()), (2, pa.int64()), (3, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([doc, *cols], names=["doc_id", "item_id", "edits", "start", "end"])
+
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", body().alias("text")).mapInArrow(of, f"doc_id {ids}, item_id {kind.simpleString()}, edits int, start bigint, end bigint")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """docs without those that hold a passage within its edit budget; rows and columns pass through unchanged."""
-    for passages in blocks(items, rate, block):
+    met = _met(blocks(items, block), rate)
 
-        def of(batches, passages=passages):
-            for b in batches:
-                hit = {g[0] for g in passages.find([x or "" for x in b.column("text").to_pylist()])}
-                yield b.filter(pa.array([n not in hit for n in range(b.num_rows)], pa.bool_()))
+    def of(batches):
+        for b, got in met(batches):
+            hit = {g[0] for g in got}
+            yield b.filter(pa.array([n not in hit for n in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(of, StructType(docs.schema.fields))
-    return docs
+    return docs.mapInArrow(of, StructType(docs.schema.fields))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

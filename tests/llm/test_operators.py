@@ -363,6 +363,38 @@ def test_matches_equal_brute_force():
                 assert got[i] == best
 
 
+def test_common_qgrams_need_bounded_memory(monkeypatch):
+    """Halving texts and passages and counting in windows give what one count gives, on passages that share most q-grams."""
+    import random
+
+    rnd = random.Random(9)
+    line = "the same few words again and again "
+    items = [(k, line * rnd.randint(2, 6) + rnd.choice("xyz") * 9 + line * rnd.randint(0, 2)) for k in range(14)] + [(14, "ab" * 300), (15, "one two")]
+    texts = [line * rnd.randint(0, 8) + rnd.choice(items)[1] + line * rnd.randint(0, 3) for _ in range(25)] + ["ab" * 900, "a" * 500, "one two three"]
+    texts += ["".join(c for c in t if rnd.random() > 0.03) for t in texts]
+    key = lambda found: sorted(g[:2] + g[4:] for g in found)
+    want = key(op10_decontaminate.Passages(items).find(texts))
+    assert len(want) > 60
+    for limit in (40, 700, 5000):
+        monkeypatch.setattr(op10_decontaminate, "EXPANSION", limit)
+        assert key(op10_decontaminate.Passages(items).find(texts)) == want
+
+
+def test_large_block_of_skewed_words_stays_small():
+    import random
+    import tracemalloc
+
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("etaoin") for _ in range(rnd.randint(2, 5))) for _ in range(60)]
+    text = lambda n: " ".join(words[int(60 * rnd.random() ** 3)] for _ in range(n))
+    passages = op10_decontaminate.Passages([(k, text(60)) for k in range(1500)])
+    passages.table  # noqa: B018
+    tracemalloc.start()
+    passages.find([text(12_000)])
+    assert tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
 def test_decontamination(spark, docs, sf, odd):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = {r["doc_id"] for r in docs.join(items.select(F.col("text").alias("p")), F.contains(F.col("text"), F.col("p"))).select("doc_id").collect()}
@@ -372,7 +404,7 @@ def test_decontamination(spark, docs, sf, odd):
     assert small == {tuple(r) for r in found.collect()}
     kept = op10_decontaminate.decontaminate(docs, items)
     assert not want & {r["doc_id"] for r in kept.collect()} and kept.columns == docs.columns
-    odd_items = spark.createDataFrame([(1, None), (2, " "), (3, "one two")], "item_id bigint, text string")
+    odd_items = spark.createDataFrame([(1, None), (2, " "), (3, "one two")], "item_id smallint, text string")
     assert [(r["doc_id"], r["item_id"]) for r in op10_decontaminate.matches(odd, odd_items).collect()] == [(4, 3)]
     assert op10_decontaminate.decontaminate(odd, odd_items.limit(0)).count() == odd.count()
     assert op10_decontaminate.matches(odd.limit(0), odd_items).count() == 0
