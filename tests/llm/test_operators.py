@@ -306,7 +306,7 @@ def test_dedup_keeps_one_of_each_group(spark, odd):
 # op6
 
 
-def test_archives_round_trip(spark, tmp_path):
+def test_archives_round_trip(spark, tmp_path, monkeypatch):
     big = "<p>" + "é" * 600 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     rows = [(1, "http://A.example.com/x?b=1#f", big), (2, "http://a.example.com/y", big), (2, "http://a.example.com/y", big), (3, None, None), (4, "http://b.org", ""), (5, "http://b.org/\r\nX: y", "small"), (6, "https://www.b.org:443/z", "small"), (None, "http://c", big + "1")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, digest string")
@@ -317,13 +317,39 @@ def test_archives_round_trip(spark, tmp_path):
     digest = lambda t: sha1((t or "").encode()).hexdigest()
     want = [(p, len((h or "").encode()), digest(h), "revisit" if p == 1 else "response", 2 if p == 1 else None) for p, _, h in rows]
     assert got == sorted(want, key=str)
+    again = lambda: sorted(map(tuple, op6_warc.read_back(spark, f"{top}/a", op6_warc.CaptureIndex(spark, f"{top}/i"), pages=pages).collect()), key=str)
+    assert again() == got  # every URL looked up
+    for name, value in (("_reachable", lambda uri: False), ("BROADCAST_ROWS", 1)):  # files read by Spark, then keys joined
+        monkeypatch.setattr(op6_warc, name, value)
+        assert again() == got
+    monkeypatch.undo()
     found = index.lookup("http://a.example.com:80/x?b=1")
     assert [h["WARC-Type"] for h, _ in found] == ["revisit"] and index.lookup("http://nowhere") == []
     assert index.lookup("http://a.example.com/y")[0][1] == big.encode()
     assert op6_warc.url_key("https://www.Sub.example.com:8080/P") == "com,example,sub:8080)/p"
     op6_warc.write_archives(pages.limit(0), f"{top}/none")
     assert op6_warc.captures(spark, f"{top}/none").count() == 0
-
+    none = op6_warc.CaptureIndex.build(spark, f"{top}/none", f"{top}/no_index")
+    assert none.lookup("http://b.org") == [] and op6_warc.read_back(spark, f"{top}/none", none, pages=pages).count() == 0
+    records = [h for f in (tmp_path / "a").rglob("part-*") for _, _, h, _ in op6_warc.records(f.read_bytes())]
+    names = {h["WARC-Record-ID"] for h in records}
+    assert len(records) == len(rows) and all(h["WARC-Refers-To"] in names for h in records if h["WARC-Type"] == "revisit")
+    longest = max(len(r) for r in map(str, (b for _, _, b in rows))) * 2 + 1000
+    assert all(f.stat().st_size <= 3000 + longest for f in (tmp_path / "a").rglob("part-*"))
+
+
+def test_revisits_are_checked(spark, tmp_path):
+    """A revisit whose response says something else than it states reads back without size and digest."""
+    big = "<p>" + "z" * 2000
+    pages = spark.createDataFrame([(1, "http://a.org/1", big), (2, "http://a.org/2", big)], "page_id bigint, url string, html string").coalesce(1)
+    op6_warc.write_archives(pages, f"file://{tmp_path}/a")
+    (file,) = (tmp_path / "a").rglob("part-*")
+    file.write_bytes(file.read_bytes().replace(b"z" * 2000, b"y" * 2000))
+    for crc in (tmp_path / "a").rglob(".part-*.crc"):
+        crc.unlink()
+    index = op6_warc.CaptureIndex.build(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/i")
+    got = {r["page_id"]: r for r in op6_warc.read_back(spark, f"file://{tmp_path}/a", index).collect()}
+    assert got[2]["payload_bytes"] == 2003 and got[1]["payload_bytes"] is None and got[1]["payload_digest"] is None
 
 # op10
 
