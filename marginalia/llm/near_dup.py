@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from marginalia.llm.common import body, join_hot, small, stash, unused
+from marginalia.llm.common import body, join_hot, pieces, small, stash, unused
 
 BITS, SEED = 64, 42
 #: Table rows of one segment value that one task holds; more are dealt out over salts.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
-        for b in batches:
+        for b in pieces(batches):
             fps = np.array([majority(shingle_hashes(x, width))[0] for x in b.column("raw").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -254,7 +254,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingle_set(x, width) for x in b.column("raw").to_pylist()]
             columns = [
                 pa.array([set_name(s) for s in sets], pa.binary()),

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marginalia.llm.common import body, in_fold, sampled_labels
+from marginalia.llm.common import body, in_fold, pieces, sampled_labels
 
 BOUND, NEIGHBOURS, BLOCK, EVIDENCE = 6000, 15, 64, 3
-#: Examples that the curve is fitted on at most, and texts that are searched at once.
-CURVE, _QUERIES = 4000, 64
+#: Examples that the curve is fitted on at most; texts and words of texts that are searched at once (a longer text is searched alone).
+CURVE, _QUERIES, _WORDS = 4000, 64, 1 << 14
 #: A word in more than one of so many examples is kept as a dense row.
 _DENSE = 16
 _terms = re.compile(r"[^\W\d_]+").findall
@@ -213,8 +213,8 @@ class Index:
         """Logistic curve over the log odds of leave-one-out votes of at most CURVE examples."""
         some = np.arange(0, len(vectors), max(1, -(-len(vectors) // CURVE)))
         x = np.empty(len(some))
-        for i in range(0, len(some), _QUERIES):
-            part = some[i : i + _QUERIES]
+        for i in range(0, len(some), _QUERIES // 4):
+            part = some[i : i + _QUERIES // 4]
             x[i : i + len(part)] = [self._odds(self._vote(e, s)) for e, s in self.search([vectors[n] for n in part], self.k, part)]
         y = self.y[some]
         if len(set(y)) < 2:
@@ -240,12 +240,22 @@ class Index:
         """Calibrated scores and the doc_ids of the nearest examples (the evidence) of a batch of texts."""
         out, evidence = np.full(len(texts), self.blank), [[] for _ in texts]
         a, b = self.curve
-        for i in range(0, len(texts), _QUERIES):
-            part = [(n, self.vector(terms(texts[n]))) for n in range(i, min(len(texts), i + _QUERIES))]
-            part = [(n, v) for n, v in part if v is not None]
+        part, size = [], 0
+
+        def settle():
             for (n, _), (e, s) in zip(part, self.search([v for _, v in part], self.k) if part else []):
                 out[n] = 1 / (1 + np.exp(-np.clip(a * self._odds(self._vote(e, s)) + b, -50, 50)))
                 evidence[n] = [self.names[x] for x in e[:EVIDENCE]]
+
+        for n, text in enumerate(texts):
+            if (v := self.vector(terms(text))) is None:
+                continue
+            if part and (len(part) == _QUERIES or size + len(v[0]) > _WORDS):
+                settle()
+                part, size = [], 0
+            part.append((n, v))
+            size += len(v[0])
+        settle()
         return out, evidence
 
     def score(self, text: str) -> tuple[float, list]:
@@ -260,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
     sample = docs.select("doc_id", body().alias("text")).join(chosen, "doc_id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text"))
 
     def counted(batches):
-        for b in batches:
+        for b in pieces(batches):
             got = [terms(x) for x in b.column("text").to_pylist()]
             cols = [pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *cols], names=["doc_id", "y", "ts", "ns"])
@@ -290,7 +300,7 @@ def scored(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
-        for b in batches:
+        for b in pieces(batches):
             s, evidence = index.scores(b.column("text").to_pylist())
             cols = [pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(b.column("doc_id").type))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], names=["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -302,7 +312,7 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
     """docs without the rows scored at `threshold` or more; rows and columns pass through unchanged."""
 
     def of(batches):
-        for b in batches:
+        for b in pieces(batches):
             s, _ = index.scores([x or "" for x in b.column("text").to_pylist()])
             yield b.filter(pa.array(s < threshold))
 
