@@ -87,7 +87,7 @@ scores AS (
 
 
 _BODY = {"body": ("content", 1.0)}
-_SYNTH_TEXT = r"""regexp_replace(substr(text, 1, 200), '[^\p{L} ]', ' ', 'g')"""
+_SYNTH_TEXT = r"""regexp_replace(text, '[^\p{L} ]', ' ', 'g')"""
 _SYNTH_BODY = f"""'Doc ' || id || ' ' || {_SYNTH_TEXT} || ' ' || CASE id % 3 WHEN 1 THEN 'Notes noted' WHEN 2 THEN 'Notes noted Detail detailed' ELSE '' END || ' Filed batch b' || (id % 5)
  || CASE WHEN linked THEN ' See doc ' || ((id * 7 + 1) % 997) ELSE '' END || CASE WHEN linked AND id % 4 = 0 THEN ' And missing ' || id || ' lost' ELSE '' END || CASE WHEN linked AND id % 6 = 0 THEN ' Or shared ' || (id % 20) || ' Doc' ELSE '' END"""
 _SYNTH_FIELDS = {
@@ -451,7 +451,7 @@ def chunk_coverage(spark, sf_dir):
     return coverage(chunked(docs(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE firsts AS (SELECT doc_id, CAST(least(n_chars, 5000) AS BIGINT) AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents ORDER BY doc_id LIMIT 200),
+@query(f"""WITH RECURSIVE firsts AS (SELECT doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
 fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS total
   UNION ALL SELECT f.n, f.doc_id, CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN batch WHEN items = 0 THEN batch ELSE batch + 1 END,
     CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN items + 1 ELSE 1 END, CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN total + size ELSE size END
@@ -577,7 +577,7 @@ def acl_listing(spark, sf_dir):
     return access.visible_listing(docs(spark, sf_dir), _POLICY)
 
 
-_VISIBLE = SYNTH.replace("synth AS (SELECT *,", "synth AS (SELECT * FROM (SELECT *,").replace("AS path FROM base)", "AS path FROM base) WHERE source IN ('src1', 'src3', 'src4', 'src5') AND id % 2 = 1)")
+_VISIBLE = SYNTH.replace("synth AS (SELECT *,", "synth AS (SELECT * FROM (SELECT *,").replace("AS path FROM base)", "AS path FROM base) WHERE source IN ('src1', 'src3', 'src4', 'src5'))")
 
 
 @query(f"WITH {_VISIBLE} SELECT source_path AS source, target, resolved FROM resolved")
@@ -636,7 +636,7 @@ def _two_listings(spark, sf_dir):
     return d.where(F.col("doc_id") % 13 != 0), now
 
 
-@query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 13 <> 0 AND doc_id % 7 = 0 AND doc_id <= 500")
+@query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 13 <> 0 AND doc_id % 7 = 0")
 def reconcile_removed(spark, sf_dir):
     was, now = _two_listings(spark, sf_dir)
     return incremental.removed(was, now)
