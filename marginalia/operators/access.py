@@ -6,8 +6,11 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Reasons of a decision, in the order in which they are tried.
 REASONS = ("disabled", "invalid_path", "reserved_path", "denied", "allowed", "no_grant")
@@ -41,39 +44,65 @@ class Policy:
     enabled: bool = True
 
 
-def guard(text: str) -> str:
-    """What deny rules compare: compatibility-composed, case-folded, without what doesn't show."""
-    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    return "".join(c for c in folded if unicodedata.category(c) != "Cf" and c not in "͏­ᅟᅠㅤ")
+_ignorable = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
+_control = regex.compile(r"[\\:\p{Cc}]")
+# Names that stand for devices, whatever follows their first dot.
+_DEVICES = frozenset(("CON", "PRN", "AUX", "NUL", *(f"{d}{n}" for d in ("COM", "LPT") for n in "123456789¹²³")))
+#: Stands between guarded components; no valid path has it, and what a component is folded to is never split.
+_BETWEEN = "\x00"
 
 
-def _covers(rule: Rule, path: Column, target: str) -> Column:
-    return (path == target if rule.file is not None else F.startswith(path, F.lit(target + "/")) | (path == target)) if target else F.lit(True)
+def guard(part: str) -> str:
+    """What deny rules compare of a path component: compatibility-composed, case-folded, without what doesn't show."""
+    folded = unicodedata.normalize("NFKC", part).casefold()
+    return unicodedata.normalize("NFKC", _ignorable.sub("", folded))
 
 
-def decision(policy: Policy, action: str = "read", path: str = "path", guarded: str | None = None) -> Column:
-    """(reason, rule) for a path; denies win, a reader's grant is for reading only.
+def guard_path(path: str) -> str:
+    return _BETWEEN.join(map(guard, path.split("/")))
 
-    `guarded` names a column with guard(path) where paths may hold other than ASCII; lower case does for the rest.
-    """
+
+def _state(path: str | None) -> tuple[str | None, str]:
+    """The guarded path and what is wrong with it ("" if nothing is)."""
+    parts = (path or "").split("/")
+    if any(p in ("", ".", "..") for p in parts):
+        return None, "invalid_path"
+    if any(p.startswith(".") or guard(p).startswith(".") for p in parts):
+        return None, "reserved_path"
+    if any(_control.search(p) or p.endswith((".", " ")) or p.split(".", 1)[0].upper() in _DEVICES for p in parts):
+        return None, "invalid_path"
+    return guard_path(path), ""
+
+
+@F.pandas_udf(StructType([StructField("guarded", StringType()), StructField("fault", StringType())]))
+def path_state(paths: pd.Series) -> pd.DataFrame:
+    """guarded (null where there is a fault) and fault of each path; worked out for every row that a policy is asked about."""
+    return pd.DataFrame([_state(p) for p in paths], columns=["guarded", "fault"])
+
+
+def _covers(rule: Rule, path: Column, target: str, between: str = "/") -> Column:
+    return (path == target if rule.file is not None else F.startswith(path, F.lit(target + between)) | (path == target)) if target else F.lit(True)
+
+
+def decision(policy: Policy, action: str = "read", path: str = "path") -> Column:
+    """(reason, rule) for a path; denies win and are compared as guarded, a reader's grant is for reading only."""
     p = F.col(path)
-    g = F.col(guarded) if guarded else F.lower(p)
+    state = path_state(p)
     answer = lambda reason, rule=None: F.struct(F.lit(reason).alias("reason"), F.lit(rule).cast("string").alias("rule"))
     if not policy.enabled:
         return answer("disabled")
-    bad = p.isNull() | (p == "") | F.startswith(p, F.lit("/")) | F.contains(p, F.lit("\\")) | F.exists(F.split(p, "/"), lambda x: x.isin("", ".", ".."))
-    out = F.when(bad, answer("invalid_path")).when(F.exists(F.split(p, "/"), lambda x: F.startswith(x, F.lit("."))), answer("reserved_path"))
+    out = F.when(state["fault"] == "reserved_path", answer("reserved_path")).when(state["guarded"].isNull(), answer("invalid_path"))
     for r in policy.denies:
-        out = out.when(_covers(r, g, guard(r.target)), answer("denied", r.id))
+        out = out.when(_covers(r, state["guarded"], guard_path(r.target), _BETWEEN), answer("denied", r.id))
     for r in policy.grants:
         if r.role == "editor" or action == "read":
             out = out.when(_covers(r, p, r.target), answer("allowed", r.id))
     return out.otherwise(answer("no_grant"))
 
 
-def readable(notes: DataFrame, policy: Policy, guarded: str | None = None) -> DataFrame:
+def readable(notes: DataFrame, policy: Policy) -> DataFrame:
     """Rows of notes that the policy lets be read."""
-    return notes.where(decision(policy, guarded=guarded)["reason"] == "allowed")
+    return notes.where(decision(policy)["reason"] == "allowed")
 
 
 def container(policy: Policy, path: str = "path") -> Column:
@@ -81,11 +110,12 @@ def container(policy: Policy, path: str = "path") -> Column:
     if not policy.enabled:
         return F.lit(False)
     p, denied, seen = F.col(path), F.lit(False), F.lit(False)
+    guarded = path_state(p)["guarded"]
     for r in policy.denies:
-        denied |= _covers(r, F.lower(p), guard(r.target))
+        denied |= _covers(r, guarded, guard_path(r.target), _BETWEEN)
     for r in policy.grants:
         seen |= _covers(r, p, r.target) | F.startswith(F.lit(r.target + "/"), F.concat(p, F.lit("/")))
-    return ~denied & seen & ~F.exists(F.split(p, "/"), lambda x: F.startswith(x, F.lit(".")))
+    return guarded.isNotNull() & ~denied & seen
 
 
 def visible_listing(files: DataFrame, policy: Policy) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Boosted multi-field BM25 without an index to keep: one pass for the corpus's statistics, one for the scores.
+"""Boosted multi-field BM25, and its form without an index to keep (postings.py keeps one): a pass for the statistics, one for the scores.
 
-Each note carries its fields' tokens; a query's term counts are taken in place, so neither pass shuffles more
+Without an index each note carries its fields' tokens; a query's term counts are taken in place, so neither pass shuffles more
 than one row of statistics for each partition. Ties go to the smaller path.
 """
 
@@ -195,6 +195,25 @@ def tree_terms(tree: dict) -> list[str]:
     return list(dict.fromkeys(t for x in (*tree["must"], *tree["should"]) for t in tree_terms(x)))
 
 
+def all_terms(tree: dict) -> list[str]:
+    """Every term of a query, also those that must not occur."""
+    if "terms" in tree:
+        return tree["terms"]
+    return list(dict.fromkeys(t for x in (*tree["must"], *tree["should"], *tree["must_not"]) for t in all_terms(x)))
+
+
+def with_stems(tree: dict) -> dict:
+    """The query with each term's stem; tags stay as they are written."""
+    if "terms" in tree:
+        return tree if tree["field"] == "tags" else tree | {"terms": [stem(t) for t in tree["terms"]]}
+    return {k: [with_stems(x) for x in v] for k, v in tree.items()}
+
+
+def is_any(tree: dict) -> bool:
+    """Whether every note with any of the terms matches."""
+    return "terms" not in tree and not tree["must"] and not tree["must_not"] and all("terms" in x and not x["field"] and (not x["phrase"] or len(x["terms"]) < 2) for x in tree["should"])
+
+
 def search(corpus: DataFrame, query: str, k: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """The k best notes for a query in the query grammar."""
     tree = parse_query(query)

@@ -12,12 +12,12 @@ _HEADING = pa.struct([("level", pa.int32()), ("text", pa.string()), ("line", pa.
 _LINK = pa.struct([("raw", pa.string()), ("target", pa.string()), ("heading", pa.string()), ("block_ref", pa.string()), ("alias", pa.string()), ("line", pa.int64()), ("key", pa.string())])
 _BLOCK = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _ROW = pa.schema([
-    ("path", pa.string()), ("content", pa.string()), ("title", pa.string()), ("path_key", pa.string()), ("stem_key", pa.string()), ("tags", pa.list_(pa.string())), ("inline_tags", pa.list_(pa.string())),
+    ("path", pa.string()), ("content", pa.string()), ("title", pa.string()), ("path_key", pa.string()), ("stem_key", pa.string()), ("tags", pa.list_(pa.string())), ("inline_tags", pa.list_(pa.string())), ("key_tags", pa.list_(pa.string())),
     ("frontmatter", pa.string()), ("property_text", pa.string()), ("properties", pa.map_(pa.string(), pa.string())), ("items", pa.map_(pa.string(), pa.list_(pa.string()))), ("headings", pa.list_(_HEADING)), ("blocks", pa.list_(_BLOCK)), ("links", pa.list_(_LINK)),
     ("block_refs", pa.list_(pa.string())), ("body_start", pa.int64()), ("error", pa.string()),
 ])
 SCHEMA = (
-    "path string, content string, title string, path_key string, stem_key string, tags array<string>, inline_tags array<string>, frontmatter string, property_text string, properties map<string,string>, items map<string,array<string>>, "
+    "path string, content string, title string, path_key string, stem_key string, tags array<string>, inline_tags array<string>, key_tags array<string>, frontmatter string, property_text string, properties map<string,string>, items map<string,array<string>>, "
     "headings array<struct<level:int,text:string,line:bigint,offset:bigint,end:bigint>>, blocks array<struct<kind:string,start:bigint,end:bigint>>, "
     "links array<struct<raw:string,target:string,heading:string,block_ref:string,alias:string,line:bigint,key:string>>, block_refs array<string>, body_start bigint, error string"
 )
@@ -30,13 +30,14 @@ def parse_note(path: str, content: str | None) -> dict:
     try:
         fm = frontmatter.parse(content)
     except frontmatter.FrontmatterError as e:
-        return row | {"error": str(e), "tags": [], "inline_tags": [], "headings": [], "blocks": [], "links": [], "block_refs": [], "body_start": 0}
+        return row | {"error": str(e), "tags": [], "inline_tags": [], "key_tags": [], "headings": [], "blocks": [], "links": [], "block_refs": [], "body_start": 0}
     s = markdown.structure(content)
     inline = markdown.inline_tags(content, s.code)
     start = frontmatter.split(content)[1]
     return row | {
         "tags": sorted({*frontmatter.string_list(fm, "tags"), *inline}, key=str.encode),
         "inline_tags": inline,
+        "key_tags": sorted(set(frontmatter.string_list(fm, "tags")), key=str.encode),
         "frontmatter": None if fm is None else frontmatter.canonical(fm),
         "property_text": frontmatter.search_text(fm),
         "properties": [(k, frontmatter.canonical(v)) for k, v in (fm or {}).items()],
@@ -120,6 +121,19 @@ def property_contains(key: str, value) -> Column:
     return F.coalesce(F.when(F.startswith(own, F.lit("[")), F.array_contains(F.element_at("items", key), want)).otherwise((own == want) | within), F.lit(False))
 
 
+def heading_page(tree: DataFrame, parsed: DataFrame, offset: int = 0, limit: int = 100, max_bytes: int = 65_536, preview: int = 256) -> DataFrame:
+    """A page of one note's heading rows: those from `offset` on, `limit` and max_bytes of text at most (the first always), each with the start of its section."""
+    from pyspark.sql import Window
+
+    text = F.encode("content", "UTF-8")
+    cut = lambda a, b: F.substring(F.try_validate_utf8(F.decode(F.substring(text, a + 1, b - a), "UTF-8")), 1, preview)
+    rows = tree.where((F.col("ordinal") >= offset) & (F.col("ordinal") < offset + limit)).join(parsed.select("path", "content"), "path")
+    rows = rows.withColumn("preview", cut(F.col("start").cast("int"), F.col("section_end").cast("int"))).drop("content")
+    size = F.octet_length(F.concat("text", "preview")).cast("long")
+    upto = F.sum(size).over(Window.partitionBy("path").orderBy("ordinal"))
+    return rows.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("ordinal") == offset)).drop("upto").orderBy("ordinal")
+
+
 def heading_tree(parsed: DataFrame) -> DataFrame:
     """One row per heading: ordinal, parent (nearest earlier heading of a lower level) and where its section ends."""
     size = F.octet_length("content").cast("long")

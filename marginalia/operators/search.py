@@ -6,10 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_PATTERN_BYTES = 1000
+#: Java's flags for the same reading of a pattern: Unicode classes, Unicode case where case is ignored, lines end at \n only.
+_FLAGS = "(?dUu)"
 _MATCH = pa.struct([("context", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("line", pa.int64())])
 _MATCHES = "path string, matches array<struct<context:string,start:bigint,end:bigint,line:bigint>>"
 
@@ -21,8 +24,8 @@ def check_pattern(pattern: str) -> None:
     if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:[=!]|<[=!])|\\[1-9])", pattern):
         raise ValueError("look-around and back-references aren't supported")
     try:
-        re.compile(pattern)
-    except re.error as e:
+        regex.compile(pattern, regex.V0)
+    except regex.error as e:
         raise ValueError(f"invalid pattern: {e}") from e
 
 
@@ -32,7 +35,7 @@ def word_pattern(query: str) -> str | None:
     return "(?i)(?:" + "|".join(map(re.escape, words)) + ")" if words else None
 
 
-def contexts(content: str, pattern: re.Pattern, around: int) -> list[dict]:
+def contexts(content: str, pattern: regex.Pattern, around: int) -> list[dict]:
     """Each match with `around` bytes on either side (to whole characters), its place there and its line."""
     out, line, last = [], 0, 0
     for m in pattern.finditer(content):
@@ -54,7 +57,7 @@ def contexts(content: str, pattern: re.Pattern, around: int) -> list[dict]:
 
 def with_contexts(notes: DataFrame, pattern: str, around: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]):
-        compiled = re.compile(pattern)
+        compiled = regex.compile(pattern, regex.V0)
         for b in batches:
             got = [contexts(c or "", compiled, around) for c in b.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(got, pa.list_(_MATCH))], names=["path", "matches"])
@@ -65,8 +68,8 @@ def with_contexts(notes: DataFrame, pattern: str, around: int) -> DataFrame:
 def search_regex(notes: DataFrame, pattern: str, limit: int = 20, around: int = 100) -> DataFrame:
     """The first `limit` notes by path that match, with all their matches; contents are filtered before Python sees them."""
     check_pattern(pattern)
-    hits = notes.where(F.col("content").rlike(pattern)).orderBy("path").limit(max(0, limit))
-    return with_contexts(hits, pattern, around)
+    hits = notes.where(F.col("content").rlike(_FLAGS + pattern)).orderBy("path").limit(max(0, limit))
+    return with_contexts(hits, pattern, around).where(F.size("matches") > 0)
 
 
 def search_literal(notes: DataFrame, query: str, limit: int = 20, around: int = 100) -> DataFrame:
@@ -145,10 +148,18 @@ def within_budget(candidates: Column, max_bytes: int) -> Column:
 
 
 def read_many(notes: DataFrame, max_files: int = 20, max_bytes: int = 65_536) -> DataFrame:
-    """The first max_files (100 at most) notes by path, with what of them fits into max_bytes."""
+    """The first max_files (100 at most) notes by path: size, whether they fit into max_bytes, content if so, else why not."""
     first = notes.select("path", F.octet_length("content").cast("long").alias("size")).orderBy("path").limit(min(100, max(1, max_files)))
     ordered = first.agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("c"))
-    return ordered.select(F.explode(within_budget(F.col("c"), max_bytes)).alias("x")).select("x.*")
+    planned = ordered.select(F.explode(within_budget(F.col("c"), max_bytes)).alias("x")).select("x.*")
+    texts = notes.select(F.col("path").alias("_path"), "content").join(F.broadcast(planned.where("taken").select(F.col("path").alias("_path"))), "_path", "left_semi")
+    found = planned.join(texts, F.col("path") == F.col("_path"), "left").drop("_path")
+    return found.withColumn("skipped", F.when(~F.col("taken"), F.when(F.col("size") > max_bytes, "larger than the budget").otherwise("no room left"))).orderBy("path")
+
+
+def read_counts(read: DataFrame) -> DataFrame:
+    """found, returned, skipped and bytes of what read_many gives."""
+    return read.agg(F.count("*").alias("found"), F.count_if("taken").alias("returned"), F.count_if(~F.col("taken")).alias("skipped"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0)).alias("bytes"))
 
 
 def page(content: str, start: int = 0, end: int | None = None, max_bytes: int = 65_536) -> dict:

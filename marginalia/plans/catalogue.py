@@ -6,6 +6,7 @@ The SQL derives its truth from the columns, never by parsing the composed Markdo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import chunker, markdown, paths, periodic
-from marginalia.operators import access, graph, incremental, lexical, notes, search, vectors
-from marginalia.session import table
+from marginalia.operators import access, graph, incremental, lexical, notes, postings, search, vectors
+from marginalia.session import shared_dir, table
 from marginalia.sources import adapters, folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,15 +40,43 @@ def synth(spark, sf_dir) -> DataFrame:
     return adapters.composed_notes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_open: dict[tuple[str, str], DataFrame] = {}
+_held: dict[str, str] = {}
+
+
+def held(spark, sf_dir, name: str, build: Callable[[str], None]) -> str:
+    """A folder that build(path) has filled from the tables of sf_dir; made once a session for each state of the tables."""
+    state = [spark.sparkContext.applicationId, sf_dir, name]
+    for t in ("documents", "labels"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+        state += [found.getModificationTime(), found.getLen()]
+    key = hashlib.sha256(repr(state).encode()).hexdigest()[:24]
+    if key not in _held:
+        path = f"{shared_dir(spark)}/held-{name}-{key}"
+        build(path)
+        _held[key] = path
+    return _held[key]
 
 
 def parsed(spark, sf_dir) -> DataFrame:
-    """The composed notes as an open vault holds them: parsed once, kept in memory or on disk, made again where lost."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _open:
-        _open[key] = notes.parse(synth(spark, sf_dir)).persist()
-    return notes.indexed(_open[key])
+    """The composed notes as an open vault holds them: parsed once into a table on the shared folder."""
+    path = held(spark, sf_dir, "parsed", lambda p: notes.parse(synth(spark, sf_dir)).write.parquet(p))
+    return notes.indexed(spark.read.schema(notes.SCHEMA).parquet(path))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Notes as they are, as a corpus whose only field is the body."""
+    none = F.array().cast("array<string>")
+    return df.select("path", *[none.alias(f) for f in ("title", "headings", "frontmatter")], lexical.tokens(F.col("content")).alias("body"), none.alias("facets"))
+
+
+def index(spark, sf_dir, kind: str) -> postings.PostingIndex:
+    """The index over the notes (docs), the composed notes (synth) or the composed notes' stems (stems)."""
+    def build(path):
+        corpus = _plain(docs(spark, sf_dir)) if kind == "docs" else lexical.fields(parsed(spark, sf_dir))
+        postings.PostingIndex.build(corpus, path, kind == "stems")
+
+    return postings.PostingIndex(spark, held(spark, sf_dir, f"index-{kind}", build), kind == "stems")
 
 
 def rounded(name: str = "score"):
@@ -121,8 +150,7 @@ def source_revision(spark, sf_dir):
 
 @query(f"""WITH {SYNTH} SELECT path, list_aggregate(list_sort([lang, 'corpus/' || source]), 'string_agg', ',') AS tags FROM synth""")
 def fm_tags(spark, sf_dir):
-    own = F.filter("tags", lambda t: ~F.array_contains("inline_tags", t))
-    return parsed(spark, sf_dir).select("path", F.array_join(own, ",").alias("tags"))
+    return parsed(spark, sf_dir).select("path", F.array_join("key_tags", ",").alias("tags"))
 
 
 @query(f"""WITH {SYNTH} SELECT path FROM synth WHERE lower(lang) = 'en'""")
@@ -194,9 +222,12 @@ def backlinks(spark, sf_dir):
     return graph.backlinks(found, hub["target"] if hub else "").select("source", F.size("refs").cast("long").alias("refs"))
 
 
-@query(f"""WITH {SYNTH} SELECT source_path AS source, target, resolved FROM resolved""")
+@query(f"""WITH {SYNTH}, own AS (SELECT source_path AS p FROM resolved GROUP BY source_path ORDER BY count(*) DESC, source_path LIMIT 1)
+SELECT source_path AS source, target, resolved FROM resolved, own WHERE source_path = p""")
 def outgoing(spark, sf_dir):
-    return graph.resolved(parsed(spark, sf_dir)).select("source", "target", "resolved")
+    found = graph.resolved(parsed(spark, sf_dir))
+    most = found.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()
+    return graph.outgoing(found, most["source"] if most else "").select(F.lit(most["source"] if most else "").alias("source"), "target", "resolved")
 
 
 @query(f"""WITH {SYNTH} SELECT source_path AS source, raw, target FROM resolved WHERE resolved IS NULL""")
@@ -237,17 +268,16 @@ def page_links(spark, sf_dir):
 
 @query(f"WITH {SYNTH}," + _bm25_sql(_SYNTH_FIELDS, ["doc", "the", "detail", "src1"], "synth") + "SELECT path, round(score, 6) AS score FROM scores ORDER BY score DESC, path LIMIT 20")
 def bm25_default(spark, sf_dir):
-    corpus = lexical.fields(parsed(spark, sf_dir))
-    return lexical.top(lexical.scores(corpus, lexical.query_terms("doc the detail src1")), 20).select("path", rounded())
+    return index(spark, sf_dir, "synth").search("doc the detail src1", 20).select("path", rounded())
 
 
 @query(f"WITH {SYNTH}," + _bm25_sql({k: _SYNTH_FIELDS[k] for k in ("title", "headings")}, ["doc", "notes"], "synth") + """,
 facets AS (SELECT path, CASE WHEN source = 'src2' THEN 4.0 ELSE 0 END AS f FROM synth)
 SELECT path, round(coalesce(score, 0) + f, 6) AS score FROM facets LEFT JOIN scores USING (path) WHERE coalesce(score, 0) + f > 0 ORDER BY coalesce(score, 0) + f DESC, path LIMIT 20""")
 def bm25_fields(spark, sf_dir):
-    corpus = lexical.fields(parsed(spark, sf_dir))
-    text = lexical.scores(corpus, ["doc", "notes"], {k: lexical.BOOSTS[k] for k in ("title", "headings")})
-    both = text.unionByName(lexical.facet_scores(corpus, ["corpus/src2"])).groupBy("path").agg(F.sum("score").alias("score"))
+    own = index(spark, sf_dir, "synth")
+    text = own.scores(["doc", "notes"], {k: lexical.BOOSTS[k] for k in ("title", "headings")})
+    both = text.unionByName(own.facet_scores(["corpus/src2"])).groupBy("path").agg(F.sum("score").alias("score"))
     return lexical.top(both, 20).select("path", rounded())
 
 
@@ -256,13 +286,11 @@ hits AS (SELECT path, CAST(sum(CASE WHEN len(list_filter(ts, lambda x: damerau_l
   FROM (SELECT path, list_distinct({TOKENS.format("content")}) AS ts FROM notes), words GROUP BY path)
 SELECT path, round(score, 6) AS score FROM hits WHERE score > 0 ORDER BY score DESC, path LIMIT 20""")
 def bm25_fuzzy(spark, sf_dir):
-    corpus = docs(spark, sf_dir).select("path", F.array_distinct(lexical.tokens(F.col("content"))).alias("body"))
-    return lexical.top(lexical.fuzzy_scores(corpus, ["thing", "ferom"], {"body": 1.0}), 20).select("path", rounded())
+    return lexical.top(index(spark, sf_dir, "docs").fuzzy_scores(["thing", "ferom"], {"body": 1.0}), 20).select("path", rounded())
 
 
 def _body_scores(spark, sf_dir, terms):
-    corpus = docs(spark, sf_dir).select("path", lexical.tokens(F.col("content")).alias("body"))
-    return lexical.scores(corpus, terms, {"body": 1.0})
+    return index(spark, sf_dir, "docs").scores(terms, {"body": 1.0})
 
 
 @query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "from"]) + "SELECT path, round(score, 6) AS score FROM scores WHERE path LIKE 'src1/%' ORDER BY score DESC, path LIMIT 20")
@@ -282,15 +310,94 @@ def term_df(spark, sf_dir):
     return lexical.term_statistics(docs(spark, sf_dir).select("path", lexical.tokens(F.col("content")).alias("body")))
 
 
-@query()
+# The forms of the three words that occur, with their stems.
+_FORMS = {"detail": ("detail", "details", "detailed", "detailing"), "note": ("note", "notes", "noted", "noting"), "file": ("file", "files", "filed", "filing")}
+_STEM = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(f) for f in forms)}) THEN '{stem}'" for stem, forms in _FORMS.items()) + " ELSE w END"
+
+
+@query(f"WITH {SYNTH}," + _bm25_sql(_SYNTH_FIELDS, list(_FORMS), "synth").replace(
+    "dl AS (SELECT path, field, boost, len(ts) AS dl, ts FROM tok)",
+    f"stems AS (SELECT path, field, boost, list_transform(list_filter(ts, lambda w: strlen(w) < 40), lambda w: {_STEM}) AS ts FROM tok), dl AS (SELECT path, field, boost, len(ts) AS dl, ts FROM stems)",
+).replace("stems AS (SELECT path, field", "cut AS (SELECT path, field").replace("FROM stems)", "FROM cut)") + "SELECT path, round(score, 6) AS score FROM scores ORDER BY score DESC, path LIMIT 20")
 def bm25_stemmed(spark, sf_dir):
-    corpus = lexical.fields(parsed(spark, sf_dir), stems=True)
-    return lexical.top(lexical.scores(corpus, lexical.query_terms("detailed noting files", stems=True)), 20).select("path", rounded())
+    return index(spark, sf_dir, "stems").search("detailed noting files", 20).select("path", rounded())
+
+
+_HAS = "list_contains({0}, '{1}')"
+_DOC_TOKENS = f"tokens AS (SELECT path, {TOKENS.format('content')} AS ts FROM notes)"
+
+
+@query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["licensed", "under"]) + f""", {_DOC_TOKENS}
+SELECT path, round(score, 6) AS score FROM scores JOIN tokens USING (path) WHERE contains(' ' || array_to_string(ts, ' ') || ' ', ' licensed under ') ORDER BY scores.score DESC, path LIMIT 20""")
+def query_phrase(spark, sf_dir):
+    return index(spark, sf_dir, "docs").search('"licensed under"', 20).select("path", rounded())
+
+
+@query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "an", "thing", "clown"]) + f""", {_DOC_TOKENS}
+SELECT path, round(score, 6) AS score FROM scores JOIN tokens USING (path)
+WHERE {_HAS.format("ts", "the")} AND NOT {_HAS.format("ts", "idiot")} AND (({_HAS.format("ts", "an")} AND {_HAS.format("ts", "thing")}) OR {_HAS.format("ts", "clown")}) ORDER BY scores.score DESC, path LIMIT 50""")
+def query_boolean(spark, sf_dir):
+    return index(spark, sf_dir, "docs").search("+the -idiot +((an AND thing) OR body:clown)", 50).select("path", rounded())
+
+
+_REPLACED = DOCS.replace("coalesce(text, '') AS content FROM documents)", "CASE WHEN doc_id % 50 = 0 THEN 'replaced the note the' ELSE coalesce(text, '') END AS content FROM documents WHERE doc_id % 50 = 0 OR doc_id % 97 <> 1)")
+
+
+@query(f"WITH {_REPLACED}," + _bm25_sql(_BODY, ["the", "replaced"]) + "SELECT path, round(score, 6) AS score FROM scores")
+def index_replaced(spark, sf_dir):
+    """Notes replaced and removed by path in a later segment: statistics and scores are those of what is left."""
+    own = docs(spark, sf_dir)
+
+    def build(path):
+        made = postings.PostingIndex.build(_plain(own), path)
+        again = own.where(F.col("doc_id") % 50 == 0).withColumn("content", F.lit("replaced the note the"))
+        made.replace(_plain(again), own.where((F.col("doc_id") % 97 == 1) & (F.col("doc_id") % 50 != 0)).select("path"))
+
+    made = postings.PostingIndex(spark, held(spark, sf_dir, "index-replaced", build), False)
+    return made.scores(["the", "replaced"], {"body": 1.0}).select("path", rounded())
 
 
 # regular expressions, listings, budgets
 
 
+# Texts that only a reading by Unicode's rules finds.
+_FOREIGN = (("x/1.md", "une ÉCOLE et une école"), ("x/2.md", "room ４２ and 7.5"), ("x/3.md", "ΔΡΟΜΟΙ δρομοι"), ("x/4.md", "plain ascii"), ("x/5.md", "Straße Ünder"))
+
+
+def _foreign(spark, sf_dir):
+    return docs(spark, sf_dir).select("path", "content").unionByName(spark.createDataFrame(_FOREIGN, "path string, content string"))
+
+
+_WITH_FOREIGN = "every AS (SELECT path, content FROM notes UNION ALL VALUES " + ", ".join(f"('{p}', '{c}')" for p, c in _FOREIGN) + ")"
+
+
+@query(rf"""WITH {DOCS}, {_WITH_FOREIGN} SELECT path, CAST(len(regexp_extract_all(content, '\p{{Nd}}+[.]?\p{{Nd}}+')) AS BIGINT) AS matches FROM every WHERE regexp_matches(content, '\p{{Nd}}+[.]?\p{{Nd}}+')""")
+def regex_unicode(spark, sf_dir):
+    return search.search_regex(_foreign(spark, sf_dir), r"\d+[.]?\p{Nd}+", 1 << 30, 40).select("path", F.size("matches").cast("long").alias("matches"))
+
+
+@query(f"""WITH {DOCS}, {_WITH_FOREIGN}, q(w) AS (VALUES ('école'), ('δρομοι'), ('ünder')), hits AS (SELECT w, path, lower(content) AS c FROM every, q WHERE contains(lower(content), w))
+SELECT w AS query, path, CAST((length(c) - length(replace(c, w, ''))) / length(w) AS BIGINT) AS matches FROM hits""")
+def literal_unicode(spark, sf_dir):
+    out = None
+    for q in ("École", "δρομοι", "ÜNDER"):
+        got = search.search_literal(_foreign(spark, sf_dir), q, 1 << 30, 10).select(F.lit(q.lower()).alias("query"), "path", F.size("matches").cast("long").alias("matches"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(rf"""WITH {DOCS} SELECT path, context, start, "end", line FROM (
+  SELECT path, unnest(range(1, len(parts))) AS i, parts, content FROM (SELECT path, content, string_split(content, 'Licensed under') AS parts FROM notes)) t,
+LATERAL (SELECT substr(array_to_string(parts[1:i], 'Licensed under'), greatest(1, length(array_to_string(parts[1:i], 'Licensed under')) - 9)) AS l, substr(array_to_string(parts[i + 1:], 'Licensed under'), 1, 10) AS r, array_to_string(parts[1:i], 'Licensed under') AS before) x,
+LATERAL (SELECT l || 'Licensed under' || r AS context, CAST(length(l) AS BIGINT) AS start, CAST(length(l) + 14 AS BIGINT) AS "end", CAST(length(before) - length(replace(before, chr(10), '')) AS BIGINT) AS line) y
+WHERE strlen(l) = length(l) AND strlen(r) = length(r)""")
+def match_contexts(spark, sf_dir):
+    """Context, place and line of every match whose context is plain ASCII (there bytes are characters)."""
+    found = search.search_regex(docs(spark, sf_dir), "Licensed under", 1 << 30, 10)
+    rows = found.select("path", F.explode("matches").alias("m")).select("path", "m.*")
+    return rows.where(F.octet_length("context") == F.char_length("context"))
+
+
 @query(rf"""WITH {DOCS} SELECT path, CAST(len(regexp_extract_all(content, '[a-z]+@[a-z0-9]+|[0-9]+[.][0-9]+')) AS BIGINT) AS matches FROM notes WHERE regexp_matches(content, '[a-z]+@[a-z0-9]+|[0-9]+[.][0-9]+') ORDER BY path LIMIT 20""")
 def regex_search(spark, sf_dir):
     found = search.search_regex(docs(spark, sf_dir), "[a-z]+@[a-z0-9]+|[0-9]+[.][0-9]+", 20, 40)
@@ -322,32 +429,41 @@ def list_metadata(spark, sf_dir):
     return files.join(own, "path", "left").select("path", "title", "headings")
 
 
-@query(f"""WITH {DOCS}, entries AS (SELECT path, string_split(path, '/') AS parts FROM notes UNION ALL SELECT DISTINCT source, [source] FROM notes)
-SELECT path, row_number() OVER (ORDER BY parts) AS place FROM entries ORDER BY parts LIMIT 100""")
+@query(f"""WITH {DOCS}, entries AS (SELECT path, string_split(path, '/') AS parts FROM notes UNION ALL SELECT DISTINCT source, [source] FROM notes),
+tops AS (SELECT *, row_number() OVER (PARTITION BY len(parts), parts[1:len(parts) - 1] ORDER BY parts DESC) = 1 AS last FROM entries)
+SELECT CAST(row_number() OVER (ORDER BY e.parts) - 1 AS BIGINT) AS place,
+  CASE WHEN len(e.parts) = 2 THEN CASE WHEN t.last THEN '    ' ELSE '│   ' END ELSE '' END || CASE WHEN e.last THEN '└── ' ELSE '├── ' END || e.parts[len(e.parts)] AS line
+FROM tops e LEFT JOIN tops t ON len(e.parts) = 2 AND t.parts = e.parts[1:1]""")
 def tree_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    first = search.listing(docs(spark, sf_dir), recursive=True).select("path").limit(100)
-    return first.select("path", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long").alias("place"))
+    entries = [r["path"] for r in search.listing(docs(spark, sf_dir), recursive=True).select("path").collect()]
+    return spark.createDataFrame(list(enumerate(search.tree(entries).split("\n"))), "place bigint, line string")
 
 
 @query(f"""WITH RECURSIVE {DOCS}, firsts AS (SELECT path, CAST(strlen(content) AS BIGINT) AS size, row_number() OVER (ORDER BY path) AS n FROM notes ORDER BY path LIMIT 20),
 fold AS (SELECT CAST(0 AS BIGINT) AS n, '' AS path, CAST(0 AS BIGINT) AS size, false AS taken, CAST(20000 AS BIGINT) AS left_over
   UNION ALL SELECT f.n, f.path, f.size, f.size <= left_over, left_over - CASE WHEN f.size <= left_over THEN f.size ELSE 0 END FROM fold JOIN firsts f ON f.n = fold.n + 1)
-SELECT path, size, taken FROM fold WHERE n > 0""")
+SELECT fold.path, size, taken, CASE WHEN taken THEN sha256(content) END AS content, CASE WHEN NOT taken THEN CASE WHEN size > 20000 THEN 'larger than the budget' ELSE 'no room left' END END AS skipped FROM fold JOIN notes ON notes.path = fold.path WHERE n > 0""")
 def read_many_budget(spark, sf_dir):
-    return search.read_many(docs(spark, sf_dir), 20, 20_000)
+    return search.read_many(docs(spark, sf_dir), 20, 20_000).select("path", "size", "taken", F.sha2("content", 256).alias("content"), "skipped")
 
 
-@query("""SELECT * FROM (VALUES ('a//b/./c.md', 'a/b/c.md'), ('a/../b.md', 'b.md'), ('a\\b\\c.md', 'a/b/c.md'), ('x', 'x')) t(raw, path)""")
+@query(f"""WITH {DOCS}, firsts AS (SELECT strlen(content) AS size FROM notes ORDER BY path LIMIT 100)
+SELECT count(*) AS found, count(*) AS returned, CAST(0 AS BIGINT) AS skipped, CAST(sum(size) AS BIGINT) AS bytes FROM firsts""")
+def read_many_counts(spark, sf_dir):
+    return search.read_counts(search.read_many(docs(spark, sf_dir), 100, 1 << 40))
+
+
+@query(r"""SELECT raw, source || '/' || lang || '/doc-' || doc_id || '.md' AS path FROM (SELECT *, source || '//./x/../' || lang || '\doc-' || doc_id || '.md' AS raw FROM documents)""")
 def path_normalize(spark, sf_dir):
-    raw = ["a//b/./c.md", "a/../b.md", "a\\b\\c.md", "x"]
-    return spark.createDataFrame([(r, paths.normalize(r)) for r in raw], "raw string, path string")
+    d = table(spark, sf_dir, "documents")
+    raw = F.concat("source", F.lit("//./x/../"), "lang", F.lit("\\doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return d.select(raw.alias("raw")).select("raw", F.udf(paths.normalize, "string", useArrow=True)("raw").alias("path"))
 
 
-@query("""SELECT * FROM (VALUES ('a b/c.md', 'a%20b/c.md'), ('é~_-.', '%C3%A9~_-.'), ('50%+', '50%25%2B')) t(raw, encoded)""")
+@query("""SELECT doc_id, sha256(replace(url_encode(coalesce(text, '')), '%2F', '/')) AS encoded FROM documents""")
 def percent_encode(spark, sf_dir):
-    return spark.createDataFrame([(r, paths.percent_encode(r)) for r in ("a b/c.md", "é~_-.", "50%+")], "raw string, encoded string")
+    encode = F.udf(lambda t: paths.percent_encode(t or ""), "string", useArrow=True)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(encode("text"), 256).alias("encoded"))
 
 
 # vectors
@@ -522,10 +638,11 @@ def _dates(spark, sf_dir):
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT d, 'journal/' || strftime(d, '%Y/%m/%Y-%m-%d') || '.md' AS daily, printf('%04d-W%02d', isoyear(d), week(d)) AS weekly, strftime(d, '%Y-%m') AS monthly, year(d) || '-Q' || quarter(d) AS quarterly FROM d""")
 def periodic_path(spark, sf_dir):
-    d = F.col("d")
-    daily = F.udf(lambda d: periodic.note_path(d, "YYYY/MM/YYYY-MM-DD", "journal") if d else None, "string", useArrow=True)
-    weekly = F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), d), F.weekofyear(d))
-    return _dates(spark, sf_dir).select("d", daily("d").alias("daily"), weekly.alias("weekly"), F.date_format(d, "yyyy-MM").alias("monthly"), F.concat(F.year(d), F.lit("-Q"), F.quarter(d)).alias("quarterly"))
+    def named(fmt, folder_=None):
+        return F.udf(lambda d: periodic.note_path(d, fmt, folder_) if d else None, "string", useArrow=True)("d")
+
+    plain = {p: F.regexp_replace(named(periodic.DEFAULTS[p]), r"\.md$", "").alias(p) for p in ("weekly", "monthly", "quarterly")}
+    return _dates(spark, sf_dir).select("d", named("YYYY/MM/YYYY-MM-DD", "journal").alias("daily"), *plain.values())
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
@@ -540,7 +657,8 @@ def periodic_parse(spark, sf_dir):
 @query("""SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || '.md' AS path FROM orders ORDER BY path DESC LIMIT 10""")
 def periodic_recent(spark, sf_dir):
     names = _dates(spark, sf_dir).select(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(".md")).alias("path"))
-    found = names.withColumn("d", F.try_to_timestamp(F.regexp_replace("path", r"\.md$", ""), F.lit("yyyy-MM-dd")))
+    read = F.udf(lambda p: periodic.parse_date(p.removesuffix(".md"), periodic.DEFAULTS["daily"]), "date", useArrow=True)
+    found = names.withColumn("d", read("path"))
     return found.where("d IS NOT NULL").orderBy(F.desc("d")).limit(10).select("path")
 
 
@@ -552,7 +670,7 @@ def template_expand(spark, sf_dir):
 
 @query("SELECT CAST(n AS INTEGER) AS attempt, CAST(least(30, pow(2, least(n, 6) - 1)) AS INTEGER) AS delay FROM range(1, 11) t(n)")
 def retry_backoff(spark, sf_dir):
-    return spark.range(1, 11).select(F.col("id").cast("int").alias("attempt"), F.least(F.lit(30), F.pow(F.lit(2), F.least(F.col("id"), F.lit(6)) - 1).cast("int")).alias("delay"))
+    return spark.range(1, 11).select(F.col("id").cast("int").alias("attempt"), F.udf(periodic.retry_delay, "int", useArrow=True)("id").alias("delay"))
 
 
 # access
@@ -564,11 +682,20 @@ _POLICY = access.Policy(
 )
 
 
+# Paths whose components only a guarded comparison recognises, or that no policy allows.
+_GUARDED = (
+    ("ＳＲＣ2/x.md", "denied", "d1"), ("sr\u200bc2/x.md", "denied", "d1"), ("src\ufe0f2/x.md", "denied", "d1"), ("Src²/x.md", "denied", "d1"), ("s\u00adrc1/doc-1.md", "denied", "d2"),
+    ("src1/\uff0ehidden/x.md", "reserved_path", None), ("src1/a:b.md", "invalid_path", None), ("src1/nul.md", "invalid_path", None), ("src1/x .md", "allowed", "g1"), ("src1/end./x.md", "invalid_path", None), ("ſrc1/x.md", "no_grant", None),
+)
+
+
 @query(f"""WITH {DOCS} SELECT path, CASE WHEN lower(path) LIKE 'src2/%' OR lower(path) = 'src1/doc-1.md' THEN 'denied' WHEN path LIKE 'src1/%' OR path = 'src3/doc-3.md' THEN 'allowed' ELSE 'no_grant' END AS reason,
-CASE WHEN lower(path) LIKE 'src2/%' THEN 'd1' WHEN lower(path) = 'src1/doc-1.md' THEN 'd2' WHEN path LIKE 'src1/%' THEN 'g1' WHEN path = 'src3/doc-3.md' THEN 'g3' END AS rule FROM notes""")
+CASE WHEN lower(path) LIKE 'src2/%' THEN 'd1' WHEN lower(path) = 'src1/doc-1.md' THEN 'd2' WHEN path LIKE 'src1/%' THEN 'g1' WHEN path = 'src3/doc-3.md' THEN 'g3' END AS rule FROM notes
+UNION ALL VALUES """ + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in _GUARDED))
 def acl_decision(spark, sf_dir):
     d = access.decision(_POLICY)
-    return docs(spark, sf_dir).select("path", d["reason"].alias("reason"), d["rule"].alias("rule"))
+    every = docs(spark, sf_dir).select("path").unionByName(spark.createDataFrame([(p,) for p, _, _ in _GUARDED], "path string"))
+    return every.select("path", d["reason"].alias("reason"), d["rule"].alias("rule"))
 
 
 @query(f"""WITH {DOCS} SELECT path, 'file' AS kind FROM notes WHERE (path LIKE 'src1/%' AND path <> 'src1/doc-1.md') OR path = 'src3/doc-3.md'
@@ -587,10 +714,10 @@ def acl_graph(spark, sf_dir):
     return graph.resolved(notes.indexed(notes.parse(seen))).select("source", "target", "resolved")
 
 
-@query(f"WITH {SYNTH} SELECT path FROM synth WHERE quality = 1 AND source IN ('src1', 'src4') AND FALSE OR (path LIKE 'src1/%' AND lang = 'en')")
+@query(f"WITH {SYNTH} SELECT path FROM synth WHERE quality = 1 AND source IN ('src1', 'src4')")
 def audience_scope(spark, sf_dir):
-    scope = access.Audience(("src1/",), {})
-    return parsed(spark, sf_dir).where(access.in_audience(scope) & notes.has_tag("en")).select("path")
+    scope = access.Audience(("src1/", "src4/"), {"quality": 1})
+    return parsed(spark, sf_dir).where(access.in_audience(scope)).select("path")
 
 
 @query(f"""WITH {DOCS}, lines AS (SELECT path, substr(sha256(path), 1, 3) AS shelf, sha256(lpad(CAST(length(path) AS VARCHAR), 8, '0') || path || sha256(content)) AS line FROM notes),

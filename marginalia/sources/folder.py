@@ -39,7 +39,7 @@ def inventory(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFram
 
 
 def notes(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
-    """path, content, size and modified of the notes below root; larger ones than MAX_SOURCE_BYTES aren't taken."""
+    """path, content, size and modified of the notes below root; larger ones than MAX_SOURCE_BYTES aren't taken (see oversized)."""
     top = root.rstrip("/")
     base = top.split("://", 1)[-1] if "://" in top else os.path.abspath(top)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top).where(F.col("length") <= MAX_SOURCE_BYTES)
@@ -48,5 +48,10 @@ def notes(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
     return found.where(visible(F.col("path")) & (file_class(F.col("path"), rules) == "note"))
 
 
+def oversized(found: DataFrame) -> DataFrame:
+    """(path, error) of the notes of an inventory that are too large to be taken."""
+    return found.where((F.col("class") == "note") & (F.col("size") > MAX_SOURCE_BYTES)).select("path", F.concat(F.lit("larger than "), F.lit(str(MAX_SOURCE_BYTES)), F.lit(" bytes")).alias("error"))
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"

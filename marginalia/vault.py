@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import os
 import threading
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter, markdown, paths, periodic
-from marginalia.operators import access, graph, lexical, notes, search, vectors
+from marginalia.operators import access, graph, lexical, notes, postings, search, vectors
+from marginalia.session import shared_dir
 from marginalia.sources import folder
 
 # Limits of results and contexts.
@@ -29,6 +31,7 @@ class Vault:
         self._corpus, self._others = corpus, others
         self._lock = threading.Lock()
         self._parsed: DataFrame | None = None
+        self._index: postings.PostingIndex | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, rules: list[str] = ()) -> Vault:
@@ -51,8 +54,17 @@ class Vault:
         return notes.indexed(self._parsed)
 
     def rejected(self) -> DataFrame:
+        """Notes that no view holds: broken front matter, or larger than a note may be."""
         self.parsed  # noqa: B018  makes the view
-        return notes.rejected(self._parsed)
+        found = notes.rejected(self._parsed)
+        return found if self._others is None or "size" not in self._others.columns else found.unionByName(folder.oversized(self._others))
+
+    @property
+    def index(self) -> postings.PostingIndex:
+        """The lexical index over stems, built at the first search and kept up with every change made here."""
+        if self._index is None:
+            self._index = postings.PostingIndex.build(lexical.fields(self.parsed), f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}", stems=True)
+        return self._index
 
     def files(self) -> DataFrame:
         found = self._corpus.select("path")
@@ -61,7 +73,10 @@ class Vault:
     def visible_to(self, policy: access.Policy) -> Vault:
         """The vault as a policy shows it: graph, tags and search statistics count what is readable only."""
         others = None if self._others is None else access.readable(self._others, policy)
-        return Vault(self.spark, access.readable(self._corpus, policy), others, None, None if self.chunk_vectors is None else access.readable(self.chunk_vectors, policy))
+        seen = Vault(self.spark, access.readable(self._corpus, policy), others, None, None if self.chunk_vectors is None else access.readable(self.chunk_vectors, policy))
+        if self._index is not None:
+            seen._index = self._index.view(access.decision(policy)["reason"] == "allowed")
+        return seen
 
     # reading
 
@@ -105,8 +120,9 @@ class Vault:
     def targets(self, path: str) -> dict:
         return markdown.document_map(self.read(path)["content"])
 
-    def headings(self, path: str, offset: int = 0, limit: int = 100) -> DataFrame:
-        return notes.heading_tree(self.parsed.where(F.col("path") == paths.normalize(path))).where((F.col("ordinal") >= offset) & (F.col("ordinal") < offset + limit)).orderBy("ordinal")
+    def headings(self, path: str, offset: int = 0, limit: int = 100, max_bytes: int = 65_536) -> DataFrame:
+        own = self.parsed.where(F.col("path") == paths.normalize(path))
+        return notes.heading_page(notes.heading_tree(own), own, offset, limit, max_bytes)
 
     def frontmatter(self, path: str) -> dict | None:
         return frontmatter.parse(self.read(path)["content"])
@@ -120,16 +136,16 @@ class Vault:
         for f in fields or ():
             if f.lower() not in names:
                 raise ValueError(f"unknown field {f!r}")
-        corpus, terms = lexical.fields(self.parsed), lexical.query_terms(query)
+        terms = self.index.terms(query)
         if not fuzzy and fields is None:
-            hits = lexical.search(corpus, query, limit)
+            hits = self.index.search(query, limit)
         else:
             some = {f: lexical.BOOSTS[f] for f in (map(str.lower, fields) if fields else lexical.BOOSTS) if f in lexical.BOOSTS}
-            found = (lexical.fuzzy_scores if fuzzy else lexical.scores)(corpus, terms, some) if some else None
+            found = (self.index.fuzzy_scores if fuzzy else self.index.scores)(terms, some) if some and terms else None
             if fields and "tags" in map(str.lower, fields):
-                tags = lexical.facet_scores(corpus, query.lower().split())
+                tags = self.index.facet_scores(query.lower().split())
                 found = tags if found is None else found.unionByName(tags).groupBy("path").agg(F.sum("score").alias("score"))
-            hits = lexical.top(found, limit)
+            hits = lexical.top(found, limit) if found is not None else self._corpus.select("path", F.lit(0.0).alias("score")).limit(0)
         return self._with_contexts(hits, search.word_pattern(query), context)
 
     def _with_contexts(self, hits: DataFrame, pattern: str | None, context: int) -> DataFrame:
@@ -154,9 +170,32 @@ class Vault:
         live = vectors.live_only(self.chunk_vectors, self._corpus)
         if query is None:
             return vectors.semantic(live, vector, k)
-        hits = lexical.top(lexical.scores(lexical.fields(self.parsed), lexical.query_terms(query)), max(50, k), live.select("path"))
+        hits = lexical.top(self.index.scores(self.index.terms(query)), max(50, k), live.select("path"))
         return vectors.hybrid(lexical.normalized(hits), vectors.best_chunks(live, vector), k, alpha)
 
+    def search_semantic_text(self, query: str, embed, k: int = 10, alpha: float | None = 0.25, most: int = 300) -> DataFrame:
+        """Semantic search for a text: `embed` gives its vector; hits carry their best chunk's place, state and preview.
+
+        With alpha None only the vectors count. A preview is taken from the note as it is now, if the chunk's place is still there.
+        """
+        if not query.strip():
+            raise ValueError("an empty query")
+        found = self.search_semantic(list(embed(query)), k, None if alpha is None else query, alpha or 0.0)
+        own = self._corpus.join(F.broadcast(found.select("path")), "path", "left_semi").select("path", "content")
+        both = found.join(own, "path", "left")
+
+        @F.udf("struct<status:string,preview:string>", useArrow=True)
+        def shown(content, start, end):
+            if content is None:
+                return ("unavailable", None)
+            raw = content.encode()
+            if start is None or start > len(raw):
+                return ("changed", None)
+            return ("current", search.preview(raw[start : len(raw) if end is None else end].decode("utf-8", "ignore"), query, most))
+
+        start, end = (F.col(c) if c in both.columns else F.lit(None).cast("long") for c in ("start", "end"))
+        return both.withColumn("evidence", shown("content", start, end)).select(*found.columns, "evidence.status", "evidence.preview").orderBy(F.desc("score"), "path")
+
     # links
 
     def backlinks(self, path: str) -> DataFrame:
@@ -189,9 +228,16 @@ class Vault:
         with open(part, "w", encoding="utf-8", newline="") as f:
             f.write(content)
         os.replace(part, full)
-        self._refresh()
-
-    def _refresh(self) -> None:
+        self._refresh(paths.normalize(path))
+
+    def _refresh(self, *changed: str) -> None:
+        """Read the folder again; the index takes the notes at the changed paths as they are now."""
+        if self._index is not None:
+            now = {p: c for p in changed if paths.is_markdown(p) and (c := self._text(p)) is not None}
+            corpus = self.spark.createDataFrame(list(now.items()), "path string, content string")
+            gone = self.spark.createDataFrame([(p,) for p in changed], "path string")
+            parsed = notes.indexed(notes.parse(corpus.where(~folder.excluded(F.col("path"), self.rules))))
+            self._index.replace(lexical.fields(parsed), gone)
         if self._parsed is not None:
             self._parsed.unpersist()
         self._corpus, self._others, self._parsed = folder.notes(self.spark, self.root, self.rules), folder.inventory(self.spark, self.root, self.rules), None
@@ -249,14 +295,14 @@ class Vault:
                 raise FileExistsError(new)
             os.makedirs(os.path.dirname(self._at(new)), exist_ok=True)
             os.rename(self._at(old), self._at(new))
-            self._refresh()
+            self._refresh(paths.normalize(old), paths.normalize(new))
 
     def delete(self, path: str, confirm: bool = False) -> None:
         if not confirm:
             raise ValueError("deleting needs confirm=True")
         with self._lock:
             os.remove(self._at(path))
-            self._refresh()
+            self._refresh(paths.normalize(path))
 
     # periodic notes
 

@@ -83,9 +83,10 @@ def test_access_decisions(spark):
 
 
 def test_offered_operations():
-    assert "note_write" not in config.offered("read_only") and config.offered(allow=["search_text", "wikilinks"], deny=["wikilinks"]) == {"search_text"}
+    assert "note_write" not in config.offered("read") and config.offered("search_text, wikilinks, nothing") == {"search_text", "wikilinks"}
+    assert len(config.offered()) == 19 and config.offered("!note_write,periodic") == set(config.OPERATIONS) - {"note_write", "periodic"} and len(config.offered("Minimal")) == 6
     with pytest.raises(ValueError):
-        config.offered(allow=["no_such"])
+        config.offered("no_such")
 
 
 def test_stat_refresh(spark):
