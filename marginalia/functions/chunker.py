@@ -13,6 +13,7 @@ from hashlib import sha256
 from marginalia.functions import frontmatter, markdown
 
 MAX_CHUNKS, OVERLAP_TOKENS = 4096, 32
+_word, _tail = re.compile(r"\S+"), re.compile(r"\S+\Z")
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+|[。！？]\s*")
 
 
@@ -39,6 +40,35 @@ def _fits_upto(text: str, fits: Callable[[str], bool], guess: int) -> int:
     return max(1, lo)
 
 
+def _cost(word: str) -> int:
+    return 1 + ((len(word) if word.isascii() else len(word.encode("utf-8", "surrogatepass"))) - 1) // 8
+
+
+def _words_upto(lead: str, text: str, start: int, stop: int, most: int) -> int:
+    """_fits_upto for word_count over text[start:stop] after `lead`, in one walk over its words."""
+    tail = _tail.search(lead)
+    carry = tail[0] if tail else ""
+    total = word_count(lead[: len(lead) - len(carry)])
+    for m in _word.finditer(text, start, stop):
+        if m.start() > start and carry:
+            total, carry = total + _cost(carry), ""
+            if total > most:
+                return max(1, 1 if m.start() > start else 0)
+        room = 8 * (most - total)
+        word = carry + m[0]
+        if total + _cost(word) <= most:
+            total, carry = total + _cost(word), ""
+            continue
+        size, end = len(carry.encode("utf-8", "surrogatepass")), m.start()
+        for c in m[0]:
+            size += len(c.encode("utf-8", "surrogatepass"))
+            if size > room:
+                break
+            end += 1
+        return max(1, end - start)
+    return stop - start if not carry or total + _cost(carry) <= most else 1
+
+
 def _natural_end(text: str, ends: list[int]) -> int:
     """The last block end, else sentence, line or word end of a prefix (block ends are given), else all of it."""
     if ends:
@@ -50,10 +80,27 @@ def _natural_end(text: str, ends: list[int]) -> int:
 def chunks(path_title: str, content: str, max_tokens: int, count: Callable[[str], int] = word_count) -> list[dict]:
     """scope, text, input_hash, start, end, overlap_start, heading_path and block_kind of each chunk of a note."""
     _, body_at = frontmatter.split(content)
+    plain = content.isascii()
     body = content[body_at:]
     if not body.strip():
         return []
-    at_byte = lambda c: len(content[:c].encode("utf-8", "surrogatepass"))
+    known = (0, 0)
+
+    def at_byte(c: int) -> int:
+        """Bytes before a character; each chunk goes on from the last one's start."""
+        nonlocal known
+        if plain:
+            return c
+        low, high = sorted((known[0], c))
+        way = len(content[low:high].encode("utf-8", "surrogatepass"))
+        known = (c, known[1] + (way if c >= known[0] else -way))
+        return known[1]
+
+    def upto(lead: str, a: int, b: int, guess: int) -> int:
+        """The longest part of content[a:b] that fits after `lead`; counters other than the default must grow with the text."""
+        if count is word_count:
+            return _words_upto(lead, content, a, b, max_tokens)
+        return _fits_upto(content[a:b], lambda t: count(lead + t) <= max_tokens, guess)
 
     def chunk(scope, text, a, b, overlap, heads, kind):
         return {"scope": scope, "text": text, "input_hash": input_hash(text), "start": at_byte(a), "end": at_byte(b), "overlap_start": at_byte(overlap) if overlap < a else None, "heading_path": heads, "block_kind": kind}
@@ -84,12 +131,11 @@ def chunks(path_title: str, content: str, max_tokens: int, count: Callable[[str]
             block = next((x for x in blocks if x[0] <= start < x[1]), None)
             overlap = _overlap(content, max(block[0], a), start, count) if block and block[0] < start else start
             lead = prefix + content[overlap:start]
-            fits = lambda t: count(lead + t) <= max_tokens
-            end = start + _fits_upto(content[start:b], fits, 4 * max_tokens)
+            end = start + upto(lead, start, b, 4 * max_tokens)
             if end < b:
                 end = start + _natural_end(content[start:end], [x[1] - start for x in blocks if start < x[1] <= end and (x[1] > own_end or not has_text)])
                 if has_text and start < own_end and end <= own_end:
-                    end = min(b, own_end + max(1, _fits_upto(content[own_end:b], lambda t: count(prefix + t) <= max_tokens, 8)))
+                    end = min(b, own_end + max(1, upto(prefix, own_end, b, 8)))
             kind = next((x[2] for x in blocks if x[0] < end and x[1] > start and x[2] != "heading"), block[2] if block else None)
             scope = "section" if start == a and end == b else "block"
             out.append(chunk(scope, lead + content[start:end], start, end, overlap, names, kind))
@@ -101,12 +147,19 @@ def chunks(path_title: str, content: str, max_tokens: int, count: Callable[[str]
 
 def _overlap(content: str, low: int, start: int, count) -> int:
     """Where the context before `start` begins: at a word, at most OVERLAP_TOKENS back and not before `low`."""
-    best = start
-    for m in reversed(list(re.finditer(r"\S+\s*", content[low:start]))):
-        if count(content[low + m.start() : start]) > OVERLAP_TOKENS:
-            break
-        best = low + m.start()
-    return best
+    best, reach = start, 16 * OVERLAP_TOKENS
+    while True:
+        top = max(low, start - reach)
+        best = start
+        for m in reversed(list(_word.finditer(content, top, start))):
+            if m.start() == top > low and not content[top - 1].isspace():
+                break  # perhaps the end of a word that begins further back
+            if count(content[m.start() : start]) > OVERLAP_TOKENS:
+                return best
+            best = m.start()
+        if top == low:
+            return best
+        reach *= 4
 
 
 def _char_offsets(content: str, wanted: list[int]) -> dict[int, int]:

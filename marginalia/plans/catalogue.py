@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions import chunker, markdown, paths, periodic
+from marginalia.functions import chunker, frontmatter, markdown, paths, periodic
 from marginalia.operators import access, graph, incremental, lexical, notes, postings, search, vectors
 from marginalia.session import shared_dir, table
 from marginalia.sources import adapters, folder
@@ -537,18 +537,20 @@ def evidence_status(spark, sf_dir):
 # chunks
 
 
-def chunked(df: DataFrame, max_tokens: int = 200) -> DataFrame:
-    """One row per chunk of (path, content)."""
-    import pyarrow as pa
+_CHUNK = pa.schema([("scope", pa.string()), ("text", pa.string()), ("input_hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("overlap_start", pa.int64()), ("heading_path", pa.list_(pa.string())), ("block_kind", pa.string())])
+
 
-    row = pa.schema([("path", pa.string()), ("scope", pa.string()), ("text", pa.string()), ("input_hash", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("overlap_start", pa.int64()), ("heading_path", pa.list_(pa.string())), ("block_kind", pa.string())])
+def chunked(df: DataFrame, max_tokens: int = 200) -> DataFrame:
+    """One row per chunk of (path, content); notes are taken a few hundred at a time."""
 
     def of(batches):
-        for b in batches:
-            for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = [{"path": p} | x for x in chunker.chunks(paths.stem(p), c or "", max_tokens)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=row)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                found = [chunker.chunks(paths.stem(p), c or "", max_tokens) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist())]
+                path = b.column("path").take(pa.array([n for n, own in enumerate(found) for _ in own], pa.int64()))
+                columns = [pa.array([x[f.name] for own in found for x in own], f.type) for f in _CHUNK]
+                yield pa.RecordBatch.from_arrays([path, *columns], names=["path", *_CHUNK.names])
 
     return df.select("path", "content").mapInArrow(of, "path string, scope string, text string, input_hash string, start bigint, end bigint, overlap_start bigint, heading_path array<string>, block_kind string")
 
@@ -567,6 +569,40 @@ def chunk_coverage(spark, sf_dir):
     return coverage(chunked(docs(spark, sf_dir)))
 
 
+@query(f"""WITH {SYNTH}, sections AS (
+  SELECT path, 'Doc ' || id AS heads FROM synth UNION ALL SELECT path, 'Doc ' || id || ' > Notes' FROM synth WHERE id % 3 <> 0
+  UNION ALL SELECT path, 'Doc ' || id || ' > Notes > Detail' FROM synth WHERE id % 3 = 2),
+long AS (SELECT path FROM synth WHERE strlen({_SYNTH_TEXT}) > 8 * 420)
+SELECT s.path, heads FROM sections s JOIN long USING (path)""")
+def chunk_sections(spark, sf_dir):
+    """The headings above the chunks of notes too long for one chunk, each once."""
+    own = synth(spark, sf_dir).withColumn("c", F.regexp_extract("content", r"\n# Doc \d+\n\n([^\n]*)\n", 1)).where(F.octet_length("c") > 8 * 420)
+    return chunked(own).select("path", F.array_join("heading_path", " > ").alias("heads")).distinct()
+
+
+def _boundaries(chunks: DataFrame, notes_: DataFrame, max_tokens: int) -> DataFrame:
+    """How many chunks are over the limit, start inside a character, or could take the next word as well."""
+    def of(batches):
+        for b in batches:
+            out = []
+            for path, content, found in zip(*(b.column(c).to_pylist() for c in ("path", "content", "found"))):
+                raw, bad = content.encode(), 0
+                for x in found:
+                    bad += chunker.word_count(x["text"]) > max_tokens or (x["start"] < len(raw) and raw[x["start"]] & 0xC0 == 0x80)
+                    bad += not x["text"].encode().endswith(raw[x["start"] : x["end"]])
+                out.append((path, len(found), bad))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [(), (), ()], (pa.string(), pa.int64(), pa.int64()))], names=["path", "chunks", "bad"])
+
+    gathered = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("found"))
+    return notes_.join(gathered, "path").select("path", "content", "found").mapInArrow(of, "path string, chunks bigint, bad bigint")
+
+
+@query(f"""WITH {DOCS} SELECT path, CAST(0 AS BIGINT) AS bad FROM notes WHERE trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def chunk_boundaries(spark, sf_dir):
+    """Every chunk is within the limit, starts at a whole character and ends with exactly its part of the note."""
+    return _boundaries(chunked(docs(spark, sf_dir)), docs(spark, sf_dir), 200).select("path", "bad")
+
+
 @query(f"""WITH RECURSIVE firsts AS (SELECT doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
 fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS total
   UNION ALL SELECT f.n, f.doc_id, CASE WHEN items > 0 AND items < 8 AND total + size <= 20000 THEN batch WHEN items = 0 THEN batch ELSE batch + 1 END,
@@ -774,16 +810,30 @@ def reconcile_changed(spark, sf_dir):
     return incremental.changed(*_two_listings(spark, sf_dir))
 
 
-@query(f"""WITH {SYNTH} SELECT path, 'inserted' || chr(10) || '# Doc ' || id AS head FROM synth""")
+_HEAD = """'---' || chr(10) || 'tags: [' || lang || ', corpus/' || source || ']' || chr(10) || 'doc: ' || id || coalesce(chr(10) || 'quality: ' || quality, '') || chr(10) || '---' || chr(10)"""
+_TOP = f"""'# Doc ' || id || repeat(chr(10), 2) || {_SYNTH_TEXT} || repeat(chr(10), 2)"""
+_REST = """CASE WHEN id % 3 = 0 THEN '' ELSE '## Notes' || chr(10) || {0} || chr(10) || 'noted' || repeat(chr(10), 2) || CASE WHEN id % 3 = 2 THEN '### Detail' || repeat(chr(10), 2) || 'detailed' || repeat(chr(10), 2) ELSE '' END END
+  || 'Filed #batch/b' || (id % 5) || chr(10) || CASE WHEN linked THEN 'See [[doc-' || ((id * 7 + 1) % 997) || ']]' || chr(10) ELSE '' END
+  || CASE WHEN linked AND id % 4 = 0 THEN 'And [[missing-' || id || '|lost]]' || chr(10) ELSE '' END || CASE WHEN linked AND id % 6 = 0 THEN 'Or [[shared-' || (id % 20) || '#Doc]]' || chr(10) ELSE '' END"""
+
+
+def _edited_notes(spark, sf_dir, edit: Callable[[str], str]) -> DataFrame:
+    """(path, revision) of the composed notes after an edit."""
+    text = synth(spark, sf_dir).select("path", F.udf(edit, "string", useArrow=True)("content").alias("c"))
+    return text.select("path", notes.source_revision(F.col("c")).alias("revision"))
+
+
+@query(f"""WITH {SYNTH} SELECT path, sha256({_HEAD} || 'inserted' || chr(10) || {_TOP} || {_REST.format("''")}) AS revision FROM synth""")
 def prepend_after_fm(spark, sf_dir):
-    from marginalia.functions import frontmatter
+    return _edited_notes(spark, sf_dir, lambda c: frontmatter.prepend(c, "inserted"))
+
 
-    put = F.udf(lambda c: frontmatter.prepend(c, "inserted"), "string", useArrow=True)
-    text = synth(spark, sf_dir).select("path", put("content").alias("c"))
-    return text.select("path", F.regexp_extract("c", r"---\n(inserted\n# Doc \d+)\n", 1).alias("head"))
+@query(f"""WITH {SYNTH} SELECT path, sha256({_HEAD} || {_TOP} || {_REST.format("''")} || 'last' || chr(10)) AS revision FROM synth""")
+def append_to_note(spark, sf_dir):
+    return _edited_notes(spark, sf_dir, lambda c: frontmatter.append(c, "last\n"))
 
 
-@query(f"""WITH {SYNTH} SELECT path, CASE WHEN id % 3 = 0 THEN '' ELSE 'patched' END AS line FROM synth""")
+@query(f"""WITH {SYNTH} SELECT path, sha256({_HEAD} || {_TOP} || {_REST.format("'patched' || chr(10)")}) AS revision FROM synth""")
 def patch_heading(spark, sf_dir):
     def put(c):
         try:
@@ -791,5 +841,17 @@ def patch_heading(spark, sf_dir):
         except KeyError:
             return c
 
-    text = synth(spark, sf_dir).select("path", F.udf(put, "string", useArrow=True)("content").alias("c"))
-    return text.select("path", F.regexp_extract("c", r"## Notes\n(patched)\n", 1).alias("line"))
+    return _edited_notes(spark, sf_dir, put)
+
+
+_SET = """'---' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10) || '  - corpus/' || source || chr(10) || 'doc: ' || id || coalesce(chr(10) || 'quality: ' || quality, '') || chr(10)"""
+
+
+@query(f"""WITH {SYNTH} SELECT path, sha256({_SET} || 'seen: true' || chr(10) || '---' || chr(10) || {_TOP} || {_REST.format("''")}) AS revision FROM synth""")
+def set_property(spark, sf_dir):
+    return _edited_notes(spark, sf_dir, lambda c: frontmatter.set_field(c, "seen", True))
+
+
+@query(f"""WITH {SYNTH} SELECT path, sha256(replace({_SET}, chr(10) || 'doc: ' || id, '') || '---' || chr(10) || {_TOP} || {_REST.format("''")}) AS revision FROM synth""")
+def remove_property(spark, sf_dir):
+    return _edited_notes(spark, sf_dir, lambda c: frontmatter.remove_field(c, "doc"))

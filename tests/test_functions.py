@@ -4,6 +4,8 @@ import random
 from datetime import date
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from marginalia.functions import chunker, frontmatter, markdown, paths, periodic
 from marginalia.functions.stemmer import stem
@@ -152,3 +154,10 @@ def test_contexts_keep_characters_whole():
     assert m["context"][m["start"] : m["end"]] == "x\ny" and m["line"] == 0
     assert search.preview("a" * 400 + " needle " + "b" * 400, "needle").count("needle") == 1
     assert search.page("aé", 0, None, 2) == {"content": "a", "start": 0, "end": 1, "next": 1}
+
+
+@given(st.text(alphabet="ab .\n#é漢", max_size=400), st.integers(3, 30))
+@settings(max_examples=150, deadline=None)
+def test_one_walk_over_words_cuts_as_repeated_counting(text, limit):
+    slow = chunker.chunks("t", text, limit, lambda t: chunker.word_count(t))
+    assert chunker.chunks("t", text, limit) == slow
