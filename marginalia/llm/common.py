@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import shared_dir
+from marginalia.session import remove_tree, shared_dir
 
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 #: Rows up to which a side whose size has been counted may be broadcast.
@@ -21,7 +23,45 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in getattr(_scratch, "open", [])[-1:]:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark):
+    """Tables that stash() writes inside go at the end, but for those that the block hands to the function it gets.
+
+    What is kept must not read what goes: it is a stashed table itself. It then belongs to the block around, if any.
+    """
+    outer = getattr(_scratch, "open", [])
+    made: list[str] = []
+    kept: list[str] = []
+    _scratch.open = [*outer, made]
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stashed_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.open = outer
+        for path in made:
+            if path not in kept:
+                remove_tree(spark, path)
+        for around in outer[-1:]:
+            around += kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stashed table that nothing reads any more."""
+    remove_tree(df.sparkSession, df.stashed_at)
 
 
 def pieces(batches, rows: int = 512):

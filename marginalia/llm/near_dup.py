@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from marginalia.llm.common import body, join_hot, pieces, small, stash, unused
+from marginalia.llm.common import body, join_hot, pieces, scratch, small, stash, unused
 
 BITS, SEED = 64, 42
 #: Table rows of one segment value that one task holds; more are dealt out over salts.
@@ -190,19 +190,23 @@ def connected(edges: DataFrame) -> DataFrame:
     output is on the shared folder, so a lost executor repeats one round at most. A hub's edges stay where they
     are and meet its least neighbour by broadcast.
     """
-    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    was = state(now)
-    while was[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "low")
-        large = stash(join_hot(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low = stash(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
-        small_star = join_hot(large, low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = stash(small_star, "edges")
-        if (new := state(now)) == was:
-            break
-        was = new
+    with scratch(spark) as keep:
+        now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        was = state(now)
+        while was[0]:
+            with scratch(spark) as hand_on:
+                both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                low = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "low")
+                large = stash(join_hot(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+                low = stash(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+                star = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+                now = hand_on(stash(join_hot(large, low, "a").select(F.explode(star).alias("e")).select("e.*").where("a <> b").distinct(), "edges"))
+            if (new := state(now)) == was:
+                break
+            was = new
+        keep(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -228,8 +232,9 @@ def components(fp_docs: DataFrame, radius: int = 3, segments: int = 2) -> DataFr
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    found = components(stash(fingerprints(docs, width), "fingerprints"), radius, segments)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession) as keep:
+        found = components(stash(fingerprints(docs, width), "fingerprints"), radius, segments)
+        return keep(stash(found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), "near_duplicates"))
 
 
 #: Wide fingerprints: numbers of 64 bits, segments of 24 bits, radius over the first 128 bits and over all.
@@ -486,7 +491,8 @@ def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
     Near copies are texts whose sets of shingles have Jaccard similarity 0.8 or more, and what chains of them connect.
     A row whose doc_id is null stays only if its group has no other row. Columns are those of docs.
     """
-    found = stash(alike(docs, width), "components")
+    with scratch(docs.sparkSession) as keep:
+        found = keep(stash(alike(docs, width), "components"))
     own, component, name = unused(docs, "own", "component", "set")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():

@@ -4,8 +4,9 @@ Every language has a codeword; for each bit a logistic classifier over hashed ch
 predicts it. A text goes to the codeword with the smallest loss, each bit weighted by how well its
 classifier did on rows it wasn't fitted on, and is flagged ambiguous if the runner-up is close.
 
-The classifiers are fitted on the driver from at most `per_lang` documents of each learned language,
-chosen by a hash; a fit has a bounded size whatever the corpus. Scoring reads whole texts, one row at
+The classifiers are fitted on the driver from about `per_lang` documents of each learned language,
+chosen by a hash, ROWS of all languages at most; of more than LANGS values of lang the most frequent are
+learned. So a fit has a bounded size whatever the corpus and however many values lang has. Scoring reads whole texts, one row at
 a time, and sends every executor one matrix of fixed size.
 
 Defined cases: a null text or one without letters is `und` with score 0; with one learned language
@@ -26,6 +27,8 @@ from marginalia.llm.common import body, in_fold
 
 BUCKETS = 1 << 12
 PER_LANG = 400
+#: Rows that the classifiers are fitted on at most (16 kB each), and languages that are learned at most.
+ROWS, LANGS = 12_000, 1000
 #: Languages with codewords from all two-way splits; more take random words.
 EXHAUSTIVE = 6
 MARGIN = 0.2
@@ -66,12 +69,14 @@ def features(text: str) -> np.ndarray | None:
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 20.0, decay: float = 1e-4) -> np.ndarray:
     """Weights (buckets + 1, bits) of logistic classifiers for y in +1/-1, by gradient descent with momentum."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros((x1.shape[1], y.shape[1]))
-    v = np.zeros_like(w)
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
+    v, y = np.zeros_like(w), y.astype(np.float32)
+    slope_of = np.empty_like(w)
     for _ in range(steps):
-        slope = -y / (1 + np.exp(np.clip(y * (x1 @ w), -30, 30)))
-        v = 0.8 * v - rate * (x1.T @ slope / len(x1) + decay * w) * 0.2
+        slope = -y / (1 + np.exp(np.clip(y * (x @ w[:-1] + w[-1]), -30, 30)))
+        np.matmul(x.T, slope, out=slope_of[:-1])
+        slope_of[-1] = slope.sum(axis=0)
+        v = 0.8 * v - np.float32(rate * 0.2) * (slope_of / np.float32(len(x)) + np.float32(decay) * w)
         w += v
     return w
 
@@ -87,14 +92,15 @@ class Decoder:
         y = self.words[labels]
         held = np.arange(len(x)) % 4 == 3
         if held.sum() and len(set(labels[~held])) > 1:
-            trial = np.hstack([x[held], np.ones((held.sum(), 1))]) @ _fit(x[~held], y[~held])
+            w = _fit(x[~held], y[~held])
+            trial = x[held] @ w[:-1] + w[-1]
             right = ((trial * y[held]) > 0).mean(axis=0)
         else:
             right = np.ones(y.shape[1])
         odds = np.clip(right, 0.5, 0.999)
         self.bit_weights = np.log(odds / (1 - odds)) + 1e-3
         self.bit_weights /= self.bit_weights.sum()
-        self.w = _fit(x, y).astype(np.float32)
+        self.w = _fit(x, y)
 
     def decode(self, x: np.ndarray | None) -> tuple[str, float, bool]:
         if x is None or not self.langs:
@@ -112,22 +118,30 @@ class Decoder:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Decoder:
     """A decoder from a hash sample of about `per_lang` training documents of each language, twice that at most."""
     train = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(4, 2))
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     if not counts:
-        return Decoder([], np.empty((0, BUCKETS)), np.empty(0, int))
+        return Decoder([], np.empty((0, BUCKETS), np.float32), np.empty(0, int))
+    per_lang = min(per_lang, max(1, ROWS // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_lang / n))]), F.col("lang"))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["n"])) for r in counts], "_lang string, _share double")
+    chosen = train.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "text")
 
     def of(batches):
         for b in batches:
             kept = [(lang, x) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()) if (x := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([x.astype(np.float32).tobytes() for _, x in kept], pa.binary())], names=["lang", "x"])
 
-    sample = train.where(draw < share).select("lang", "text").mapInArrow(of, "lang string, x binary").limit(2 * per_lang * len(counts)).collect()
-    sample.sort(key=lambda r: (bytes(r["x"]), r["lang"]))
-    langs = sorted({r["lang"] for r in sample})
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in sample], dtype=np.float64).reshape(-1, BUCKETS)
-    return Decoder(langs, x, np.array([langs.index(r["lang"]) for r in sample], dtype=int))
+    most = 2 * per_lang * len(counts)
+    found = chosen.mapInArrow(of, "lang string, x binary").orderBy(F.xxhash64("x", "lang"), "x", "lang").limit(most)
+    names, x = [], np.empty((0, BUCKETS), np.float32)
+    for r in found.toLocalIterator():
+        if len(names) == len(x):
+            x = np.concatenate([x, np.empty((max(256, min(len(x), most - len(x))), BUCKETS), np.float32)])
+        x[len(names)] = np.frombuffer(r["x"], np.float32)
+        names.append(r["lang"])
+    langs = sorted(set(names))
+    number = {lang: n for n, lang in enumerate(langs)}
+    return Decoder(langs, x[: len(names)], np.array([number[n] for n in names], dtype=int))
 
 
 def identify(docs: DataFrame, model: Decoder) -> DataFrame:

@@ -38,7 +38,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BROADCAST_ROWS, join_hot, small, stash
+from marginalia.llm.common import BROADCAST_ROWS, join_hot, scratch, small, stash
 from marginalia.session import shared_dir
 
 LEAST, FILE_BYTES, LINES = 1000, 16_000_000, 3000
@@ -316,8 +316,9 @@ def read_records(spark: SparkSession, archives: str, found: DataFrame) -> DataFr
 
 def read_back(spark: SparkSession, archives: str, index: CaptureIndex, kind: str = "bigint", pages: DataFrame | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the captures of the pages' URLs (of all captures)."""
-    found = stash(index.captures(kind) if pages is None else index.find(pages, kind), "captures")
-    read = stash(read_records(spark, archives, found), "records").withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+    with scratch(spark) as keep:
+        found = stash(index.captures(kind) if pages is None else index.find(pages, kind), "captures")
+        read = keep(stash(read_records(spark, archives, found), "records")).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
     revisits = read.where("record_type = 'revisit'")
     named = revisits.groupBy(F.col("payload_digest").alias("stated")).agg(F.count("*").alias("n"))
     seen = read.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("stated")).agg(F.max("page_id").alias("first"), F.max("payload_bytes").alias("size"))

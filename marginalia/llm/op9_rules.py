@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import SPACE, WORD, body, small, stash
+from marginalia.llm.common import SPACE, WORD, body, scratch, small, stash
 
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
 MIDDLE, UPPER, SPREAD, PRIOR = 0.5, 0.9, 3.0, 50.0
@@ -154,8 +154,9 @@ def thresholds(parts: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: the counts, base_failed, kept and the name of the first rule it breaks."""
     counts = stash(rated(measured(docs)), "counts")
-    parts = stash(sketches(counts.where(~F.col("base_failed"))), "sketches")
-    limits = small(stash(thresholds(parts), "thresholds"))
+    with scratch(docs.sparkSession) as keep:
+        parts = stash(sketches(counts.where(~F.col("base_failed"))), "sketches")
+        limits = small(keep(stash(thresholds(parts), "thresholds")))
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     broken = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when((F.col(r) >= RESOLUTION) & (F.col(r) > F.col(f"max_{r}")), F.lit(r)) for r in RATIOS])
     return joined.withColumn("broken", broken).withColumn("kept", F.col("broken").isNull())

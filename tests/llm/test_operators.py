@@ -137,6 +137,68 @@ def test_codewords_are_apart():
         assert len({tuple(r) for r in m.tolist()}) == n and all(abs(c.sum()) < n for c in m.T)
 
 
+def test_decoding_equals_brute_force():
+    """Language, score and ambiguity against sums written out bit by bit, for few and for many languages."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 5, 9):
+        centres = np.abs(rng.normal(0, 1, (n, op4_language.BUCKETS)))
+        labels = np.repeat(np.arange(n), 24)
+        x = (centres[labels] + 0.4 * np.abs(rng.normal(0, 1, (len(labels), op4_language.BUCKETS)))).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        model = op4_language.Decoder([f"l{k}" for k in range(n)], x, labels)
+        right = 0
+        for row, label in zip(x[::5], labels[::5]):
+            margins = [sum(float(a) * float(b) for a, b in zip(row, model.w[:-1, k])) + float(model.w[-1, k]) for k in range(model.w.shape[1])]
+            loss = [sum(w * math.log1p(math.exp(-c * m)) for w, c, m in zip(model.bit_weights, word, margins)) for word in model.words]
+            p = [math.exp(2 * math.sqrt(len(margins)) * (min(loss) - v)) for v in loss]
+            p = [v / sum(p) for v in p]
+            first, second = sorted(range(n), key=lambda k: -p[k])[:2]
+            lang, score, unsure = model.decode(row)
+            assert lang == f"l{first}" and abs(score - p[first]) < 1e-3
+            assert unsure == (p[first] - p[second] < op4_language.MARGIN) or abs(p[first] - p[second] - op4_language.MARGIN) < 1e-3
+            right += first == label
+        assert right >= 0.95 * len(labels[::5])
+
+
+def test_many_languages_stay_bounded(spark, monkeypatch):
+    rows = [(k, f"lang{k % 40}", " ".join(chr(97 + (k % 40 * 7 + j) % 26) * 3 for j in range(6)) + chr(0x400 + k % 40) * 20) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    monkeypatch.setattr(op4_language, "ROWS", 300)
+    monkeypatch.setattr(op4_language, "LANGS", 30)
+    model = op4_language.fit(df)
+    assert 20 <= len(model.langs) <= 30
+    got = op4_language.identify(df, model).collect()
+    known = [r for r in got if rows[r["doc_id"]][1] in model.langs]
+    assert sum(r["lang_pred"] == rows[r["doc_id"]][1] for r in known) >= 0.95 * len(known)
+
+
+def test_empty_documents(spark, tmp_path):
+    """Every query over documents gives no rows for an empty table."""
+    from marginalia.llm import entry
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name, f in entry.QUERIES.items():
+        assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_scratch_tables_go(spark, docs):
+    import os
+
+    from marginalia.session import shared_dir
+
+    top = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(top))
+    assert near_dup.near_duplicates(docs).count() == docs.count() and near_dup.deduplicate(docs).count() < docs.count()
+    assert len(set(os.listdir(top)) - before) == 2
+
+
 # op3, op7, op9
 
 
