@@ -2,13 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last
 return the columns of documents. run() writes what a stage returns to the shared folder and reads it
-back, so a lost executor costs the running stage at most.
+back, so a lost executor costs the running stage at most; what a stage needed besides goes then.
+
+Defined cases, in every stage: a null text counts as empty and is kept by the first and third stage; empty
+texts are one group of copies; null languages and sources stay null, a null source is a source of its own;
+rows that repeat are rated alike, one of them stays after the second stage, and the fourth gives all rows of
+an id the same number of copies; of a group's ties the smallest doc_id stays; an empty table gives none;
+without labels or benchmark nothing is rejected for them; further columns pass through unchanged.
 """
 
 from __future__ import annotations
 
 from marginalia.llm import near_dup, op3_shard, op7_mix, op8_toxicity, op10_decontaminate
-from marginalia.llm.common import stash
+from marginalia.llm.common import discard, scratch, stash
 
 
 def toxicity(spark, docs, sf_dir):
@@ -51,7 +57,10 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = stash(docs, "stage")
-    return docs
+        if n == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark) as keep:
+            kept = keep(stash(stage(spark, docs, sf_dir), "stage"))
+        if n:
+            discard(docs)
+        docs = kept
