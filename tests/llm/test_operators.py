@@ -73,6 +73,18 @@ def test_pii_adds_and_redacts(spark):
     assert out[2] == "mail [EMAIL]" and "[EMAIL]" in out[1] and "[PHONE]" in out[1] and "12345678" in out[1]
 
 
+def test_pii_candidates_never_overlap(spark):
+    model = op1_pii.fit(spark)
+    assert all(p >= op1_pii.PRECISION for p in model.precision) and len(model.thresholds) == 4
+    texts = {1: "card 4111.1111.1111.1 now", 2: "4111 1111 1111 1112", 3: "call 555 123 4567 or tel 988 555 2485 ok", 4: "reach joe (at) example (dot) com, phone 988-555-2485", 5: "order 4111 1111 1111 1112 shipped", 6: "call 988 555 2485 " * 300}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["every"]] for r in op1_pii.spans(df, model).collect()}
+    for every in got.values():
+        assert all(a[2] <= b[0] for a, b in zip(every, every[1:]))
+    assert len(got[1]) <= 1 and got[2] == [] and got[5] == []
+    assert [s[1] for s in got[4]] == [0, 3] and len(got[3]) == 2 and len(got[6]) == 300
+
+
 # op2, op4, op8
 
 
