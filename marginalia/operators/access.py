@@ -127,7 +127,7 @@ def visible_listing(files: DataFrame, policy: Policy) -> DataFrame:
     return rows.unionByName(folders).orderBy(F.split("path", "/"))
 
 
-_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,127}")
+_ID = re.compile(r"[A-Za-z0-9_-]{1,256}")
 
 
 @dataclass(frozen=True)
@@ -154,18 +154,39 @@ def in_audience(scope: Audience, path: str = "path", properties: str = "properti
     return ok
 
 
-def private_source_eligible(content: str, properties: dict, required: tuple[str, ...]) -> bool:
-    """Whether a private note may be indexed: valid ids in its required properties and no inferred bullet."""
-    inferred = re.compile(r"^\s*[-*]\s+\[inferred\s", re.M)
-    return all(isinstance(properties.get(k), str) and _ID.fullmatch(properties[k]) for k in required) and not inferred.search(content)
+# The properties that name a private note's scope, the kinds of audience, and the canonical places of such notes.
+SCOPE_KEYS = ("tenant_id", "star_label", "workspace_id", "audience_kind", "audience_id")
+AUDIENCE_KINDS = ("channel", "dm")
+CANONICAL = ("Organize/Self/{0}/", "Organize/People/{0}/", "Organize/Work/{0}/", "Organize/Topics/{0}/", "Express/Skills/{0}/", "Distill/{0}/brief.md", "Distill/{0}/index.md")
+_INFERRED = re.compile(r"^\s*[-*]\s+\[inferred\s", re.M)
+
+
+def private_source_eligible(path: str, content: str) -> bool:
+    """Whether a private note may be indexed: valid ids in its properties, no inferred bullet, and a canonical place of its scope."""
+    from marginalia.functions import frontmatter
+
+    try:
+        fm = frontmatter.parse(content) or {}
+    except frontmatter.FrontmatterError:
+        return False
+    values = [fm.get(k) for k in SCOPE_KEYS]
+    if not all(isinstance(v, str) for v in values) or values[3] not in AUDIENCE_KINDS or not all(_ID.fullmatch(v) for k, v in zip(SCOPE_KEYS, values) if k != "audience_kind"):
+        return False
+    scope = f"slack-{values[2].lower()}-{values[3]}-{values[4].lower()}"
+    places = [p.format(scope) for p in CANONICAL]
+    return path.endswith(".md") and not _INFERRED.search(content) and any(path.startswith(p) if p.endswith("/") else path == p for p in places)
 
 
 def fingerprint(notes: DataFrame) -> DataFrame:
     """One hash over (path, revision) of every note, whatever order the rows come in.
 
-    Each note is reduced to one line's hash first and the lines of a folder to one more, so no task or row
-    holds more than a folder's hashes.
+    Each note is reduced to one line's hash; lines are gathered by eight, five and two digits of their path's
+    hash, so a task or row holds a few thousand hashes at most until there are some 10^13 notes.
     """
+    place = F.sha2("path", 256)
     line = F.sha2(F.concat(F.lpad(F.char_length("path").cast("string"), 8, "0"), "path", "revision"), 256)
-    shelf = notes.select(F.substring(F.sha2("path", 256), 1, 3).alias("shelf"), "path", line.alias("line")).groupBy("shelf").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), ""), 256).alias("h"))
-    return shelf.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shelf", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    rows = notes.select(place.alias("key"), line.alias("h"), F.col("path").alias("tie"))
+    gathered = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "tie", "h"))), lambda x: x["h"]), ""), 256)
+    for digits in (8, 5, 2, 0):
+        rows = rows.groupBy(F.substring("key", 1, digits).alias("up")).agg(gathered.alias("h")).select(F.col("up").alias("key"), F.lit("").alias("tie"), "h")
+    return rows.select(F.col("h").alias("fingerprint"))

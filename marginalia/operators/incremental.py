@@ -26,6 +26,25 @@ def changed(tracked: DataFrame, present: DataFrame, full: bool = False) -> DataF
     return both.where(~F.col("size").eqNullSafe(F.col("_size")) | ~F.col("modified").eqNullSafe(F.col("_modified"))).select("path")
 
 
+def event_changes(events: DataFrame, present: DataFrame, tracked: DataFrame) -> DataFrame:
+    """(path, kind) that events on files or folders (path; "" is the whole corpus) call for: refresh what is there, remove what isn't.
+
+    An event on a folder concerns all that is or was below it. Files meet events on their own path and on each
+    folder above it by equal paths, so a busy folder costs no more than its files.
+    """
+    above = lambda p: F.transform(F.sequence(F.lit(0), F.size(F.split(p, "/"))), lambda n: F.array_join(F.slice(F.split(p, "/"), 1, n), "/"))
+    known = present.select("path", F.lit(True).alias("there")).unionByName(tracked.select("path", F.lit(False).alias("there")))
+    known = known.groupBy("path").agg(F.max("there").alias("there"))
+    met = known.select("path", "there", F.explode(above(F.col("path"))).alias("event")).join(events.select(F.col("path").alias("event")).distinct(), "event", "left_semi")
+    return met.select("path", F.when(F.col("there"), "refresh").otherwise("remove").alias("kind")).distinct()
+
+
+def reconciled(tracked: DataFrame, present: DataFrame, complete: bool, scan_start: int | None = None, full: bool = False) -> DataFrame:
+    """(path, kind) of a scan: new and changed paths are refreshed; only a complete scan may remove what it didn't see."""
+    found = changed(tracked, present, full).withColumn("kind", F.lit("refresh"))
+    return found.unionByName(removed(tracked, present, scan_start).withColumn("kind", F.lit("remove"))) if complete else found
+
+
 def projected(old: DataFrame, new: DataFrame) -> DataFrame:
     """changed, removed or same for each path of two (path, revision) tables."""
     a, b = old.select("path", F.col("revision").alias("was")), new.select("path", F.col("revision").alias("now"))

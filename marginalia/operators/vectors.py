@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.session import names_in, remove_tree, rename
+
 DIM_LIMIT = 65_536
 
 
@@ -38,7 +42,7 @@ def semantic(chunks: DataFrame, query: list[float], k: int = 10, allowed: DataFr
 def hybrid(lexical_hits: DataFrame, best: DataFrame, k: int = 10, alpha: float = 0.25) -> DataFrame:
     """alpha * normalised lexical + (1 - alpha) * cosine over the lexical hits; notes without one can't appear."""
     a = min(1.0, max(0.0, alpha))
-    joined = F.broadcast(lexical_hits.withColumnRenamed("score", "lexical")).join(best, "path")
+    joined = lexical_hits.withColumnRenamed("score", "lexical").join(best, "path")
     return joined.select("path", "lexical", F.col("score").alias("cosine"), (a * F.col("lexical") + (1 - a) * F.col("score")).alias("score")).orderBy(F.desc("score"), "path").limit(k)
 
 
@@ -54,19 +58,55 @@ def evidence_status(hits: DataFrame, current: DataFrame) -> DataFrame:
     return hits.join(now, "path", "left").select("path", F.when(F.col("now").isNull(), "unavailable").when(F.col("now") == F.col("revision"), "current").otherwise("changed").alias("status"))
 
 
-def save(entries: DataFrame, path: str, identity: str) -> None:
-    """Entries sorted by path under a folder named for the vector space they belong to."""
-    entries.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{path}/{identity}")
+#: The layout of a saved cache; other versions are rebuilt.
+CACHE_VERSION = 2
+
+
+def save(entries: DataFrame, path: str, identity: str, dim: int | None = None, first_pass_complete: bool = True) -> None:
+    """Entries sorted by path under a folder named for the vector space they belong to, with a header.
+
+    A save writes a generation of its own and gives it its name last, so readers see the one before or this one,
+    and the entries may come from the cache that is saved. The generation before stays for who still reads it.
+    """
+    spark, top = entries.sparkSession, f"{path}/{identity}"
+    olds = _generations(spark, top)
+    new = f"{top}/writing-{uuid.uuid4().hex}"
+    entries.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{new}/entries")
+    made = spark.read.parquet(f"{new}/entries")
+    header = made.agg(F.count("*").alias("entries"), F.max(F.size("vector")).alias("most"), F.min(F.size("vector")).alias("least")).first()
+    dim = dim if dim is not None else header["most"] or 0
+    if header["entries"] and (header["most"], header["least"]) != (dim, dim):
+        remove_tree(spark, new)
+        raise ValueError("vectors of different dimensions")
+    spark.createDataFrame([(CACHE_VERSION, identity, int(dim), header["entries"], first_pass_complete)], _HEADER).coalesce(1).write.parquet(f"{new}/header")
+    number = int(olds[-1].split("-")[1]) + 1 if olds else 1
+    rename(spark, new, f"{top}/generation-{number:010d}")
+    for name in olds[:-1]:
+        remove_tree(spark, f"{top}/{name}")
+
 
+_HEADER = "version int, identity string, dim int, entries bigint, first_pass_complete boolean"
 
-def load(spark, path: str, identity: str) -> DataFrame | None:
-    """The entries saved for a vector space, or None if there are none."""
-    from pyspark.errors import AnalysisException
 
-    try:
-        return spark.read.parquet(f"{path}/{identity}")
-    except AnalysisException:
+def _generations(spark, top: str) -> list[str]:
+    return [n for n in names_in(spark, top) if n.startswith("generation-")]
+
+
+def load(spark, path: str, identity: str, dim: int | None = None) -> DataFrame | None:
+    """The entries saved for a vector space; None where there are none, or their header is of another layout, space or dimension."""
+    names = _generations(spark, f"{path}/{identity}")
+    if not names:
+        return None
+    head = header(spark, path, identity)
+    if head["version"] != CACHE_VERSION or head["identity"] != identity or dim is not None and head["dim"] != dim:
         return None
+    return spark.read.parquet(f"{path}/{identity}/{names[-1]}/entries")
+
+
+def header(spark, path: str, identity: str):
+    """The header row of the saved cache (version, identity, dim, entries, first_pass_complete), or None."""
+    names = _generations(spark, f"{path}/{identity}")
+    return spark.read.schema(_HEADER).parquet(f"{path}/{identity}/{names[-1]}/header").first() if names else None
 
 
 def embed(chunks: DataFrame, embedder, max_items: int = 32, max_tokens: int = 8192) -> DataFrame:

@@ -190,6 +190,55 @@ def wikilink_parse(spark, sf_dir):
     return parsed(spark, sf_dir).select("path", F.explode("links").alias("l")).select("path", "l.raw", "l.target", "l.heading", "l.alias")
 
 
+_MARKED = """marked AS (SELECT source || '/doc-' || doc_id || '.md' AS path, doc_id AS id,
+  '# Top ' || doc_id || chr(10) || 'first ^a' || doc_id || chr(10) || '## Part' || chr(10) || repeat('x', CAST(doc_id % 7 AS INTEGER)) || ' two ^b-' || (doc_id % 5) || chr(10) || '## Rest' || chr(10) || '`code ^no`' || chr(10) AS content FROM documents)"""
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    """Notes with block ids and nested headings."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = F.concat(F.lit("# Top "), n, F.lit("\nfirst ^a"), n, F.lit("\n## Part\n"), F.repeat(F.lit("x"), (n % 7).cast("int")), F.lit(" two ^b-"), n % 5, F.lit("\n## Rest\n`code ^no`\n"))
+    return d.select(F.concat("source", F.lit("/doc-"), n, F.lit(".md")).alias("path"), text.alias("content"))
+
+
+@query(f"""WITH {_MARKED} SELECT path, 'a' || id || ',b-' || (id % 5) AS ids FROM marked""")
+def block_refs(spark, sf_dir):
+    return notes.indexed(notes.parse(_marked(spark, sf_dir))).select("path", F.array_join("block_refs", ",").alias("ids"))
+
+
+@query(f"""WITH {_MARKED} SELECT path, '# Top ' || id || '|## Part|## Rest' AS headings, 'a' || id || '|b-' || (id % 5) AS blocks FROM marked
+UNION ALL SELECT path, '# Doc ' || id || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '|## Notes' ELSE '|## Notes|### Detail' END, 'tags|doc' || CASE WHEN quality IS NULL THEN '' ELSE '|quality' END FROM (
+  SELECT *, 'synth/' || source || '/' || CASE WHEN shared THEN id || '/' ELSE '' END || stem || '.md' AS path FROM (
+    SELECT doc_id AS id, source, quality, doc_id % 10 = 9 AS shared, CASE WHEN doc_id % 10 = 9 THEN 'shared-' || ((doc_id // 10) % 20) ELSE 'doc-' || doc_id END AS stem
+    FROM documents LEFT JOIN (SELECT doc_id AS lid, quality FROM labels) l ON lid = doc_id))""")
+def document_maps(spark, sf_dir):
+    """Headings with the block ids of the marked notes, and with the front-matter keys of the composed ones."""
+    def shown(key):
+        return F.udf(lambda c: "|".join(markdown.document_map(c)[key]), "string", useArrow=True)("content")
+
+    marked = _marked(spark, sf_dir).select("path", shown("headings").alias("headings"), shown("blocks").alias("blocks"))
+    return marked.unionByName(synth(spark, sf_dir).select(F.concat(F.lit("synth/"), "path").alias("path"), shown("headings").alias("headings"), shown("frontmatter_keys").alias("blocks")))
+
+
+@query(f"""WITH {_MARKED} SELECT path, CAST(strpos(content, '## Part') + 7 AS BIGINT) AS start, CAST(strpos(content, '## Rest') - 1 AS BIGINT) AS "end" FROM marked""")
+def section_ranges(spark, sf_dir):
+    """Where the section of a nested heading begins and ends, whatever its case."""
+    found = F.udf(lambda c: markdown.section_range(c, f"{c[2 : c.index(chr(10))]}::PART"), "array<bigint>", useArrow=True)("content")
+    return _marked(spark, sf_dir).select("path", found.alias("r")).select("path", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
+
+
+@query(f"""WITH {_MARKED} SELECT path, CAST(strpos(content, '## Part') + 7 AS BIGINT) AS start, CAST(strpos(content, '## Rest') - 2 AS BIGINT) AS "end" FROM marked""")
+def block_ranges(spark, sf_dir):
+    found = F.udf(lambda c: markdown.find_block(c, "b-" + c.split("^b-")[1][0])[:2], "array<bigint>", useArrow=True)("content")
+    return _marked(spark, sf_dir).select("path", found.alias("r")).select("path", F.col("r")[0].alias("start"), F.col("r")[1].alias("end"))
+
+
+@query(f"""WITH {_MARKED} SELECT path, sha256(replace(content, repeat('x', CAST(id % 7 AS INTEGER)) || ' two ^b-', 'new ^b-')) AS revision FROM marked""")
+def patch_block(spark, sf_dir):
+    put = F.udf(lambda c: markdown.patch(c, "replace", "block", "^b-" + c.split("^b-")[1][0], "new"), "string", useArrow=True)
+    return _marked(spark, sf_dir).select("path", notes.source_revision(put("content")).alias("revision"))
+
+
 @query(f"""WITH {SYNTH} SELECT path, 0 AS ordinal, 1 AS level, 'Doc ' || id AS text, NULL::INTEGER AS parent FROM synth
 UNION ALL SELECT path, 1, 2, 'Notes', 0 FROM synth WHERE id % 3 <> 0 UNION ALL SELECT path, 2, 3, 'Detail', 1 FROM synth WHERE id % 3 = 2""")
 def heading_tree(spark, sf_dir):
@@ -756,9 +805,11 @@ def audience_scope(spark, sf_dir):
     return parsed(spark, sf_dir).where(access.in_audience(scope)).select("path")
 
 
-@query(f"""WITH {DOCS}, lines AS (SELECT path, substr(sha256(path), 1, 3) AS shelf, sha256(lpad(CAST(length(path) AS VARCHAR), 8, '0') || path || sha256(content)) AS line FROM notes),
-shelves AS (SELECT shelf, sha256(string_agg(line, '' ORDER BY path)) AS h FROM lines GROUP BY shelf)
-SELECT sha256(string_agg(h, '' ORDER BY shelf)) AS fingerprint FROM shelves""")
+@query(f"""WITH {DOCS}, lines AS (SELECT path, sha256(path) AS key, sha256(lpad(CAST(length(path) AS VARCHAR), 8, '0') || path || sha256(content)) AS h FROM notes),
+a AS (SELECT substr(key, 1, 8) AS key, sha256(string_agg(h, '' ORDER BY key, path)) AS h FROM lines GROUP BY substr(key, 1, 8)),
+b AS (SELECT substr(key, 1, 5) AS key, sha256(string_agg(h, '' ORDER BY key)) AS h FROM a GROUP BY substr(key, 1, 5)),
+c AS (SELECT substr(key, 1, 2) AS key, sha256(string_agg(h, '' ORDER BY key)) AS h FROM b GROUP BY substr(key, 1, 2))
+SELECT sha256(string_agg(h, '' ORDER BY key)) AS fingerprint FROM c""")
 def corpus_fingerprint(spark, sf_dir):
     return access.fingerprint(docs(spark, sf_dir).select("path", notes.source_revision(F.col("content")).alias("revision")))
 
@@ -805,6 +856,32 @@ def reconcile_removed(spark, sf_dir):
     return incremental.removed(was, now)
 
 
+@query(f"""WITH {DOCS} SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'remove' ELSE 'refresh' END AS kind FROM notes
+WHERE NOT (doc_id % 13 = 0 AND doc_id % 7 = 0) AND (source IN ('src2', 'src5') OR doc_id % 17 = 0)""")
+def event_changes(spark, sf_dir):
+    """What events on two folders and on single files call for."""
+    was, now = _two_listings(spark, sf_dir)
+    files = docs(spark, sf_dir).where(F.col("doc_id") % 17 == 0).select("path")
+    events = files.unionByName(spark.createDataFrame([("src2",), ("src5",), ("nowhere",)], "path string"))
+    return incremental.event_changes(events, now, was)
+
+
+@query(f"""WITH {DOCS} SELECT complete, path, kind FROM (
+  SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'remove' ELSE 'refresh' END AS kind FROM notes
+  WHERE (doc_id % 7 = 0 AND doc_id % 13 <> 0) OR (doc_id % 7 <> 0 AND (doc_id % 13 = 0 OR doc_id % 11 = 0))), (VALUES (true), (false)) t(complete) WHERE complete OR kind = 'refresh'""")
+def reconcile_scan(spark, sf_dir):
+    was, now = _two_listings(spark, sf_dir)
+    out = [incremental.reconciled(was, now, c).select(F.lit(c).alias("complete"), "path", "kind") for c in (True, False)]
+    return out[0].unionByName(out[1])
+
+
+@query(f"""WITH {DOCS}, {_EDITED} SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'removed' WHEN doc_id % 10 = 0 THEN 'changed' ELSE 'same' END AS kind FROM notes""")
+def policy_projection(spark, sf_dir):
+    """Notes that a narrower policy and an edit take out of a view or change there."""
+    hashed = lambda df: df.select("path", notes.source_revision(F.col("content")).alias("revision"))
+    return incremental.projected(hashed(docs(spark, sf_dir)), hashed(_edited(spark, sf_dir).where(F.col("doc_id") % 4 != 0)))
+
+
 @query(f"WITH {DOCS} SELECT path FROM notes WHERE doc_id % 7 <> 0 AND (doc_id % 13 = 0 OR doc_id % 11 = 0)")
 def reconcile_changed(spark, sf_dir):
     return incremental.changed(*_two_listings(spark, sf_dir))

@@ -43,6 +43,13 @@ def remove_tree(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a folder another name, on any file system that Spark reads."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not make(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(make(old), make(new)):
+        raise OSError(f"can't rename {old} to {new}")
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, in order; none if there is no such folder."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,6 +35,9 @@ def test_embedding_and_search(spark, corpus, tmp_path):
     name = embedders.identity(model="hash", dim=32)
     vectors.save(first, str(tmp_path), name)
     assert vectors.load(spark, str(tmp_path), name).count() == first.count() and vectors.load(spark, str(tmp_path), "other") is None
+    vectors.save(vectors.load(spark, str(tmp_path), name), str(tmp_path), name, first_pass_complete=False)  # over itself
+    assert vectors.load(spark, str(tmp_path), name).count() == first.count() and vectors.header(spark, str(tmp_path), name)["first_pass_complete"] is False
+    assert vectors.load(spark, str(tmp_path), name, dim=3) is None and vectors.header(spark, str(tmp_path), "other") is None
     kept, ready = incremental.warm_start(vectors.load(spark, str(tmp_path), name), corpus.where("path = 'a.md'"), True)
     assert ready and {r["path"] for r in kept.collect()} == {"a.md"}
 
@@ -79,7 +82,10 @@ def test_access_decisions(spark):
     for bad in ({"directory": "/x"}, {"file": "a/../b"}, {}, {"directory": "a", "file": "b"}):
         with pytest.raises(ValueError):
             access.Rule("x", **bad)
-    assert access.private_source_eligible("text", {"t": "ab-1"}, ("t",)) and not access.private_source_eligible("- [inferred x] y", {"t": "ab"}, ("t",))
+    fm = "---\ntenant_id: t1\nstar_label: s\nworkspace_id: W9\naudience_kind: channel\naudience_id: C-1\n---\n"
+    place = "Organize/Work/slack-w9-channel-c-1/x.md"
+    assert access.private_source_eligible(place, fm + "text") and access.private_source_eligible("Distill/slack-w9-channel-c-1/brief.md", fm)
+    assert not any(access.private_source_eligible(*x) for x in ((place, "text"), (place, fm + "- [inferred x] y"), ("Notes/x.md", fm), (place, fm.replace("channel", "team")), (place, fm.replace("C-1", "C 1")), (place[:-3], fm)))
 
 
 def test_offered_operations():
