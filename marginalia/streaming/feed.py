@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marginalia.operators import notes, postings
+from marginalia.operators.lexical import fields as lexical_fields
+
 CHANGE = "path string, kind string, generation bigint"
 _STATE = "generation bigint"
 
@@ -35,8 +38,25 @@ def newest_only(stream: DataFrame) -> DataFrame:
     return stream.groupBy("path").applyInPandasWithState(keep, CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run(stream: DataFrame, checkpoint: str, lexical: Callable[[DataFrame, int], None], vectors: Callable[[DataFrame, int], None] | None = None):
-    """Start the feed: every batch's newest changes go to the lexical sink, then to the vector sink."""
+def index_sink(index: postings.PostingIndex, contents: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A lexical sink: the notes of a batch (contents gives path and content of its paths) go into the index as one segment.
+
+    A batch that is run again after a failure writes the same notes once more, which changes nothing.
+    """
+
+    def apply(batch: DataFrame, n: int) -> None:
+        upserts = contents(batch.where("kind = 'upsert'").select("path"))
+        index.replace(lexical_fields(notes.indexed(notes.parse(upserts))), batch.where("kind = 'remove'").select("path"))
+
+    return apply
+
+
+def run(stream: DataFrame, checkpoint: str, lexical: Callable[[DataFrame, int], None], vectors: Callable[[DataFrame, int], None] | None = None, every: str | None = None):
+    """Start the feed: every batch's newest changes go to the lexical sink, then to the vector sink.
+
+    `every` (such as "500 milliseconds") keeps it running and gathers the changes of that time into a batch;
+    without it what is there is worked off and the feed ends.
+    """
 
     def both(batch: DataFrame, n: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by("kind", "generation").alias("kind"), F.max("generation").alias("generation")).persist()
@@ -47,4 +67,4 @@ def run(stream: DataFrame, checkpoint: str, lexical: Callable[[DataFrame, int],
         finally:
             newest.unpersist()
 
-    return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()

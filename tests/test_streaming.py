@@ -76,3 +76,31 @@ def test_merge_and_reconcile(spark):
     assert [r["path"] for r in incremental.due(work, 1.0, 5).collect()] == ["b", "a"]
     old, new = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, revision string"), spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, revision string")
     assert {r["path"]: r["kind"] for r in incremental.projected(old, new).collect()} == {"a": "same", "b": "changed", "c": "removed", "d": "changed"}
+
+
+def test_feed_keeps_an_index_up(spark, tmp_path):
+    import time
+
+    from marginalia.operators import lexical, notes, postings
+
+    texts = {"a.md": "quick fox", "b.md": "slow fox", "c.md": "old fox"}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "path string, content string")
+    index = postings.PostingIndex.build(lexical.fields(notes.parse(frame(texts))), f"file://{tmp_path}/index")
+    texts["b.md"] = "slow badger"
+    contents = lambda paths: frame(texts).join(paths, "path", "left_semi")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"path":"b.md","kind":"upsert","generation":1}\n{"path":"a.md","kind":"remove","generation":2}\n')
+    stream = feed.newest_only(feed.changes(spark, str(tmp_path / "in")))
+    running = feed.run(stream, f"{tmp_path}/checkpoint", feed.index_sink(index, contents), every="200 milliseconds")
+    try:
+        until = time.time() + 90
+        while len(index.segments) < 2 and time.time() < until:
+            time.sleep(0.5)
+        texts.pop("c.md")
+        (tmp_path / "in" / "2.json").write_text('{"path":"c.md","kind":"remove","generation":3}\n{"path":"b.md","kind":"remove","generation":0}\n')
+        while len(index.segments) < 3 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    again = postings.PostingIndex(spark, f"file://{tmp_path}/index", False)
+    assert [r["path"] for r in again.search("badger").collect()] == ["b.md"] and again.search("fox").count() == 0
