@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 import uuid
 from contextlib import contextmanager
+from functools import cache
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +80,17 @@ def body(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+@cache
+def one_blas_thread() -> None:
+    """Let numpy multiply on one thread in this process: a task has one core, and threads that wait for work burn the others'."""
+    for file in sorted(Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*")):
+        library = ctypes.CDLL(str(file))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def in_fold(mod: int, rest: int) -> Column:
     """True where crc32(doc_id as text) mod `mod` is `rest`; a null doc_id counts as held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(True))

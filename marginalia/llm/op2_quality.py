@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import body, in_fold, sampled_labels
+from marginalia.llm.common import body, in_fold, one_blas_thread, pieces, sampled_labels
 
 WORDS, RANK, BOUND = 1 << 13, 8, 12_000
 _STEPS = 12
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     chosen = F.broadcast(sampled_labels(labels, label, bound))
 
     def of(batches):
-        for b in batches:
+        for b in pieces(batches):
             got = [features(x) for x in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("y"), pa.array([g[0].astype(np.int16).tobytes() for g in got], pa.binary()), pa.array([g[1].astype(np.float32).tobytes() for g in got], pa.binary())],
@@ -131,9 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", body().cast("binary").alias("raw")).join(chosen, "doc_id").select("doc_id", "y", "raw")
-    rows = joined.mapInArrow(of, f"doc_id {kind}, y int, at binary, x binary").limit(2 * bound).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["at"])))
-    return fit_machine([(np.frombuffer(r["at"], np.int16).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64), r["y"]) for r in rows])
+    found = joined.mapInArrow(of, f"doc_id {kind}, y int, at binary, x binary")
+    # rows that share an id are one example, the same one in every run
+    once = found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("at", "x")).alias("f")).select("doc_id", "y", "f.at", "f.x")
+    rows = sorted(((r["doc_id"], r["y"], bytes(r["at"]), bytes(r["x"])) for r in once.toLocalIterator()), key=lambda r: (r[0], r[2]))
+    return fit_machine([(np.frombuffer(at, np.int16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64), y) for _, y, at, x in rows])
 
 
 def scored(docs: DataFrame, model: Machine, threshold: float) -> DataFrame:
@@ -141,7 +143,8 @@ def scored(docs: DataFrame, model: Machine, threshold: float) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
-        for b in batches:
+        one_blas_thread()
+        for b in pieces(batches):
             s = np.array([model.score(*features(x)) for x in b.column("raw").to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import body, in_fold
+from marginalia.llm.common import body, in_fold, one_blas_thread, pieces
 
 BUCKETS = 1 << 12
 PER_LANG = 400
@@ -149,7 +149,8 @@ def identify(docs: DataFrame, model: Decoder) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches):
-        for b in batches:
+        one_blas_thread()
+        for b in pieces(batches):
             got = [model.decode(features(t) if t else None) for t in b.column("text").to_pylist()]
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marginalia.llm.common import body, in_fold, pieces, sampled_labels
+from marginalia.llm.common import body, in_fold, one_blas_thread, pieces, sampled_labels
 
 BOUND, NEIGHBOURS, BLOCK, EVIDENCE = 6000, 15, 64, 3
 #: Examples that the curve is fitted on at most; texts and words of texts that are searched at once (a longer text is searched alone).
@@ -147,8 +147,10 @@ class Index:
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
         """Dimensions and weights, at length one, of what a text has of the vocabulary."""
         number = self.dim.get
-        got = sorted((d, n) for d, n in ((number(t), n) for t, n in counts.items()) if d is not None)
-        return self._unit(*np.array(got, dtype=np.int64).T) if got else None
+        d = np.array([number(t, -1) for t in counts], dtype=np.int64)
+        known = np.flatnonzero(d >= 0)
+        known = known[np.argsort(d[known])]
+        return self._unit(d[known], np.fromiter(counts.values(), np.int64, len(counts))[known])
 
     def _unit(self, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         w = (1 + np.log(n)) * self.idf[d]
@@ -156,6 +158,7 @@ class Index:
 
     def search(self, vectors, k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector its k most similar examples (but[i] left out) and their similarities, exactly."""
+        one_blas_thread()
         q, width = len(vectors), self.blocks * BLOCK
         dense, dense_most = self._dense()
         dim, weight = (np.concatenate([v[side] for v in vectors]) for side in (0, 1))
@@ -178,7 +181,6 @@ class Index:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 rows, cols = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                 s[rows, cols] += heavy[rows] @ dense[:, cols]
-            s[np.repeat(~wanted, BLOCK, axis=1)] = 0
             if but is not None:
                 s[np.arange(q)[but >= 0], but[but >= 0]] = 0
             return s

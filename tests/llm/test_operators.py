@@ -132,6 +132,13 @@ def test_block_max_search_is_exact():
         assert np.allclose(index.nearest(v, 15)[1], want[want > 0], atol=1e-9)
 
 
+def test_repeated_ids_fit_the_same_machine(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more")))).unionByName(docs)
+    a, b = (op2_quality.fit(x, labels, bound=40) for x in (twice.repartition(3), twice.repartition(7, "source")))
+    assert (a.w == b.w).all() and (a.v == b.v).all() and a.b == b.b
+
+
 def test_models_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     one = spark.createDataFrame([(4, 1, 1), (6, 1, 1), (6, None, 0)], "doc_id bigint, quality int, toxic int")
