@@ -1,177 +1,174 @@
 """Chunks of a note for embedding: whole if it fits, else by heading section, else cut at natural ends.
 
 Offsets are UTF-8 bytes of the note. The chunks of a note cover its body without gaps or overlaps; what a
-chunk repeats of its predecessor for context is kept apart.
+chunk repeats of its predecessor for context is kept apart. Token counts may do what they like as a text
+grows: every text that becomes a chunk has been counted.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from hashlib import sha256
 
 from marginalia.functions import frontmatter, markdown
 
-MAX_CHUNKS, OVERLAP_TOKENS = 4096, 32
-_word, _tail = re.compile(r"\S+"), re.compile(r"\S+\Z")
-_SENTENCE = re.compile(r"[.!?][\"')\]]*\s+|[。！？]\s*")
+# Chunks of a note, tokens (and bytes for each of them) repeated from the chunk before, prefixes tried one by one.
+MAX_CHUNKS, OVERLAP_TOKENS, OVERLAP_BYTES, MAX_PROBES = 4096, 32, 8, 4096
+_STOP = re.compile(r"[.!?。！？](?=\s|\Z)")
+_SPACE = re.compile(r"\s")
+
+
+class TooLong(ValueError):
+    """No part of a section fits beside its title and headings."""
 
 
 def word_count(text: str) -> int:
     """The default token counter: words, long ones counting once more for every eight bytes."""
-    return sum(1 + (len(w.encode("utf-8", "surrogatepass")) - 1) // 8 for w in text.split())
+    if text.isascii():
+        return sum((len(w) + 7) // 8 for w in text.split())
+    return sum((len(w.encode("utf-8", "surrogatepass")) + 7) // 8 for w in text.split())
 
 
 def input_hash(text: str) -> str:
     return sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _fits_upto(text: str, fits: Callable[[str], bool], guess: int) -> int:
-    """The longest prefix found by doubling, then halving, that fits; one character at least."""
-    lo, hi = 0, min(len(text), max(1, guess))
-    while fits(text[:hi]):
-        lo = hi
-        if hi == len(text):
-            return hi
-        hi = min(len(text), 2 * hi)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if fits(text[:mid]) else (lo, mid)
-    return max(1, lo)
-
-
-def _cost(word: str) -> int:
-    return 1 + ((len(word) if word.isascii() else len(word.encode("utf-8", "surrogatepass"))) - 1) // 8
-
-
-def _words_upto(lead: str, text: str, start: int, stop: int, most: int) -> int:
-    """_fits_upto for word_count over text[start:stop] after `lead`, in one walk over its words."""
-    tail = _tail.search(lead)
-    carry = tail[0] if tail else ""
-    total = word_count(lead[: len(lead) - len(carry)])
-    for m in _word.finditer(text, start, stop):
-        if m.start() > start and carry:
-            total, carry = total + _cost(carry), ""
-            if total > most:
-                return max(1, 1 if m.start() > start else 0)
-        room = 8 * (most - total)
-        word = carry + m[0]
-        if total + _cost(word) <= most:
-            total, carry = total + _cost(word), ""
-            continue
-        size, end = len(carry.encode("utf-8", "surrogatepass")), m.start()
-        for c in m[0]:
-            size += len(c.encode("utf-8", "surrogatepass"))
-            if size > room:
-                break
-            end += 1
-        return max(1, end - start)
-    return stop - start if not carry or total + _cost(carry) <= most else 1
-
-
-def _natural_end(text: str, ends: list[int]) -> int:
-    """The last block end, else sentence, line or word end of a prefix (block ends are given), else all of it."""
-    if ends:
-        return ends[-1]
-    found = [m.end() for m in _SENTENCE.finditer(text) if m.end() < len(text)] or [m.end() for m in re.finditer(r"\n", text) if m.end() < len(text)] or [m.end() for m in re.finditer(r"\s+", text) if m.end() < len(text)]
-    return found[-1] if found else len(text)
+class _Note:
+    """The bytes of a note with its blocks and the limits that chunks are cut by."""
+
+    def __init__(self, content: str, blocks: list[tuple[int, int, str]], max_tokens: int, count: Callable[[str], int]):
+        self.raw, self.blocks, self.max_tokens, self.count = content.encode("utf-8", "surrogatepass"), blocks, max_tokens, count
+        self.ends = [end for _, end, _ in blocks]
+
+    def text(self, a: int, b: int) -> str:
+        return self.raw[a:b].decode("utf-8", "surrogatepass")
+
+    def whole(self, at: int, up: bool = False) -> int:
+        """The character boundary at or before a byte (at or after it)."""
+        while 0 < at < len(self.raw) and self.raw[at] & 0xC0 == 0x80:
+            at += 1 if up else -1
+        return at
+
+    def after(self, at: int) -> int:
+        """Where the character at a byte ends."""
+        return min(len(self.raw), self.whole(at + 1, up=True)) if at < len(self.raw) else at
+
+    def fits(self, lead: str, a: int, b: int) -> bool:
+        return self.count(lead + self.text(a, b)) <= self.max_tokens
+
+    def block_at(self, at: int) -> tuple[int, int, str] | None:
+        n = bisect_right(self.ends, at)
+        return self.blocks[n] if n < len(self.blocks) and self.blocks[n][0] <= at else None
+
+    def block_cut(self, a: int, b: int) -> str | None:
+        """The kind of the block that a chunk cuts, the one at its start first."""
+        first, last = self.block_at(a), self.block_at(max(0, b - 1))
+        if first and (a > first[0] or b < first[1]):
+            return first[2]
+        return last[2] if last and b < last[1] else None
+
+    def overlap(self, prefix: str, start: int, low: int) -> int:
+        """Where what is repeated before `start` begins: in the same block, halved until it is few tokens and leaves room."""
+        block = self.block_at(start)
+        if block is None or start <= low or start <= block[0]:
+            return start
+        at = self.whole(max(start - OVERLAP_TOKENS * OVERLAP_BYTES, block[0], low), up=True)
+        while at < start:
+            if self.count(self.text(at, start)) <= OVERLAP_TOKENS and self.fits(prefix + self.text(at, start), start, self.after(start)):
+                return at
+            at = self.whole(at + (start - at + 1) // 2, up=True)
+        return start
+
+    def reach(self, lead: str, start: int, stop: int) -> int:
+        """An end that fits, from a first guess doubled while it fits or halved until it does."""
+        least = self.after(start)
+        end, fit = max(least, self.whole(min(stop, start + max(4, 4 * self.max_tokens)))), None
+        while True:
+            if self.fits(lead, start, end):
+                fit = end
+                if end == stop:
+                    return end
+                end = max(self.whole(min(stop, start + 2 * (end - start))), self.after(end))
+            elif fit is not None:
+                return fit
+            elif end == least:
+                return self.probe(lead, start, stop)
+            else:
+                end = max(least, self.whole(start + (end - start) // 2))
+
+    def probe(self, lead: str, start: int, stop: int) -> int:
+        """The first prefix that fits, character by character, for counts that fall as a text grows."""
+        end = start
+        for _ in range(MAX_PROBES):
+            if end >= stop:
+                raise TooLong("a section doesn't fit beside its headings")
+            end = self.after(end)
+            if self.fits(lead, start, end):
+                return end
+        raise ValueError(f"more than {MAX_PROBES} ends tried")
+
+    def natural(self, lead: str, start: int, end: int, least: int) -> int:
+        """The last block end up to `end`, else sentence, line or word end; past `least`, and counted again."""
+        n = bisect_right(self.ends, end)
+        text = self.text(start, end)
+        after = self.text(end, self.after(end))
+        place = lambda found: start + len(text[: found[-1]].encode("utf-8", "surrogatepass")) if found else start
+        stops = [m.end() for m in _STOP.finditer(text + after) if m.end() <= len(text)]
+        spaces = [m.end() for m in _SPACE.finditer(text)]
+        line = text.rfind("\n") + 1
+        for cut in (self.ends[n - 1] if n else start, place(stops), place([line] if line else []), place(spaces)):
+            if least < cut <= end and (cut == end or self.fits(lead, start, cut)):
+                return cut
+        return end
 
 
 def chunks(path_title: str, content: str, max_tokens: int, count: Callable[[str], int] = word_count) -> list[dict]:
     """scope, text, input_hash, start, end, overlap_start, heading_path and block_kind of each chunk of a note."""
     _, body_at = frontmatter.split(content)
-    plain = content.isascii()
     body = content[body_at:]
     if not body.strip():
         return []
-    known = (0, 0)
-
-    def at_byte(c: int) -> int:
-        """Bytes before a character; each chunk goes on from the last one's start."""
-        nonlocal known
-        if plain:
-            return c
-        low, high = sorted((known[0], c))
-        way = len(content[low:high].encode("utf-8", "surrogatepass"))
-        known = (c, known[1] + (way if c >= known[0] else -way))
-        return known[1]
-
-    def upto(lead: str, a: int, b: int, guess: int) -> int:
-        """The longest part of content[a:b] that fits after `lead`; counters other than the default must grow with the text."""
-        if count is word_count:
-            return _words_upto(lead, content, a, b, max_tokens)
-        return _fits_upto(content[a:b], lambda t: count(lead + t) <= max_tokens, guess)
-
-    def chunk(scope, text, a, b, overlap, heads, kind):
-        return {"scope": scope, "text": text, "input_hash": input_hash(text), "start": at_byte(a), "end": at_byte(b), "overlap_start": at_byte(overlap) if overlap < a else None, "heading_path": heads, "block_kind": kind}
-
-    whole = f"{path_title}\n{body}"
+    whole, first = f"{path_title}\n{body}", len(content[:body_at].encode("utf-8", "surrogatepass"))
+    out: list[dict] = []
+
+    def add(scope, text, a, b, overlap, heads, kind):
+        if len(out) == MAX_CHUNKS:
+            raise ValueError(f"more than {MAX_CHUNKS} chunks")
+        out.append({"scope": scope, "text": text, "input_hash": input_hash(text), "start": a, "end": b, "overlap_start": overlap if overlap < a else None, "heading_path": heads, "block_kind": kind})
+
     if count(whole) <= max_tokens:
-        return [chunk("note", whole, body_at, len(content), body_at, [], None)]
+        add("note", whole, first, first + len(body.encode("utf-8", "surrogatepass")), first, [], None)
+        return out
     s = markdown.structure(content)
-    to_char = _char_offsets(content, sorted({0, *(h.offset for h in s.headings), *(h.end for h in s.headings), *(b.start for b in s.blocks), *(b.end for b in s.blocks)}))
-    cuts = [body_at, *(to_char[h.offset] for h in s.headings if to_char[h.offset] >= body_at), len(content)]
-    out: list[dict] = []
+    note = _Note(content, [(x.start, x.end, x.kind) for x in s.blocks], max_tokens, count)
+    heads = [h for h in s.headings if h.offset >= first]
+    starts = [h.offset for h in heads] + [len(note.raw)]
+    sections = [(first, starts[0], first, [])] if starts[0] > first or not heads else []
     stack: list[tuple[int, str]] = []
-    heads = [h for h in s.headings if to_char[h.offset] >= body_at]
-    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        own_end = a
-        if n:
-            h = heads[n - 1]
-            stack = [x for x in stack if x[0] < h.level] + [(h.level, h.text)]
-            own_end = to_char[h.end]
-        if a == b:
+    for h, stop in zip(heads, starts[1:]):
+        stack = [x for x in stack if x[0] < h.level] + [(h.level, h.text)]
+        sections.append((h.offset, stop, h.end, [t for _, t in stack]))
+    for a, b, heading_end, names in sections:
+        prefix = f"{path_title}\n" + (" > ".join(names) + "\n" if names else "")
+        if note.fits(prefix, a, b):
+            add("passage", prefix + note.text(a, b), a, b, a, names, None)
             continue
-        names = [t for _, t in stack]
-        prefix = "\n".join(x for x in (path_title, " > ".join(names)) if x) + "\n"
-        blocks = [(to_char[x.start], to_char[x.end], x.kind) for x in s.blocks if a <= to_char[x.start] < b]
-        has_text = bool(content[own_end:b].strip())
-        start = a
+        if a == b:
+            raise TooLong("a section doesn't fit beside its headings")
+        has_text, start = bool(note.text(heading_end, b).strip()), a
         while start < b:
-            block = next((x for x in blocks if x[0] <= start < x[1]), None)
-            overlap = _overlap(content, max(block[0], a), start, count) if block and block[0] < start else start
-            lead = prefix + content[overlap:start]
-            end = start + upto(lead, start, b, 4 * max_tokens)
+            overlap = note.overlap(prefix, start, a)
+            lead = prefix + note.text(overlap, start)
+            end = note.reach(lead, start, b)
             if end < b:
-                end = start + _natural_end(content[start:end], [x[1] - start for x in blocks if start < x[1] <= end and (x[1] > own_end or not has_text)])
-                if has_text and start < own_end and end <= own_end:
-                    end = min(b, own_end + max(1, upto(prefix, own_end, b, 8)))
-            kind = next((x[2] for x in blocks if x[0] < end and x[1] > start and x[2] != "heading"), block[2] if block else None)
-            scope = "section" if start == a and end == b else "block"
-            out.append(chunk(scope, lead + content[start:end], start, end, overlap, names, kind))
-            if len(out) > MAX_CHUNKS:
-                raise ValueError(f"more than {MAX_CHUNKS} chunks")
+                end = note.natural(lead, start, end, heading_end if start == a and has_text else start)
+            add("passage", lead + note.text(start, end), start, end, overlap, names, note.block_cut(start, end))
             start = end
     return out
 
 
-def _overlap(content: str, low: int, start: int, count) -> int:
-    """Where the context before `start` begins: at a word, at most OVERLAP_TOKENS back and not before `low`."""
-    best, reach = start, 16 * OVERLAP_TOKENS
-    while True:
-        top = max(low, start - reach)
-        best = start
-        for m in reversed(list(_word.finditer(content, top, start))):
-            if m.start() == top > low and not content[top - 1].isspace():
-                break  # perhaps the end of a word that begins further back
-            if count(content[m.start() : start]) > OVERLAP_TOKENS:
-                return best
-            best = m.start()
-        if top == low:
-            return best
-        reach *= 4
-
-
-def _char_offsets(content: str, wanted: list[int]) -> dict[int, int]:
-    if content.isascii():
-        return {x: x for x in wanted}
-    raw, out, chars, last = content.encode("utf-8", "surrogatepass"), {}, 0, 0
-    for x in wanted:
-        chars += len(raw[last:x].decode("utf-8", "surrogatepass"))
-        out[x], last = chars, x
-    return out
-
-
 def plan_batch(sizes: list[int], max_items: int, max_tokens: int) -> int:
     """How many of the first inputs go into one request; one at least."""
     n = total = 0

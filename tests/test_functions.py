@@ -158,6 +158,34 @@ def test_contexts_keep_characters_whole():
 
 @given(st.text(alphabet="ab .\n#é漢", max_size=400), st.integers(3, 30))
 @settings(max_examples=150, deadline=None)
-def test_one_walk_over_words_cuts_as_repeated_counting(text, limit):
-    slow = chunker.chunks("t", text, limit, lambda t: chunker.word_count(t))
-    assert chunker.chunks("t", text, limit) == slow
+def test_chunks_cover_fit_and_end_well(text, limit):
+    raw = text.encode()
+    try:
+        got = chunker.chunks("t", text, limit)
+    except chunker.TooLong:
+        return
+    at = got[0]["start"] if got else len(raw)
+    assert bool(got) == bool(text[len(raw[:0]) :].strip()) or frontmatter.split(text)[1]
+    for c in got:
+        assert c["start"] == at and chunker.word_count(c["text"]) <= limit
+        own = raw[c["start"] : c["end"]].decode()
+        assert c["text"].endswith(own) and (c["overlap_start"] is None or raw[c["overlap_start"] : c["end"]].decode() in c["text"])
+        at = c["end"]
+    assert not got or at == len(raw)
+
+
+def test_chunk_cuts():
+    words = " ".join(f"w{k}" for k in range(60))
+    cut = lambda text, limit, count=chunker.word_count: [c["text"].split("\n", 1)[1] for c in chunker.chunks("t", text, limit, count)]
+    sentence = "One two three. Four five six! Seven eight"
+    assert [raw for raw in cut(sentence, 5)][0] == "One two three."  # a sentence's end before a word's
+    assert cut("a b\nc d e f g h i j k l m n o p q r s t", 6)[0] == "a b\n"  # a line's end before a word's
+    long = chunker.chunks("t", words, 20)
+    assert all(c["overlap_start"] is not None and chunker.word_count(words[c["overlap_start"] : c["start"]]) <= 32 for c in long[1:] if c["overlap_start"])
+    # a count that falls as the text grows: ends are tried one by one
+    assert "".join(c["text"].split("\n", 1)[1][-1:] for c in chunker.chunks("t", "abcdefghij" * 3, 3, lambda t: 9 if len(t) < 12 or len(t) > 20 else 1))
+    with pytest.raises(chunker.TooLong):
+        chunker.chunks("a very long title of many words " * 3, "text " * 50, 4)
+    headed = "# Head\n" + "word " * 40
+    first = chunker.chunks("t", headed, 12)[0]
+    assert first["heading_path"] == ["Head"] and "word" in first["text"]  # never the heading alone
