@@ -13,6 +13,7 @@ segment is two notes; an empty corpus gives no hits; a segment is there once its
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,7 +62,11 @@ def _inverted(stems: bool):
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
+def _buckets(terms: list[str]) -> set[int]:
+    return {zlib.crc32(t.encode()) % BUCKETS for t in terms}
 
 
 class PostingIndex:
@@ -123,16 +128,22 @@ class PostingIndex:
 
     # reading
 
-    def _table(self, segment: str, name: str) -> DataFrame:
+    def _table(self, segment: str, name: str, buckets: set[int] | None = None) -> DataFrame:
         if name == "postings":
-            return self.spark.read.schema(_POSTINGS + ", bucket int").parquet(f"{self.path}/{segment}/postings")
+            top, schema = f"{self.path}/{segment}/postings", _POSTINGS + ", bucket int"
+            if buckets is None:
+                return self.spark.read.schema(schema).parquet(top)
+            # only the wanted folders are listed
+            there = set(names_in(self.spark, top))
+            wanted = [f"{top}/bucket={b}" for b in sorted(buckets) if f"bucket={b}" in there]
+            return self.spark.read.schema(schema).option("basePath", top).parquet(*wanted) if wanted else self.spark.createDataFrame([], schema)
         return self.spark.read.schema("path string, gone boolean, " + ", ".join(f"{f} bigint" for f in lexical.BOOSTS)).parquet(f"{self.path}/{segment}/notes")
 
-    def _live(self, name: str, keep: Column | None = None) -> DataFrame:
+    def _live(self, name: str, keep: Column | None = None, buckets: set[int] | None = None) -> DataFrame:
         """Rows of a table, without those of notes that a later segment has."""
         out = None
         for n, segment in enumerate(self.segments):
-            rows = self._table(segment, name)
+            rows = self._table(segment, name, buckets)
             rows = rows if keep is None else rows.where(keep)
             rows = rows if self.visible is None else rows.where(self.visible)
             later = None
@@ -153,8 +164,7 @@ class PostingIndex:
 
     def postings(self, terms: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
         """The live postings of some terms; only their partitions are read."""
-        own = [int(b) for b in {r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).collect()}]
-        return self._live("postings", F.col("bucket").isin(own) & F.col("term").isin(terms) & F.col("field").isin(*fields))
+        return self._live("postings", F.col("term").isin(terms) & F.col("field").isin(*fields), _buckets(terms))
 
     def terms(self, query: str) -> list[str]:
         return lexical.query_terms(query, self.stems)

@@ -69,5 +69,7 @@ def test_empty_index(spark, tmp_path):
 
 
 def test_only_the_terms_buckets_are_read(spark, plain):
-    plan = plain.postings(["fox"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    found = plain.postings(["fox"])
+    assert {f.split("bucket=")[1].split("/")[0] for f in found.inputFiles()} == {str(b) for b in postings._buckets(["fox"])}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "term" in plan.split("PushedFilters")[1].split("]")[0] and found.count() == 2
