@@ -314,24 +314,25 @@ def _meet(batches):
         a, b = [lead[far]], [far]
         heads = np.flatnonzero(lead == np.arange(len(code)))
         many = np.bincount(lead, minlength=len(code))[heads]
-        crowds = {int(h): np.flatnonzero(lead == h) for h in heads[many > 1]}
-        places = code[heads]
+        led, places = np.argsort(lead, kind="stable"), code[heads]
+        upto = np.append(0, np.cumsum(many))
         for mask in (0, *(1 << n for n in range(HALF))):
             own = np.flatnonzero(places & mask == 0)
             first = np.searchsorted(places, places[own] | mask) if mask else own + 1
             count = np.maximum(np.searchsorted(places, places[own] | mask, "right") - first, 0)
-            upto = np.cumsum(count)
+            pairs = np.cumsum(count)
             i = 0
             while i < len(own):
-                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _PAIRS)))
+                j = max(i + 1, int(np.searchsorted(pairs, (pairs[i - 1] if i else 0) + _PAIRS)))
                 n = count[i:j]
                 x = np.repeat(own[i:j], n)
                 y = np.repeat(first[i:j] - np.cumsum(n) + n, n) + np.arange(len(x))
                 near = _distance(bits, heads[x], heads[y]) <= NEAR
                 a.append(heads[x[near]])
                 b.append(heads[y[near]])
-                for h, g in zip(heads[x[~near & (many[x] * many[y] > 1)]].tolist(), heads[y[~near & (many[x] * many[y] > 1)]].tolist()):
-                    these, those = crowds.get(h, np.array([h])), crowds.get(g, np.array([g]))
+                unmet = ~near & (many[x] * many[y] > 1)
+                for h, g in zip(x[unmet].tolist(), y[unmet].tolist()):
+                    these, those = led[upto[h] : upto[h + 1]], led[upto[g] : upto[g + 1]]
                     for at in range(0, len(these), max(1, _PAIRS // len(those))):
                         some = these[at : at + max(1, _PAIRS // len(those))]
                         p, q = np.nonzero(_distance(bits, some[:, None], those[None, :]) <= NEAR)
@@ -425,7 +426,7 @@ def _tiles(batches):
         node, label, size, fps, shingles = zip(*held)
         return _linked(np.array(node), np.array(label), np.array(size, np.int64), np.frombuffer(b"".join(fps), "<u8").reshape(-1, LONGS), list(shingles))
 
-    for batch in batches:
+    for batch in pieces(batches):
         found = []
         for root, part, *row in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "node", "label", "size", "fp", "shingles"))):
             if (root, part) != tile:

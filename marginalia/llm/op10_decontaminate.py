@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from marginalia.llm.common import body
+from marginalia.llm.common import body, pieces
 
 Q, RATE, BLOCK = 8, 0.1, 4_000_000
 #: Meetings of q-grams that are held at once, and characters of documents that meet one block after the other.
@@ -237,7 +237,7 @@ def _met(sent: list, rate: float):
             return zip(held, found)
 
         held, size = [], 0
-        for b in batches:
+        for b in pieces(batches):
             held.append(b)
             size += b.column("text").nbytes
             if size >= CHUNK or len(sent) < 2:
