@@ -58,6 +58,25 @@ def due(work: DataFrame, now: float, batch: int) -> DataFrame:
     return ready.orderBy(F.when(F.col("kind") == "remove", 0).otherwise(1), "generation", "path").limit(batch)
 
 
+#: Classes of failures that are tried again; all others end the work on a note.
+RETRIED = ("request_retryable", "transient_io", "storage_unavailable", "storage_remote_failure")
+
+
+def after_failures(work: DataFrame, failures: DataFrame, now: float) -> DataFrame:
+    """work (path, kind, generation, attempt, not_before) after failures (path, class, retry_after: seconds or null).
+
+    What is tried again waits for its attempt's delay (doubled from one second, 30 at most) or as long as the
+    provider asks, if that is longer; what isn't is marked failed. Other work stays as it is.
+    """
+    once = failures.groupBy(F.col("path").alias("_path")).agg(F.max_by("class", F.struct(~F.col("class").isin(*RETRIED), "class")).alias("class"), F.max("retry_after").alias("retry_after"))
+    both = work.join(once, F.col("path") == F.col("_path"), "left")
+    attempt = F.col("attempt") + F.when(F.col("class").isNotNull(), 1).otherwise(0)
+    delay = F.least(F.lit(30.0), F.pow(F.lit(2.0), F.least(F.greatest(attempt, F.lit(1)), F.lit(6)) - 1))
+    until = F.lit(now) + F.greatest(delay, F.coalesce("retry_after", F.lit(0.0)))
+    kind = F.when(F.col("class").isNotNull() & ~F.col("class").isin(*RETRIED), "failed").otherwise(F.col("kind"))
+    return both.select("path", kind.alias("kind"), "generation", attempt.cast("int").alias("attempt"), F.when(F.col("class").isin(*RETRIED), until).otherwise(F.col("not_before")).alias("not_before"))
+
+
 def merge(base: DataFrame, changes: DataFrame, contents: DataFrame) -> DataFrame:
     """base (path, content, generation) after the newest changes: upserts take their content, removals go, stale changes don't count."""
     newest = latest(changes).withColumnRenamed("generation", "g")

@@ -114,6 +114,14 @@ def listing(files: DataFrame, folder: str = "", recursive: bool = False, glob: s
     return rows.orderBy(F.split("path", "/"))
 
 
+def open_hints(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(target, path, subpath, exists) of targets such as `folder/note.md#Heading`: what they name, and whether it is there."""
+    parts = F.split("target", "#", 2)
+    named = wanted.select("target", F.get(parts, 0).alias("path"), F.get(parts, 1).alias("subpath"))
+    there = files.select(F.col("path").alias("_path")).distinct()
+    return named.join(there, F.col("path") == F.col("_path"), "left").select("target", "path", "subpath", F.col("_path").isNotNull().alias("exists"))
+
+
 def tree(paths_in_order: list[str]) -> str:
     """A listing in component order drawn as a tree."""
     nodes: dict = {}

@@ -40,12 +40,25 @@ def semantic(chunks: DataFrame, query: list[float], k: int = 10, allowed: DataFr
 
 
 def hybrid(lexical_hits: DataFrame, best: DataFrame, k: int = 10, alpha: float = 0.25) -> DataFrame:
-    """alpha * normalised lexical + (1 - alpha) * cosine over the lexical hits; notes without one can't appear."""
+    """alpha * normalised lexical + (1 - alpha) * cosine over the lexical hits; a hit without a vector is an error."""
     a = min(1.0, max(0.0, alpha))
-    joined = lexical_hits.withColumnRenamed("score", "lexical").join(best, "path")
+    joined = lexical_hits.withColumnRenamed("score", "lexical").join(best, "path", "left")
+    missing = F.raise_error(F.concat(F.lit("no vector for "), F.col("path"))).cast("double")
+    joined = joined.withColumn("score", F.when(F.col("score").isNull(), missing).otherwise(F.col("score")))
     return joined.select("path", "lexical", F.col("score").alias("cosine"), (a * F.col("lexical") + (1 - a) * F.col("score")).alias("score")).orderBy(F.desc("score"), "path").limit(k)
 
 
+def checked(hits: DataFrame, k: int, allowed: DataFrame) -> DataFrame:
+    """hits (path, ...) as they are; more than k, a path twice or one that isn't allowed is an error when they are read."""
+    from pyspark.sql import Window
+
+    many, same = F.count("*").over(Window.partitionBy()), F.count("*").over(Window.partitionBy("path"))
+    known = allowed.select(F.col("path").alias("_path")).distinct()
+    found = hits.withColumns({"_many": many, "_same": same}).join(known, F.col("path") == F.col("_path"), "left")
+    fault = F.when(F.col("_many") > k, F.raise_error(F.lit("more hits than asked for"))).when(F.col("_same") > 1, F.raise_error(F.lit("a note twice"))).when(F.col("_path").isNull(), F.raise_error(F.concat(F.lit("not allowed: "), F.col("path"))))
+    return found.where(fault.cast("string").isNull()).select(*hits.columns)
+
+
 def reuse(new_chunks: DataFrame, cached: DataFrame) -> DataFrame:
     """new_chunks with the cached vector of the same input hash, or null where one has to be made."""
     known = cached.groupBy("input_hash").agg(F.first("vector", ignorenulls=True).alias("vector"))

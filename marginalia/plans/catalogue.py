@@ -758,6 +758,30 @@ def retry_backoff(spark, sf_dir):
     return spark.range(1, 11).select(F.col("id").cast("int").alias("attempt"), F.udf(periodic.retry_delay, "int", useArrow=True)("id").alias("delay"))
 
 
+_FAILED = "CASE event_id % 5 WHEN 0 THEN 'request_retryable' WHEN 1 THEN 'transient_io' WHEN 2 THEN 'invalid_reply' END"
+
+
+@query(f"""WITH w AS (SELECT 'event-' || event_id AS path, event_id AS generation, CAST(event_id % 9 AS INTEGER) AS attempt, {_FAILED} AS class, CASE WHEN event_id % 10 = 0 THEN 45.0::DOUBLE END AS ra FROM events),
+n AS (SELECT *, attempt + CASE WHEN class IS NULL THEN 0 ELSE 1 END AS tried FROM w)
+SELECT path, CASE WHEN class = 'invalid_reply' THEN 'failed' ELSE 'upsert' END AS kind, generation, CAST(tried AS INTEGER) AS attempt,
+  CASE WHEN class IN ('request_retryable', 'transient_io') THEN 100.0 + greatest(least(30.0, pow(2.0, least(greatest(tried, 1), 6) - 1)), coalesce(ra, 0.0)) ELSE 0.0 END AS not_before FROM n""")
+def retry_state(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    path, n = F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("path"), F.col("event_id")
+    work = e.select(path, F.lit("upsert").alias("kind"), n.alias("generation"), (n % 9).cast("int").alias("attempt"), F.lit(0.0).alias("not_before"))
+    failures = e.where(n % 5 < 3).select(path, F.get(F.array(*map(F.lit, ("request_retryable", "transient_io", "invalid_reply"))), (n % 5).cast("int")).alias("class"), F.when(n % 10 == 0, 45.0).alias("retry_after"))
+    return incremental.after_failures(work, failures, 100.0)
+
+
+@query(f"""WITH {DOCS}, wanted AS (SELECT path || '#Part ' || doc_id AS target, path, 'Part ' || doc_id AS subpath, doc_id % 7 <> 0 AS there FROM notes WHERE doc_id % 2 = 0
+  UNION ALL SELECT path, path, NULL, doc_id % 7 <> 0 FROM notes WHERE doc_id % 2 = 1)
+SELECT target, path, subpath, there AS exists FROM wanted""")
+def open_hints(spark, sf_dir):
+    own, n = docs(spark, sf_dir), F.col("doc_id")
+    wanted = own.select(F.when(n % 2 == 0, F.concat("path", F.lit("#Part "), n.cast("string"))).otherwise(F.col("path")).alias("target"))
+    return search.open_hints(wanted, own.where(n % 7 != 0))
+
+
 # access
 
 

@@ -52,7 +52,7 @@ def test_ties_and_hybrid(spark):
     chunks = spark.createDataFrame([("a", 5, [1.0, 0.0]), ("a", 2, [1.0, 0.0]), ("b", 0, [0.0, 1.0])], "path string, start bigint, vector array<float>")
     best = vectors.best_chunks(chunks, [1.0, 0.0])
     assert {r["path"]: r["start"] for r in best.collect()} == {"a": 2, "b": 0}
-    hits = spark.createDataFrame([("b", 1.0), ("z", 0.5)], "path string, score double")
+    hits = spark.createDataFrame([("b", 1.0)], "path string, score double")  # one without a vector is an error, see below
     assert [(r["path"], r["score"]) for r in vectors.hybrid(hits, best, 5, 0.25).collect()] == [("b", 0.25)]
     equal = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", float("nan"))], "path string, score double")
     assert {r["path"]: r["score"] for r in lexical.normalized(equal).collect()} == {"a": 1.0, "b": 1.0}
@@ -99,3 +99,18 @@ def test_stat_refresh(spark):
     schema = "path string, revision string, size bigint, modified bigint"
     old, new = spark.createDataFrame([("a", "1", 5, 1), ("b", "1", 5, 1), ("c", "1", 5, 1)], schema), spark.createDataFrame([("a", "1", 5, 9), ("b", "2", 6, 9)], schema)
     assert sorted(tuple(r) for r in incremental.refreshed(old, new).collect()) == [("a", "1", 5, 9), ("b", "1", 5, 1), ("c", "1", 5, 1)]
+
+
+def test_hits_are_guarded(spark):
+    from pyspark.errors import PySparkException
+
+    allowed = spark.createDataFrame([("a",), ("b",)], "path string")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "path string, score double")
+    assert vectors.checked(frame(("a", 1.0), ("b", 0.5)), 2, allowed).count() == 2
+    for bad in (frame(("a", 1.0), ("b", 0.5)).unionByName(frame(("a", 0.1))), frame(("c", 1.0))):
+        with pytest.raises(PySparkException):
+            vectors.checked(bad, 5, allowed).collect()
+    with pytest.raises(PySparkException):
+        vectors.checked(frame(("a", 1.0), ("b", 0.5)), 1, allowed).collect()
+    with pytest.raises(PySparkException):
+        vectors.hybrid(frame(("a", 1.0), ("z", 0.5)), frame(("a", 0.5)), 5).collect()
