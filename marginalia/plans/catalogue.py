@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia import config
 from marginalia.functions import chunker, frontmatter, markdown, paths, periodic
 from marginalia.operators import access, graph, incremental, lexical, notes, postings, search, vectors
 from marginalia.session import shared_dir, table
@@ -956,3 +957,204 @@ def set_property(spark, sf_dir):
 @query(f"""WITH {SYNTH} SELECT path, sha256(replace({_SET}, chr(10) || 'doc: ' || id, '') || '---' || chr(10) || {_TOP} || {_REST.format("''")}) AS revision FROM synth""")
 def remove_property(spark, sf_dir):
     return _edited_notes(spark, sf_dir, lambda c: frontmatter.remove_field(c, "doc"))
+
+
+# the library's other operations over composed cases
+
+
+def _texts(spark, sf_dir, content) -> DataFrame:
+    """(path, doc_id, content) with the content an expression over the documents' columns."""
+    return docs(spark, sf_dir).withColumn("content", content).select("path", "doc_id", "content")
+
+
+_KINDS_OF_FILE = """files AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '/.hidden/doc-' || doc_id || '.md' WHEN 1 THEN source || '/pic-' || doc_id || '.PNG'
+  WHEN 2 THEN source || '/' || doc_id || '/.md' WHEN 3 THEN source || '/old/doc-' || doc_id || '.MD' ELSE source || '/doc-' || doc_id || '.md' END AS path FROM documents)"""
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    at = lambda *parts: F.concat("source", *parts)
+    kind = F.col("doc_id") % 5
+    path = F.when(kind == 0, at(F.lit("/.hidden/doc-"), n, F.lit(".md"))).when(kind == 1, at(F.lit("/pic-"), n, F.lit(".PNG"))).when(kind == 2, at(F.lit("/"), n, F.lit("/.md"))).when(kind == 3, at(F.lit("/old/doc-"), n, F.lit(".MD"))).otherwise(at(F.lit("/doc-"), n, F.lit(".md")))
+    return d.select(path.alias("path"))
+
+
+@query(f"""WITH {_KINDS_OF_FILE} SELECT path, CASE doc_id % 5 WHEN 1 THEN 'attachment' WHEN 3 THEN 'excluded' ELSE 'note' END AS class FROM files WHERE doc_id % 5 IN (1, 3, 4)""")
+def file_classes(spark, sf_dir):
+    rules = paths.exclusion_rules(paths.ignore_lines("# old notes\n\n  **/old/  \n"))
+    return _files(spark, sf_dir).where(folder.visible(F.col("path"))).select("path", folder.file_class(F.col("path"), rules).alias("class"))
+
+
+@query(f"""WITH {_KINDS_OF_FILE}, c AS (SELECT CASE doc_id % 5 WHEN 1 THEN 'attachment' WHEN 3 THEN 'excluded' ELSE 'note' END AS class FROM files WHERE doc_id % 5 IN (1, 3, 4))
+SELECT count(*) FILTER (class = 'note') AS notes, count(*) FILTER (class <> 'excluded') AS files, CAST(0 AS BIGINT) AS tags, CAST(0 AS BIGINT) AS links,
+  CAST(coalesce(sum(CASE class WHEN 'note' THEN 3 WHEN 'attachment' THEN 10 END), 0) AS BIGINT) AS bytes, count(*) FILTER (class = 'excluded') AS excluded FROM c""")
+def stats_of_all_files(spark, sf_dir):
+    """Notes, attachments and excluded files counted together: the three kinds are apart."""
+    found = file_classes(spark, sf_dir)
+    parsed_ = notes.indexed(notes.parse(found.where("class = 'note'").select("path", F.lit("abc").alias("content"))))
+    return notes.stats(parsed_, found.where("class <> 'note'").select("class", F.lit(10).cast("long").alias("size")))
+
+
+@query(f"""WITH {_KINDS_OF_FILE} SELECT path FROM files WHERE path LIKE 'src4/%' AND path LIKE '%.md'""")
+def list_files_only(spark, sf_dir):
+    return search.listing(_files(spark, sf_dir), "src4", recursive=True, glob="**/*.md", with_directories=False).select("path")
+
+
+_FRONT = """fronts AS (SELECT source || '/doc-' || doc_id || '.md' AS path, doc_id AS id, CASE doc_id % 6 WHEN 0 THEN '---' || chr(10) || 'a: [' || chr(10) || '---' || chr(10) || 'x'
+  WHEN 1 THEN '---' || chr(13) || chr(10) || 'status: Half-Open ' || doc_id || chr(13) || chr(10) || 'nothing: null' || chr(13) || chr(10) || '---' || chr(13) || chr(10) || 'body'
+  WHEN 2 THEN '---' || chr(10) || '---' || chr(10) || 'empty' WHEN 3 THEN ' ---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10)
+  WHEN 4 THEN '---' || chr(10) || '- a' || chr(10) || '---' || chr(10) ELSE '---' || chr(10) || 'n: ' || doc_id || chr(10) || 'deep: {b: [1, two, null], a: true}' || chr(10) || '---' || chr(10) || 't' END AS content FROM documents)"""
+
+
+def _fronts(spark, sf_dir) -> DataFrame:
+    n = F.col("doc_id")
+    t, k = n.cast("string"), n % 6
+    text = F.when(k == 0, F.lit("---\na: [\n---\nx")).when(k == 1, F.concat(F.lit("---\r\nstatus: Half-Open "), t, F.lit("\r\nnothing: null\r\n---\r\nbody"))).when(k == 2, F.lit("---\n---\nempty")).when(k == 3, F.lit(" ---\na: 1\n---\n")).when(k == 4, F.lit("---\n- a\n---\n"))
+    return _texts(spark, sf_dir, text.otherwise(F.concat(F.lit("---\nn: "), t, F.lit("\ndeep: {b: [1, two, null], a: true}\n---\nt"))))
+
+
+@query(f"""WITH {_FRONT} SELECT path FROM fronts WHERE id % 6 IN (0, 4)""")
+def rejected_notes(spark, sf_dir):
+    return notes.rejected(notes.parse(_fronts(spark, sf_dir))).select("path")
+
+
+@query(f"""WITH {_FRONT} SELECT path, CASE id % 6 WHEN 1 THEN '{{"nothing":null,"status":"Half-Open ' || id || '"}}' WHEN 2 THEN '{{}}' WHEN 5 THEN '{{"deep":{{"a":true,"b":[1,"two",null]}},"n":' || id || '}}' END AS frontmatter,
+  CASE id % 6 WHEN 1 THEN 'status Half-Open ' || id || ' nothing' WHEN 5 THEN 'n ' || id || ' deep b 1 two a true' ELSE '' END AS text,
+  CAST(CASE id % 6 WHEN 1 THEN 45 + strlen(CAST(id AS VARCHAR)) WHEN 2 THEN 8 WHEN 5 THEN strlen(content) - 1 ELSE 0 END AS BIGINT) AS body_start FROM fronts WHERE id % 6 NOT IN (0, 4)""")
+def frontmatter_rows(spark, sf_dir):
+    """The block as canonical JSON, its search text and where the body begins."""
+    return notes.indexed(notes.parse(_fronts(spark, sf_dir))).select("path", "frontmatter", F.coalesce("property_text", F.lit("")).alias("text"), "body_start")
+
+
+@query(f"""WITH {_FRONT} SELECT path, 'null' AS how FROM fronts WHERE id % 6 = 1 UNION ALL SELECT path, 'text' FROM fronts WHERE id % 6 = 1 UNION ALL SELECT path, 'object' FROM fronts WHERE id % 6 = 5""")
+def property_cases(spark, sf_dir):
+    """A property that is null exists; part of a text is contained; objects are equal whatever their keys' order."""
+    own = notes.indexed(notes.parse(_fronts(spark, sf_dir)))
+    tests = {"null": notes.property_exists("nothing") & notes.property_equals("nothing", None), "text": notes.property_contains("status", "f-Op"), "object": notes.property_equals("deep", {"a": True, "b": [1, "two", None]})}
+    out = None
+    for how, test in tests.items():
+        rows = own.where(test).select("path", F.lit(how).alias("how"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT source || '/doc-' || doc_id || '.md' AS path, 'a' || doc_id || ',z/y' AS tags, 'in' || doc_id AS links FROM documents""")
+def code_exclusion(spark, sf_dir):
+    """Tags and links in fenced, indented and inline code don't count; those beside them do."""
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("#a"), n, F.lit(" [[in"), n, F.lit("]]\n\n```\n#b [[out]]\n```\n\n    #c [[out]]\n\n`#d` `[[out]]` #z/y\n"))
+    own = notes.indexed(notes.parse(_texts(spark, sf_dir, text)))
+    return own.select("path", F.array_join("inline_tags", ",").alias("tags"), F.array_join(F.transform("links", lambda x: x["target"]), ",").alias("links"))
+
+
+@query("""SELECT source || '/doc-' || doc_id || '.md' AS path, 'heading,paragraph,code,list,quote,table,rule' AS kinds FROM documents""")
+def block_kinds(spark, sf_dir):
+    text = F.concat(F.lit("# H "), F.col("doc_id").cast("string"), F.lit("\n\nwords\nmore\n\n```\ncode\n```\n\n- one\n- two\n\n> said\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n---\n"))
+    return notes.indexed(notes.parse(_texts(spark, sf_dir, text))).select("path", F.array_join(F.transform("blocks", lambda x: x["kind"]), ",").alias("kinds"))
+
+
+@query("""SELECT raw, lower(nfc_normalize(replace(regexp_replace(raw, '[.]md$', ''), chr(92), '/'))) AS key FROM (SELECT DISTINCT source || chr(92) || upper(lang) || '/É' || lang || 'e' || chr(769) || '.md' AS raw FROM documents)""")
+def link_keys(spark, sf_dir):
+    raw = F.concat("source", F.lit("\\"), F.upper("lang"), F.lit("/É"), "lang", F.lit("e\u0301.md"))
+    return table(spark, sf_dir, "documents").select(raw.alias("raw")).distinct().select("raw", F.udf(paths.link_key, "string", useArrow=True)("raw").alias("key"))
+
+
+@query(f"""WITH {DOCS} SELECT path, sha256(content) AS revision, CAST(greatest(1, strlen(content)) AS BIGINT) AS "end" FROM notes""")
+def note_pages(spark, sf_dir):
+    """Pages of 1000 bytes put together again: every byte once, cut at whole characters."""
+    def joined(c):
+        out, at = [], 0
+        while True:
+            found = search.page(c, at, None, 1000)
+            out.append(found["content"])
+            if found["next"] is None:
+                return "".join(out), max(1, found["end"])
+            at = found["next"]
+
+    both = F.udf(joined, "struct<text:string,end:bigint>", useArrow=True)("content")
+    return docs(spark, sf_dir).select("path", both.alias("p")).select("path", notes.source_revision(F.col("p.text")).alias("revision"), F.col("p.end").alias("end"))
+
+
+@query(f"""WITH {DOCS}, spots AS (SELECT path, content, strpos(lower(content), 'licensed') AS p, length(content) AS n FROM notes)
+SELECT path, sha256(substr(content, CAST(CASE WHEN p = 0 THEN 0 ELSE greatest(0, least(p - 1 - 150, n - 300)) END AS BIGINT) + 1, 300)) AS preview FROM spots WHERE length(lower(content)) = n""")
+def previews(spark, sf_dir):
+    shown = F.udf(lambda c: search.preview(c, "LICENSED"), "string", useArrow=True)
+    return docs(spark, sf_dir).where(F.char_length(F.lower("content")) == F.char_length("content")).select("path", F.sha2(shown("content"), 256).alias("preview"))
+
+
+@query(f"""WITH {DOCS}, {_DOC_TOKENS}, own AS (SELECT path, content, 'doc-' || doc_id || chr(10) || content AS whole FROM notes WHERE trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+sized AS (SELECT path, whole, list_sum(list_transform(regexp_split_to_array(trim(regexp_replace(whole, '[ \n\t\r]+', ' ', 'g')), ' '), lambda w: (strlen(w) + 7) // 8)) AS n FROM own)
+SELECT path, sha256(whole) AS input_hash FROM sized WHERE n <= 200""")
+def whole_chunks(spark, sf_dir):
+    """Notes that are one chunk, with the hash of the text that is embedded."""
+    return chunked(docs(spark, sf_dir)).where("scope = 'note'").select("path", "input_hash")
+
+
+@query(f"""WITH {DOCS} SELECT path, sha256('---' || chr(10) || 'kind: note' || chr(10) || 'tags:' || chr(10) || '  - a' || chr(10) || '---' || chr(10) || content) AS revision FROM notes""")
+def create_with_properties(spark, sf_dir):
+    put = F.udf(lambda c: frontmatter.with_frontmatter(c, {"kind": "note", "tags": ["a"]}), "string", useArrow=True)
+    return docs(spark, sf_dir).select("path", notes.source_revision(put("content")).alias("revision"))
+
+
+@query(f"""WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS generation FROM notes""")
+def initial_generations(spark, sf_dir):
+    return incremental.initial_generations(docs(spark, sf_dir))
+
+
+@query(f"""WITH {DOCS} SELECT path, CASE WHEN doc_id % 10 = 0 OR doc_id % 25 = 0 THEN 1 ELSE 2 END AS modified FROM notes""")
+def refreshed_stats(spark, sf_dir):
+    """A note whose text is the same takes the present size and time; others keep theirs."""
+    row = lambda df, t: df.select("path", notes.source_revision(F.col("content")).alias("revision"), F.octet_length("content").alias("size"), F.lit(t).alias("modified"))
+    return incremental.refreshed(row(docs(spark, sf_dir), 1), row(_edited(spark, sf_dir).where(F.col("doc_id") % 25 != 0), 2)).select("path", "modified")
+
+
+@query("""SELECT 'note-' || (vec_id % 100) || '.md' AS path, vec_id AS start, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id % 100 < 60""")
+def vector_cache(spark, sf_dir):
+    """Vectors saved, loaded, saved over themselves and taken up again for the notes that still exist."""
+    at = f"{shared_dir(spark)}/vectors-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
+    vectors.save(_chunks(spark, sf_dir), at, "space")
+    vectors.save(vectors.load(spark, at, "space"), at, "space")
+    live = _chunks(spark, sf_dir).select("path").distinct().where(F.regexp_extract("path", "[0-9]+", 0).cast("int") < 60)
+    kept, _ = incremental.warm_start(vectors.load(spark, at, "space"), live, True)
+    return kept.select("path", "start", F.size("vector").alias("dim"))
+
+
+@query(f"""WITH {DOCS} SELECT path, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(content || CASE WHEN doc_id % 3 = 0 THEN ' now' ELSE '' END) END AS revision FROM notes WHERE doc_id % 5 <> 0""")
+def merged_changes(spark, sf_dir):
+    """Upserts take their content, removals go, and changes older than the note count for nothing."""
+    own, n = docs(spark, sf_dir), F.col("doc_id")
+    base = own.select("path", "content", F.lit(10).cast("long").alias("generation"))
+    later = own.where((n % 5 == 0) | (n % 3 == 0)).select("path", F.when(n % 5 == 0, "remove").otherwise("upsert").alias("kind"), F.lit(11).cast("long").alias("generation"))
+    stale = own.where(n % 7 == 0).select("path", F.lit("remove").alias("kind"), F.lit(3).cast("long").alias("generation"))
+    fresh = own.select("path", F.lit(11).cast("long").alias("generation"), F.concat("content", F.lit(" now")).alias("content"))
+    return incremental.merge(base, later.unionByName(stale), fresh).select("path", notes.source_revision(F.col("content")).alias("revision"))
+
+
+@query("""SELECT name, CASE WHEN name IN ('note_read', 'vault_list', 'search_text', 'vault_info') THEN 3 WHEN name IN ('note_create', 'note_write') THEN 2
+  WHEN name IN ('note_read_many', 'search_regex', 'search_metadata', 'note_inspect') THEN 2 ELSE 1 END AS profiles
+FROM (VALUES ('vault_list'), ('note_read'), ('note_read_many'), ('note_create'), ('note_write'), ('note_insert'), ('note_patch'), ('note_delete'), ('note_move'), ('search_text'), ('search_regex'), ('search_metadata'), ('search_semantic'), ('note_inspect'), ('frontmatter'), ('wikilinks'), ('vault_info')) v(name)""")
+def tool_profiles(spark, sf_dir):
+    """In how many of the three narrower profiles each operation is."""
+    found = [(n, sum(n in config.offered(p) for p in ("core", "read", "minimal"))) for n in config.OPERATIONS]
+    return spark.createDataFrame([x for x in found if x[1]], "name string, profiles int")
+
+
+@query(f"""WITH {SYNTH}, ordered AS (SELECT path, 0 AS ordinal, 'Doc ' || id AS text, id, id % 3 AS k FROM synth UNION ALL SELECT path, 1, 'Notes', id, id % 3 FROM synth WHERE id % 3 <> 0 UNION ALL SELECT path, 2, 'Detail', id, 2 FROM synth WHERE id % 3 = 2)
+SELECT path, ordinal, text, CASE WHEN ordinal = 0 THEN '# Doc ' || id || repeat(chr(10), 2) ELSE CASE ordinal WHEN 1 THEN '## Notes' || repeat(chr(10), 2) || 'noted' ELSE '### Detail' || repeat(chr(10), 2) || 'detailed' END END AS preview FROM ordered""")
+def heading_pages(spark, sf_dir):
+    """Heading rows with the start of what their previews show."""
+    own = parsed(spark, sf_dir)
+    rows = notes.heading_page(notes.heading_tree(own), own)
+    start = F.when(F.col("ordinal") == 0, F.regexp_extract("preview", r"^(# Doc \d+\n\n)", 1)).when(F.col("ordinal") == 1, F.substring("preview", 1, 15)).otherwise(F.substring("preview", 1, 20))
+    return rows.select("path", "ordinal", "text", start.alias("preview"))
+
+
+@query(f"""WITH {DOCS}, ids AS (SELECT *, 'slack-w' || (doc_id % 3) || '-dm-a' || (doc_id % 2) AS scope FROM notes)
+SELECT scope || '/' || doc_id AS name, doc_id % 4 IN (0, 1) AS eligible FROM ids""")
+def private_sources(spark, sf_dir):
+    d, n = docs(spark, sf_dir), F.col("doc_id")
+    scope = F.concat(F.lit("slack-w"), n % 3, F.lit("-dm-a"), n % 2)
+    path = F.concat(F.when(n % 4 == 2, F.lit("Notes/")).otherwise(F.lit("Organize/Work/")), scope, F.lit("/"), n, F.lit(".md"))
+    text = F.concat(F.lit("---\ntenant_id: t\nstar_label: s\nworkspace_id: W"), n % 3, F.lit("\naudience_kind: dm\naudience_id: A"), n % 2, F.lit("\n---\n"), F.when(n % 4 == 3, F.lit("- [inferred x] y")).otherwise(F.lit("- plain")))
+    test = F.udf(access.private_source_eligible, "boolean", useArrow=True)
+    return d.select(F.concat(scope, F.lit("/"), n).alias("name"), test(path, text).alias("eligible"))
