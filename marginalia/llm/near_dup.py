@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from marginalia.llm.common import body, join_hot, pieces, scratch, small, stash, unused
+from marginalia.llm.common import body, give_back, join_hot, pieces, scratch, small, stash, unused
 
 BITS, SEED = 64, 42
 #: Table rows of one segment value that one task holds; more are dealt out over salts.
 TABLE_ROWS = 1 << 18
 _CHUNK = 1 << 16
-_PAIRS = 1 << 21
+_PAIRS = 1 << 18
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -359,6 +359,7 @@ def _runs(batches, columns):
         left = [c[cut:] for c in rows]
     if left is not None and len(left[0]):
         yield left
+    give_back()
 
 
 def families(sets: DataFrame) -> DataFrame:

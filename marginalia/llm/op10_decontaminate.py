@@ -36,7 +36,7 @@ from marginalia.llm.common import body, pieces
 
 Q, RATE, BLOCK = 8, 0.1, 4_000_000
 #: Meetings of q-grams that are held at once, and characters of documents that meet one block after the other.
-EXPANSION, CHUNK = 1 << 21, 1 << 24
+EXPANSION, CHUNK = 1 << 19, 1 << 24
 _GROUP = 1 << 19
 _SLOTS = 1 << 22
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from xxhash import xxh64_intdigest
 
 from marginalia.llm.common import body, in_fold, one_blas_thread, pieces, sampled_labels
 
@@ -69,21 +70,26 @@ class Index:
     """
 
     def __init__(self, idf: dict[str, float], rows: list[tuple], prior: float, k: int = NEIGHBOURS):
-        self._name(sorted(idf), np.array([idf[t] for t in sorted(idf)]), prior, k)
+        self._name(list(idf), np.array(list(idf.values()), dtype=np.float64), prior, k)
         self._fill([(self.vector(row[0]), row[1], row[2] if len(row) > 2 else n) for n, row in enumerate(rows)])
 
     @classmethod
     def of(cls, words: list[str], weights: np.ndarray, rows: list[tuple], prior: float, k: int = NEIGHBOURS) -> Index:
-        """The same from words in order with their weights, and rows of (numbers of words, counts, label, doc_id)."""
+        """The same from words with their weights, and rows of (numbers of words, counts, label, doc_id)."""
         index = cls.__new__(cls)
-        index._name(words, weights, prior, k)
-        index._fill([(index._unit(np.sort(at), n[np.argsort(at)]), y, doc) for at, n, y, doc in rows])
+        place = index._name(words, weights, prior, k)
+        index._fill([(index._unit(np.sort(d), n[np.argsort(d)]), y, doc) for d, n, y, doc in ((place[at], n, y, doc) for at, n, y, doc in rows)])
         return index
 
-    def _name(self, words, weights, prior, k) -> None:
-        self.dim = {t: n for n, t in enumerate(words)}
-        self.idf = np.asarray(weights, dtype=np.float64)
+    def _name(self, words, weights, prior, k) -> np.ndarray:
+        """Keep the words as their hashes in order (few bytes each, whatever their length); where each word went."""
+        keys = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(keys)
+        self.keys, self.idf = keys[order], np.asarray(weights, dtype=np.float64)[order]
         self.k, self.prior, self.curve, self._rows = k, prior, (0.0, 0.0), None
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return place
 
     def _fill(self, examples) -> None:
         blank = [y for v, y, _ in examples if v is None]
@@ -99,13 +105,13 @@ class Index:
 
     def _in_order(self, held):
         """Examples with the same commonest word and the same heaviest word lie in the same blocks, which keeps bounds low."""
-        spread = np.zeros(len(self.dim), np.int64)
+        spread = np.zeros(len(self.keys), np.int64)
         for v, _, _ in held:
             spread[v[0]] += 1
         return sorted(held, key=lambda e: (int(e[0][0][np.argmax(spread[e[0][0]])]), int(e[0][0][np.argmax(e[0][1])]), len(e[0][0])))
 
     def _post(self, vectors) -> None:
-        size, self.blocks = len(self.dim), -(-len(vectors) // BLOCK)
+        size, self.blocks = len(self.keys), -(-len(vectors) // BLOCK)
         dim = np.concatenate([np.empty(0, np.int32), *(d.astype(np.int32) for d, _ in vectors)])
         who = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(d) for d, _ in vectors])
         order = np.argsort(dim, kind="stable")
@@ -138,19 +144,21 @@ class Index:
     @property
     def ids(self) -> list[np.ndarray]:
         """The examples of each dimension."""
-        return np.split(self.who, self.start[1:-1]) if len(self.dim) else []
+        return np.split(self.who, self.start[1:-1]) if len(self.keys) else []
 
     @property
     def weights(self) -> list[np.ndarray]:
-        return np.split(self.weight, self.start[1:-1]) if len(self.dim) else []
+        return np.split(self.weight, self.start[1:-1]) if len(self.keys) else []
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray] | None:
         """Dimensions and weights, at length one, of what a text has of the vocabulary."""
-        number = self.dim.get
-        d = np.array([number(t, -1) for t in counts], dtype=np.int64)
-        known = np.flatnonzero(d >= 0)
-        known = known[np.argsort(d[known])]
-        return self._unit(d[known], np.fromiter(counts.values(), np.int64, len(counts))[known])
+        if not counts or not len(self.keys):
+            return None
+        keys = np.fromiter(map(xxh64_intdigest, counts), np.uint64, len(counts))
+        order = np.argsort(keys)
+        d = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        known = self.keys[d] == keys[order]
+        return self._unit(d[known], np.fromiter(counts.values(), np.int64, len(counts))[order][known])
 
     def _unit(self, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         w = (1 + np.log(n)) * self.idf[d]
@@ -290,11 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = B
         return Index({}, [], prior)
     n, k = (np.bincount(np.concatenate([np.empty(0, np.int64), *(ts for _, y, ts, _ in rows if y or every)]), minlength=len(number)) for every in (True, False))
     weight = (np.log((1 + total) / (1 + n)) + 1) * np.sqrt(surprise(n, k, total, ones) / total + 1e-6)
-    words = sorted(number)
-    order = np.array([number[t] for t in words])
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
-    return Index.of(words, weight[order], [(place[ts], np.array(ns), y, doc) for doc, y, ts, ns in rows], prior)
+    return Index.of(list(number), weight, [(ts, np.array(ns), y, doc) for doc, y, ts, ns in rows], prior)
 
 
 def scored(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
