@@ -38,6 +38,7 @@ Q, RATE, BLOCK = 8, 0.1, 4_000_000
 #: Meetings of q-grams that are held at once, and characters of documents that meet one block after the other.
 EXPANSION, CHUNK = 1 << 19, 1 << 24
 _GROUP = 1 << 19
+#: Slots of a table's filter at most; smaller tables have eight or more for each q-gram.
 _SLOTS = 1 << 22
 
 
@@ -108,8 +109,8 @@ class Passages:
         item = np.repeat(np.arange(len(each)), [len(g) for g in each])
         pos = np.concatenate([*(np.arange(len(g)) for g in each), np.empty(0, np.int64)])
         order = np.argsort(h, kind="stable")
-        slots = np.zeros(_SLOTS, bool)
-        slots[(h & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+        slots = np.zeros(min(_SLOTS, 1 << max(10, (8 * len(h)).bit_length())), bool)
+        slots[(h & np.uint64(len(slots) - 1)).astype(np.int64)] = True
         return codes, m, k, need, h[order], item[order], pos[order], slots
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -133,7 +134,7 @@ class Passages:
         whole = codes_of("\x00".join(t for _, t in group))
         begins = np.cumsum([0, *(len(t) + 1 for _, t in group)])
         h = grams(whole)
-        at = np.flatnonzero(slots[(h & np.uint64(_SLOTS - 1)).astype(np.int64)])
+        at = np.flatnonzero(slots[(h & np.uint64(len(slots) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
         real = hi > lo
         at, lo, many = at[real], lo[real], (hi - lo)[real]
