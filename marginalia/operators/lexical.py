@@ -53,6 +53,11 @@ def fuzzy(token: Column, word: str) -> Column:
     return F.char_length(token).between(len(word) - 1, len(word) + 1) & (close | token.isin(swaps))
 
 
+def summed(parts: Column) -> Column:
+    """The sum of an array of numbers, added by size: the same parts give the same bits in whatever order they came."""
+    return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda a, x: a + x)
+
+
 def scores(corpus: DataFrame, terms: list[str], boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """(path, score) of the notes that have any of the terms in any of the fields."""
     if not terms or not boosts:
@@ -71,7 +76,7 @@ def scores(corpus: DataFrame, terms: list[str], boosts: dict[str, float] = BOOST
         norm = t + K1 * (1 - B + B * F.col(f"dl_{f}") / F.col(f"avg_{f}"))
         return F.when(t > 0, boosts[f] * idf * t * (K1 + 1) / norm).otherwise(0.0)
 
-    total = sum((part(f, n) for f in boosts for n in range(len(terms))), F.lit(0.0))
+    total = summed(F.array(*[part(f, n) for f in boosts for n in range(len(terms))]))
     return counted.join(F.broadcast(known)).select("path", total.alias("score")).where("score > 0")
 
 
@@ -88,11 +93,12 @@ def fuzzy_scores(corpus: DataFrame, terms: list[str], boosts: dict[str, float] =
     return corpus.select("path", total.alias("score")).where("score > 0")
 
 
-def top(found: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """The k best, paths breaking ties; allowed paths are applied before ranking, statistics stay the corpus's."""
+def top(found: DataFrame, k: int, allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """The k best, paths breaking ties (if digits are given: ties of rounded scores); allowed paths are applied before ranking, statistics stay the corpus's."""
     if allowed is not None:
         found = found.join(allowed, "path", "left_semi")
-    return found.orderBy(F.desc("score"), "path").limit(k)
+    rank = F.col("score") if digits is None else F.round("score", digits)
+    return found.orderBy(rank.desc(), "path").limit(k)
 
 
 def normalized(hits: DataFrame) -> DataFrame:

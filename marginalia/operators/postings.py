@@ -182,7 +182,8 @@ class PostingIndex:
         t = F.col("tf").cast("double")
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = t + lexical.K1 * (1 - lexical.B + lexical.B * F.col("dl") / mean)
-        return rows.select("path", (boost * idf * t * (lexical.K1 + 1) / norm).alias("part")).groupBy("path").agg(F.sum("part").alias("score"))
+        parts = rows.select("path", (boost * idf * t * (lexical.K1 + 1) / norm).alias("part")).groupBy("path").agg(F.collect_list("part").alias("parts"))
+        return parts.select("path", lexical.summed(F.col("parts")).alias("score"))
 
     def facet_scores(self, terms: list[str]) -> DataFrame:
         """Notes with a tag that is one of the terms or lies below it, FACET_BOOST for each."""
@@ -197,7 +198,7 @@ class PostingIndex:
         boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
         return rows.select("path", "field", F.explode(F.array_compact(near)).alias("t")).distinct().groupBy("path").agg(F.sum(boost).alias("score"))
 
-    def search(self, query: str, k: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+    def search(self, query: str, k: int = 20, allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
         """The k best notes for a query in the query grammar; phrases are met by positions."""
         tree = lexical.parse_query(query)
         tree = lexical.with_stems(tree) if self.stems else tree
@@ -208,7 +209,7 @@ class PostingIndex:
         if not lexical.is_any(tree):
             held = self.postings(lexical.all_terms(tree)).groupBy("path").agg(F.collect_list(F.struct("field", "term", "positions")).alias("held"))
             scores = scores.join(held.where(_matching(tree)).select("path"), "path", "left_semi")
-        return lexical.top(scores, k, allowed)
+        return lexical.top(scores, k, allowed, digits)
 
 
 def _matching(tree: dict) -> Column:

@@ -318,7 +318,7 @@ def page_links(spark, sf_dir):
 
 @query(f"WITH {SYNTH}," + _bm25_sql(_SYNTH_FIELDS, ["doc", "the", "detail", "src1"], "synth") + "SELECT path, round(score, 6) AS score FROM scores ORDER BY score DESC, path LIMIT 20")
 def bm25_default(spark, sf_dir):
-    return index(spark, sf_dir, "synth").search("doc the detail src1", 20).select("path", rounded())
+    return index(spark, sf_dir, "synth").search("doc the detail src1", 20, digits=6).select("path", rounded())
 
 
 @query(f"WITH {SYNTH}," + _bm25_sql({k: _SYNTH_FIELDS[k] for k in ("title", "headings")}, ["doc", "notes"], "synth") + """,
@@ -346,7 +346,7 @@ def _body_scores(spark, sf_dir, terms):
 @query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "from"]) + "SELECT path, round(score, 6) AS score FROM scores WHERE path LIKE 'src1/%' ORDER BY score DESC, path LIMIT 20")
 def bm25_allowed(spark, sf_dir):
     allowed = docs(spark, sf_dir).where(F.startswith("path", F.lit("src1/"))).select("path")
-    return lexical.top(_body_scores(spark, sf_dir, ["the", "from"]), 20, allowed).select("path", rounded())
+    return lexical.top(_body_scores(spark, sf_dir, ["the", "from"]), 20, allowed, 6).select("path", rounded())
 
 
 @query(f"WITH {DOCS}," + _bm25_sql(_BODY, ["the", "from"]) + """, hits AS (SELECT path, score FROM scores ORDER BY score DESC, path LIMIT 50), ends AS (SELECT min(score) AS lo, max(score) AS hi FROM hits)
@@ -370,7 +370,7 @@ _STEM = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(f) for f in forms)}) THE
     f"stems AS (SELECT path, field, boost, list_transform(list_filter(ts, lambda w: strlen(w) < 40), lambda w: {_STEM}) AS ts FROM tok), dl AS (SELECT path, field, boost, len(ts) AS dl, ts FROM stems)",
 ).replace("stems AS (SELECT path, field", "cut AS (SELECT path, field").replace("FROM stems)", "FROM cut)") + "SELECT path, round(score, 6) AS score FROM scores ORDER BY score DESC, path LIMIT 20")
 def bm25_stemmed(spark, sf_dir):
-    return index(spark, sf_dir, "stems").search("detailed noting files", 20).select("path", rounded())
+    return index(spark, sf_dir, "stems").search("detailed noting files", 20, digits=6).select("path", rounded())
 
 
 _HAS = "list_contains({0}, '{1}')"

@@ -61,6 +61,23 @@ def test_replacing_removing_and_compacting(spark, tmp_path):
         seen.remove(spark.createDataFrame([("e.md",)], "path string"))
 
 
+def test_notes_with_equal_counts_have_equal_scores(spark, tmp_path, monkeypatch):
+    """Sums don't hang on the order in which terms and fields come, so ties go to the smaller path."""
+    index = postings.PostingIndex.build(corpus(spark, NOTES), f"file://{tmp_path}/i")
+    counts = [(t, f, n, 7 * n + m) for n, t in enumerate(("fox", "quick", "runs", "notes", "the"), 1) for m, f in enumerate(("headings", "frontmatter", "body"), 1)]
+    rows = [(t, f, f"{k}.md", tf, dl) for k in range(9) for t, f, tf, dl in counts[k:] + counts[:k]]
+    found = spark.createDataFrame(rows, "term string, field string, path string, tf int, dl int").coalesce(1)
+    monkeypatch.setattr(index, "postings", lambda *_: found)
+    got = index.search("fox quick runs notes the", 9).collect()
+    assert len({r["score"] for r in got}) == 1 and [r["path"] for r in got] == [f"{k}.md" for k in range(9)]
+
+
+def test_ranking_on_rounded_scores(spark):
+    found = spark.createDataFrame([("b", 1.0000004), ("a", 1.0), ("c", 0.5), ("d", 2.0)], "path string, score double")
+    assert [r["path"] for r in lexical.top(found, 2, digits=6).collect()] == ["d", "a"]
+    assert [r["path"] for r in lexical.top(found, 2).collect()] == ["d", "b"]
+
+
 def test_empty_index(spark, tmp_path):
     index = postings.PostingIndex(spark, f"file://{tmp_path}/none", False)
     assert index.search("x").count() == 0
