@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter, markdown, paths
 
+#: Notes that are parsed at once.
+PART_NOTES = 256
+
 _HEADING = pa.struct([("level", pa.int32()), ("text", pa.string()), ("line", pa.int64()), ("offset", pa.int64()), ("end", pa.int64())])
 _LINK = pa.struct([("raw", pa.string()), ("target", pa.string()), ("heading", pa.string()), ("block_ref", pa.string()), ("alias", pa.string()), ("line", pa.int64()), ("key", pa.string())])
 _BLOCK = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -55,9 +58,11 @@ def parse(notes: DataFrame) -> DataFrame:
     """Rows of SCHEMA for (path, content); notes with broken front matter carry an error."""
 
     def of(batches):
-        for b in batches:
-            rows = [parse_note(p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist())]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
+        for batch in batches:
+            for n in range(0, batch.num_rows, PART_NOTES):
+                b = batch.slice(n, PART_NOTES)
+                rows = [parse_note(p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist())]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
     return notes.select("path", "content").mapInArrow(of, SCHEMA)
 

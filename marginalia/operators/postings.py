@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from marginalia.session import names_in, remove_tree
 BUCKETS, SALTS = 64, 8
 #: Notes of later segments up to which their paths are broadcast; more are joined by a shuffle.
 BROADCAST_PATHS = 200_000
+#: Tokens that are counted at once, unless one note has more.
+PART_TOKENS = 200_000
 FIELDS = (*lexical.BOOSTS, "facets")
 _POSTINGS = "term string, field string, path string, tf int, dl int, positions array<int>"
 
@@ -43,24 +47,54 @@ def _inverted(stems: bool):
             return known[word]
 
         for batch in batches:
-            out = ([], [], [], [], [], [])
-            for path, *texts in zip(*(batch.column(c).to_pylist() for c in ("path", *FIELDS))):
-                for field, words in zip(FIELDS, texts):
-                    words = words or []
-                    if stems and field != "facets":
-                        words = [w for w in map(cut, words) if w is not None]
-                    at: dict[str, list[int]] = {}
-                    for n, w in enumerate(words):
-                        at.setdefault(w, []).append(n)
-                    for w, places in at.items():
-                        for column, value in zip(out, (w, field, path, len(places), len(words), places)):
-                            column.append(value)
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["term", "field", "path", "tf", "dl", "positions"])
+            for part in _parts(batch):
+                for field in FIELDS:
+                    rows = _counted(part, field, cut if stems and field != "facets" else None)
+                    if rows.num_rows:
+                        yield rows
 
     return of
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold PART_TOKENS tokens or one note."""
+    sizes = sum(pc.fill_null(pc.list_value_length(batch.column(f)), 0).to_numpy().astype(np.int64) for f in FIELDS)
+    first = tokens = 0
+    for n, size in enumerate(sizes.tolist()):
+        if n > first and tokens + size > PART_TOKENS:
+            yield batch.slice(first, n - first)
+            first, tokens = n, 0
+        tokens += size
+    yield batch.slice(first)
+
+
+def _counted(part: pa.RecordBatch, field: str, cut: Callable[[str], str | None] | None) -> pa.RecordBatch:
+    """Postings of one field: a row for each note and term, with the term's places among the note's tokens that `cut` leaves."""
+    lists = part.column(field)
+    found = lists.flatten().dictionary_encode()
+    note = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    terms, term = found.dictionary.to_pylist(), found.indices.to_numpy()
+    if cut is not None:
+        numbers: dict[str, int] = {}
+        of_word = np.array([-1 if (w := cut(t)) is None else numbers.setdefault(w, len(numbers)) for t in terms], np.int64)
+        terms, term = list(numbers), of_word[term] if len(terms) else term
+        note, term = note[term >= 0], term[term >= 0]
+    lengths = np.bincount(note, minlength=part.num_rows)
+    place = np.arange(len(note)) - (np.cumsum(lengths) - lengths)[note]
+    key = note * max(1, len(terms)) + term
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    of_row = order[starts]
+    ends = np.append(starts, len(order)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(terms, pa.string()).take(pa.array(term[of_row])), pa.array([field] * len(starts), pa.string()), part.column("path").take(pa.array(note[of_row])),
+            pa.array(np.diff(ends), pa.int32()), pa.array(lengths[note[of_row]], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order], pa.int32())),
+        ],
+        names=["term", "field", "path", "tf", "dl", "positions"],
+    )
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
 

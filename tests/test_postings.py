@@ -1,8 +1,10 @@
 """The written lexical index against the form without an index, through replacement, removal and views."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions.stemmer import stem
 from marginalia.operators import lexical, notes, postings
 
 NOTES = {
@@ -78,6 +80,23 @@ def test_ranking_on_rounded_scores(spark):
     assert [r["path"] for r in lexical.top(found, 2).collect()] == ["d", "b"]
 
 
+@pytest.mark.parametrize("stems", [False, True])
+@pytest.mark.parametrize("most", [1, 12, 10**6])
+def test_postings_are_counted_in_bounded_parts(monkeypatch, stems, most):
+    monkeypatch.setattr(postings, "PART_TOKENS", most, raising=False)
+    words = [[], None, ["runs", "running", "fox", "x" * 40, "runs", "é" * 20], ["fox"], ["the"] * 20, ["a", "b", "a"]]
+    fields = {f: [w[:n] if w else w for w in words] for n, f in enumerate(postings.FIELDS, 2)}
+    batch = pa.RecordBatch.from_pydict({"path": [f"{n // 2}.md" for n in range(6)]} | {f: pa.array(w, pa.list_(pa.string())) for f, w in fields.items()})
+    made = list(postings._inverted(stems)(iter([batch.slice(0, 0), batch])))
+    want = []
+    for f, texts in fields.items():
+        for n, ws in enumerate(texts):
+            ws = [stem(w) for w in ws or [] if len(w.encode()) < 40] if stems and f != "facets" else ws or []
+            want += [(w, f, f"{n // 2}.md", ws.count(w), len(ws), [k for k, x in enumerate(ws) if x == w]) for w in dict.fromkeys(ws)]
+    assert sorted(tuple(r.values()) for b in made for r in b.to_pylist()) == sorted(want)
+    assert most > 12 or all(b["tf"].to_pylist() and (sum(b["tf"].to_pylist()) <= most or len(set(b["path"].to_pylist())) == 1) for b in made)
+
+
 def test_empty_index(spark, tmp_path):
     index = postings.PostingIndex(spark, f"file://{tmp_path}/none", False)
     assert index.search("x").count() == 0
